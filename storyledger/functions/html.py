@@ -29,9 +29,9 @@ def without_invisible(html: Column) -> Column:
 
 
 def _entities() -> Column:
-    pairs = [part for name, code in sorted(name2codepoint.items()) for part in (f"&{name};", chr(code))]
-    pairs += ["&apos;", "'"]
-    return F.create_map(*[F.lit(p) for p in pairs])
+    """Named references as a constant map."""
+    pairs = [f"&{name};\x02{chr(code)}" for name, code in sorted(name2codepoint.items())]
+    return F.str_to_map(F.lit("\x01".join([*pairs, "&apos;\x02'"])), F.lit("\x01"), F.lit("\x02"))
 
 
 def unescape(col: Column) -> Column:

@@ -7,6 +7,8 @@ another notation, gives null, which callers count as an unusable URL.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -218,30 +220,29 @@ def _kept_path(path: Column, lowercase: Column) -> Column:
     return F.when(lowercase, F.lower(text)).otherwise(text)
 
 
+@lru_cache
 def canonical_stages(
     source: str = "input",
     *,
-    keep_prefix: Column | bool = False,
+    keep_prefix: bool = False,
     lowercase: str | None = None,
     strip_mixed_case: bool = False,
-) -> list[Stage]:
+) -> tuple[Stage, ...]:
     """From the text in step ``source`` to step ``url`` (null when unusable) and ``url_host``.
 
     ``lowercase`` names a boolean input step that asks for a lower-case path.
     """
-    keep = F.lit(keep_prefix) if isinstance(keep_prefix, bool) else keep_prefix
-
     def lower_flag(g: Getter) -> Column:
         return g(lowercase) if lowercase else F.lit(False)
 
-    return [
+    return (
         {"raw": lambda g: _absolute_text(g(source))},
         *parse_stages("raw"),
         {"raw2": _unwrap_amp_cache},
         *_renamed(parse_stages("raw2"), "b_"),
         {
             "url_host": lambda g: F.when(
-                g("b_ok"), F.when(keep, g("b_host")).otherwise(_bare_host(g("b_host")))
+                g("b_ok"), g("b_host") if keep_prefix else _bare_host(g("b_host"))
             ),
             "url_path": lambda g: _kept_path(g("b_path"), lower_flag(g)),
             "url_query": lambda g: _kept_query(g("b_query"), strip_mixed_case),
@@ -255,7 +256,7 @@ def canonical_stages(
                 ),
             )
         },
-    ]
+    )
 
 
 def _renamed(stages: list[Stage], prefix: str) -> list[Stage]:
@@ -317,7 +318,12 @@ def is_same_domain(host: Column, domain: Column) -> Column:
 
 def with_budget_host(df: DataFrame, url_col: str, out: str = "host") -> DataFrame:
     """The host that polls are budgeted by: only ``www.`` is dropped; 'unknown' when unparseable."""
-    stages = [
+    return add_steps(df, _budget_stages(), {"input": F.col(url_col)}, {"budget": out})
+
+
+@lru_cache
+def _budget_stages() -> tuple[Stage, ...]:
+    return (
         {"raw": lambda g: web_trim(g("input"))},
         *parse_stages("raw"),
         {
@@ -325,8 +331,7 @@ def with_budget_host(df: DataFrame, url_col: str, out: str = "host") -> DataFram
                 g("ok"), F.regexp_replace(g("host"), r"^www\.", "")
             ).otherwise(F.lit("unknown"))
         },
-    ]
-    return add_steps(df, stages, {"input": F.col(url_col)}, {"budget": out})
+    )
 
 
 # ---- relative references -------------------------------------------------------------

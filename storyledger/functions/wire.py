@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storyledger.functions.steps import add_steps
+from storyledger.functions.steps import Stage, add_steps
 from storyledger.functions.text import WORD_START, web_trim, word_pattern
 
 # Agencies in the order they are tried, with the names they go by.
@@ -62,6 +64,20 @@ def with_wire(
     def shown(text: Column) -> Column:
         return F.when(~skipped, text)
 
+    return add_steps(
+        df,
+        _wire_stages(),
+        {
+            "byline": shown(byline),
+            "head_in": shown(head) if head is not None else F.lit(None).cast("string"),
+            "body": shown(body),
+        },
+        {"agency": "wire_agency", "evidence": "wire_evidence", "matched": "wire_matched"},
+    )
+
+
+@lru_cache
+def _wire_stages() -> tuple[Stage, ...]:
     def hit(found: Column, evidence: Column | str) -> Column:
         kind = F.lit(evidence) if isinstance(evidence, str) else evidence
         return F.when(
@@ -71,7 +87,7 @@ def with_wire(
             ),
         )
 
-    stages = [
+    return (
         {
             "head": lambda g: F.left(F.coalesce(g("head_in"), g("body")), F.lit(HEAD_CHARS)),
             "in_byline": lambda g: F.coalesce(
@@ -118,16 +134,6 @@ def with_wire(
             "evidence": lambda g: g("wire")["evidence"],
             "matched": lambda g: g("wire")["matched"],
         },
-    ]
-    return add_steps(
-        df,
-        stages,
-        {
-            "byline": shown(byline),
-            "head_in": shown(head) if head is not None else F.lit(None).cast("string"),
-            "body": shown(body),
-        },
-        {"agency": "wire_agency", "evidence": "wire_evidence", "matched": "wire_matched"},
     )
 
 

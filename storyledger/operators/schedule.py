@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storyledger.functions.times import next_fetch_at
+from storyledger.functions.times import known_zone, next_fetch_at
 from storyledger.operators.ordered import hits_since_reset
 from storyledger.sizing import broadcast_if_small
 from storyledger.sources.payloads import THROTTLE_STATUSES
@@ -100,7 +100,7 @@ def advance_schedule(registry: DataFrame, attempts: DataFrame) -> DataFrame:
     )
     tried, ok = F.col("__at").isNotNull(), F.col("__error").isNull()
     base = next_fetch_at(
-        F.col("__at"), F.col("active_hours_tz"), F.col("active_start_hour"),
+        F.col("__at"), known_zone(F.col("active_hours_tz")), F.col("active_start_hour"),
         F.col("active_end_hour"), F.col("active_interval_min"), F.col("off_interval_min"),
     )
     held_back = F.timestamp_micros(F.unix_micros("__at") + F.col("__backoff") * 1000)

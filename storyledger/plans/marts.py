@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from storyledger.functions.claims import claim
 from storyledger.functions.text import snippet
-from storyledger.functions.times import age_text
+from storyledger.functions.times import age_text, is_active_hour, known_zone
 from storyledger.sizing import broadcast_if_small
 
 DAY, WEEK = "24 hours", "7 days"
@@ -72,10 +72,8 @@ def is_stale(asof: Column, *, use_calendar: bool = False) -> Column:
     """
     minutes = F.col("active_interval_min")
     if use_calendar:
-        from storyledger.functions.times import is_active_hour
-
         active = is_active_hour(
-            asof, F.col("active_hours_tz"), F.col("active_start_hour"), F.col("active_end_hour")
+            asof, known_zone(F.col("active_hours_tz")), F.col("active_start_hour"), F.col("active_end_hour")
         )
         minutes = F.when(active, minutes).otherwise(F.col("off_interval_min"))
     age = (F.unix_micros(asof) - F.unix_micros("last_fetched_at")) / 60_000_000
