@@ -29,11 +29,11 @@ IMAGE_EXTENSION = r"(?i)\.(?:jpe?g|png|webp|gif|avif)(?:$|\?|#)"
 IMAGE_FOLDER = r"(?i)/(?:image|photo|media|img)s?/"
 # Page metadata that carries a lead image, in order of preference.
 PAGE_METADATA = (
-    ("meta", "property", "og:image", "content", "og"),
-    ("meta", "property", "og:image:url", "content", "og"),
-    ("meta", "name", "twitter:image", "content", "twitter"),
-    ("meta", "name", "twitter:image:src", "content", "twitter"),
-    ("link", "rel", "image_src", "href", "inline"),
+    ("meta", "property", "og:image", "og"),
+    ("meta", "property", "og:image:url", "og"),
+    ("meta", "name", "twitter:image", "twitter"),
+    ("meta", "name", "twitter:image:src", "twitter"),
+    ("link", "rel", "image_src", "inline"),
 )
 
 CANDIDATES = "array<struct<url:string,source:string,width:string,height:string>>"
@@ -169,15 +169,15 @@ def page_candidates(html: Column) -> Column:
     Inline images stop when the whole list has twelve entries; metadata is never cut.
     """
     groups = []
-    for tag, key, value, from_attr, source in PAGE_METADATA:
-        hits = F.filter(tags(html, tag), lambda t, key=key, value=value: attr(t, key) == value)
+    for tag, key, value, source in PAGE_METADATA:
+        hits = F.filter(tags(html, tag), lambda t: attr(t, key) == value)
         urls = F.transform(
-            hits, lambda t, other=from_attr: F.coalesce(attr(t, "content"), attr(t, "href"))
+            hits, lambda t: F.coalesce(attr(t, "content"), attr(t, "href"))
         )
         groups.append(
             F.transform(
                 F.filter(urls, lambda u: F.coalesce(u, F.lit("")) != ""),
-                lambda u, source=source: _candidate(u, source),
+                lambda u: _candidate(u, source),
             )
         )
     metadata = F.concat(*groups)
