@@ -11,6 +11,7 @@ from html.entities import name2codepoint
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from storyledger.functions.steps import let
 from storyledger.functions.text import collapse_space, web_trim
 
 # The inside of a tag; quoted values may hold '>'.
@@ -37,7 +38,6 @@ def _entities() -> Column:
 def unescape(col: Column) -> Column:
     """Decode named and numeric character references; unknown ones stay as they are."""
     table = _entities()
-    tokens = F.regexp_extract_all(col, F.lit(r"(&#?[A-Za-z0-9]+;|[^&]+|&)"), F.lit(1))
 
     def decoded(token: Column) -> Column:
         decimal = F.regexp_extract(token, r"^&#([0-9]{1,7});$", 1).try_cast("int")
@@ -46,12 +46,16 @@ def unescape(col: Column) -> Column:
         valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
         char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
         return (
-            F.when(~token.startswith("&"), token)
-            .when(valid, char)
+            F.when(~token.rlike("^&."), token)
+            .when(token.startswith("&#"), F.coalesce(F.when(valid, char), token))
             .otherwise(F.coalesce(F.try_element_at(table, token), token))
         )
 
-    return F.when(col.contains("&"), F.array_join(F.transform(tokens, decoded), "")).otherwise(col)
+    def all_decoded(text: Column) -> Column:
+        tokens = F.regexp_extract_all(text, F.lit(r"(&#?[A-Za-z0-9]+;|[^&]+|&)"), F.lit(1))
+        return F.array_join(F.transform(tokens, decoded), "")
+
+    return let(col, lambda c: F.when(c.contains("&"), all_decoded(c)).otherwise(c))
 
 
 def strip_tags(html: Column, replacement: str = "") -> Column:
@@ -71,8 +75,17 @@ def tags(html: Column, name: str) -> Column:
 def attr(tag: Column, name: str) -> Column:
     """Value of an attribute of a tag; null when it is absent."""
     found = rf"""(?is)[\s"']{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    value = F.concat(*[F.regexp_extract(tag, found, i) for i in (1, 2, 3)])
-    return F.when(tag.rlike(found), unescape(value))
+
+    def value(t: Column) -> Column:
+        text = F.concat(*[F.regexp_extract(t, found, i) for i in (1, 2, 3)])
+        return F.when(t.rlike(found), unescape(text))
+
+    return let(tag, value)
+
+
+def opening_tag(element: Column) -> Column:
+    """The opening tag of an element."""
+    return F.regexp_extract(element, rf"(?s)^(<{INSIDE}>)", 1)
 
 
 def element_pattern(opening: str, *, depth: int = 3) -> str:

@@ -68,6 +68,11 @@ def pinned(df: DataFrame, kept: Sequence[str], columns: Mapping[str, Column]) ->
     return df.select(*[F.col(f"`{c}`") for c in kept], F.inline(F.array(row)))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` refers to it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def map_steps(array: Column, fields: Sequence[str], stages: Sequence[Stage]) -> Column:
     """Run ``stages`` over each struct of ``array``; every result field is added to the struct."""
     names = list(fields)

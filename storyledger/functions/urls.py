@@ -107,11 +107,12 @@ def parse_stages(source: str = "raw") -> list[Stage]:
             "port_text": lambda g: F.regexp_extract(
                 g("host_port"), r"^(?:\[[^\]]*\]|[^:]*)(?::(.*))?$", 1
             ),
-            "path": lambda g: F.when(g("raw_path") == "", F.lit("/")).otherwise(
-                _fold_dots(_percent_encode(g("raw_path"), PATH_UNSAFE))
+            "safe_path": lambda g: F.when(g("raw_path") == "", F.lit("/")).otherwise(
+                _percent_encode(g("raw_path"), PATH_UNSAFE)
             ),
         },
         {
+            "path": lambda g: _fold_dots(g("safe_path")),
             "port_number": lambda g: F.when(
                 g("port_text").rlike(r"^[0-9]{1,9}$"), g("port_text").try_cast("int")
             ),

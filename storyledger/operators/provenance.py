@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storyledger.functions.claims import is_strong_wire
+from storyledger.functions.steps import pinned
 from storyledger.functions.urls import canonical_urls, is_same_domain
 from storyledger.sizing import broadcast_if_small
 
@@ -57,7 +58,7 @@ def with_primary_links(
         found = F.filter(
             F.array_distinct(hits), lambda d: d.isNotNull() & ~is_same_domain(page_host, d)
         )
-        return staged.withColumn(out, F.array_sort(found)).drop("__hosts", "__known")
+        return pinned(staged, docs.columns, {out: F.array_sort(found)})
 
     per_host = staged.select(key, page_host.alias("__page"), F.explode("__hosts").alias("__host"))
     per_suffix = per_host.select("*", F.explode(host_suffixes(F.col("__host"))).alias("domain"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storyledger.functions.images import no_candidates
+from storyledger.functions.steps import pinned
 from storyledger.functions.text import blank_to_null, web_trim
 from storyledger.sources.feeds import PULL_COLUMNS
 
@@ -38,7 +39,7 @@ def _has_list(body: Column, field: str) -> Column:
 def story_items(payloads: DataFrame) -> DataFrame:
     """Story-search hits. The item is the discussion page; the story it links to is its target."""
     keys = [c for c in PULL_COLUMNS if c in payloads.columns]
-    parsed = payloads.withColumn("reply", F.from_json("body", STORY_SCHEMA))
+    parsed = pinned(payloads, keys, {"reply": F.from_json("body", STORY_SCHEMA)})
     hits = parsed.select(*keys, F.posexplode(F.col("reply")["hits"]).alias("pos", "hit"))
     hit = F.col("hit")
     return hits.filter(F.coalesce(hit["objectID"], F.lit("")) != "").select(
@@ -59,7 +60,7 @@ def story_errors(payloads: DataFrame) -> DataFrame:
     keys = [c for c in (*PULL_COLUMNS, "http_status") if c in payloads.columns]
     body = F.col("body")
     kind = F.when(F.try_parse_json(body).isNull(), "parse").when(~_has_list(body, "hits"), "schema")
-    return payloads.select(*keys, kind.alias("error_kind")).filter(F.col("error_kind").isNotNull())
+    return pinned(payloads, keys, {"error_kind": kind}).filter(F.col("error_kind").isNotNull())
 
 
 def release_items(payloads: DataFrame) -> DataFrame:
@@ -69,9 +70,8 @@ def release_items(payloads: DataFrame) -> DataFrame:
     Drafts and releases without a page are dropped; pre-releases stay.
     """
     keys = [c for c in PULL_COLUMNS if c in payloads.columns]
-    parsed = payloads.withColumn(
-        "releases", F.when(_json_kind(F.col("body")) == "array", F.from_json("body", RELEASE_SCHEMA))
-    )
+    listed = F.when(_json_kind(F.col("body")) == "array", F.from_json("body", RELEASE_SCHEMA))
+    parsed = pinned(payloads, [*keys, "part", "part_no"], {"releases": listed})
     rows = parsed.select(*keys, "part", "part_no", F.posexplode("releases").alias("at", "release"))
     r = F.col("release")
     name = F.coalesce(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from storyledger.functions.html import unescape
 from storyledger.functions.images import feed_candidates
+from storyledger.functions.steps import pinned
 from storyledger.functions.text import first_text, web_trim
 
 MEDIA = "array<struct<_url:string,_medium:string,_type:string,_width:string,_height:string>>"
@@ -40,7 +41,10 @@ def plain_summary(html: Column) -> Column:
 def parse_feeds(payloads: DataFrame) -> DataFrame:
     """One row per payload with the parsed document in ``feed``; ``is_feed`` tells whether it is one."""
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"}
-    parsed = payloads.withColumn("feed", F.from_xml("body", FEED_SCHEMA, options))
+    # Pinned: each payload is parsed once, however many filters look into the result.
+    parsed = pinned(
+        payloads, payloads.columns, {"feed": F.from_xml("body", FEED_SCHEMA, options)}
+    ).drop("body")
     feed = F.col("feed")
     return parsed.withColumn(
         "is_feed",

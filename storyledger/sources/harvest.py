@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storyledger.functions.html import attr, elements, text_of, without_invisible
+from storyledger.functions.html import attr, elements, opening_tag, text_of, without_invisible
 from storyledger.functions.images import no_candidates
-from storyledger.functions.steps import add_steps, map_steps
+from storyledger.functions.steps import add_steps, map_steps, pinned
 from storyledger.functions.text import web_trim
 from storyledger.functions.urls import base_parts, parse_stages, resolve_stages
 from storyledger.sources.feeds import PULL_COLUMNS
@@ -76,8 +76,7 @@ def harvest_links(
     hrefs = F.transform(
         F.col("__anchors"),
         lambda e: F.struct(
-            web_trim(attr(F.regexp_extract(e, r"(?s)^(<(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+>)", 1), "href")).alias("href"),
-            text_of(e).alias("title"),
+            web_trim(attr(opening_tag(e), "href")).alias("href"), text_of(e).alias("title")
         ),
     )
     candidates = F.filter(
@@ -115,11 +114,9 @@ def harvest_links(
             F.element_at(F.col("__kept"), F.array_position(F.col("__all"), u).cast("int"))["title"].alias("title"),
         ),
     )
-    return staged.select(
-        *[F.col(f"`{c}`") for c in pages.columns],
-        F.col("__page").isNotNull().alias("page_ok"),
-        F.coalesce(links, F.array().cast("array<struct<url:string,title:string>>")).alias("links"),
-    )
+    none = F.array().cast("array<struct<url:string,title:string>>")
+    found = {"page_ok": F.col("__page").isNotNull(), "links": F.coalesce(links, none)}
+    return pinned(staged, pages.columns, found)
 
 
 def scrape_pages(payloads: DataFrame, registry: DataFrame, **options: int) -> DataFrame:
