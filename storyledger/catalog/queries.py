@@ -711,7 +711,7 @@ def tick_summary(spark, sf):
 
 def _images(spark, sf):
     rows = B.image_candidates(spark, sf)
-    return rows.withColumn("image", images.select_lead_image(F.col("candidates"), F.col("page_url")))
+    return rows.withColumn("image", images.select_lead_image("candidates", "page_url"))
 
 
 @query

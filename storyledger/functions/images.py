@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,26 +64,27 @@ def clean_reference(raw: Column) -> Column:
     )
 
 
-def select_lead_image(candidates: Column, base_url: Column) -> Column:
-    """The lead image among ``candidates``, as a struct of url, source, width, height, or null.
+@lru_cache
+def select_lead_image(candidates: str, base_url: str) -> Column:
+    """The lead image among the column ``candidates``: a struct of url, source, width, height, or null.
 
     Candidates come in order of preference. The source of the first usable one decides the
     tier, and the widest of that tier wins, the earlier one on a tie.
     """
-    base = base_parts(base_url)
+    base = base_parts(F.col(base_url))
     start = F.transform(
-        F.filter(candidates, lambda c: clean_reference(c["url"]).isNotNull()),
+        F.filter(F.col(candidates), lambda c: clean_reference(c["url"]).isNotNull()),
         lambda c: F.struct(
             clean_reference(c["url"]).alias("href"),
+            base.alias("base"),
             c["source"].alias("source"),
             parse_dimension(c["width"]).alias("width"),
             parse_dimension(c["height"]).alias("height"),
         ),
     )
+    fields = ["href", "base", "source", "width", "height"]
     resolved = F.transform(
-        map_steps(
-            start, ["href", "source", "width", "height"], resolve_stages("href", base, keep_fragment=False)
-        ),
+        map_steps(start, fields, resolve_stages("href", "base", keep_fragment=False)),
         lambda c: F.struct(
             c["resolved"].alias("url"), c["source"].alias("source"), c["width"], c["height"]
         ),

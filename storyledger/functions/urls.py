@@ -295,9 +295,10 @@ def with_canonical_url(
     return add_steps(df, stages, inputs, outputs)
 
 
-def canonical_urls(array: Column) -> Column:
-    """Canonical form of each URL of an ``array<string>``, with its host."""
-    start = F.transform(array, lambda x: F.struct(x.alias("input")))
+@lru_cache
+def canonical_urls(array: str) -> Column:
+    """Canonical form of each URL of an ``array<string>`` column, with its host."""
+    start = F.transform(F.col(array), lambda x: F.struct(x.alias("input")))
     done = map_steps(start, ["input"], canonical_stages())
     return F.transform(
         done, lambda x: F.struct(x["url"].alias("url"), x["url_host"].alias("host"))
@@ -364,13 +365,14 @@ def _joined(href: Column, base: Column) -> Column:
     )
 
 
-def resolve_stages(href: str, base: Column, *, keep_fragment: bool = True) -> list[Stage]:
-    """Resolve step ``href`` against ``base`` (see :func:`base_parts`) into step ``resolved``.
+@lru_cache
+def resolve_stages(href: str, base: str, *, keep_fragment: bool = True) -> tuple[Stage, ...]:
+    """Resolve step ``href`` against step ``base`` (see :func:`base_parts`) into step ``resolved``.
 
     Anything that is not http(s) after resolution gives null.
     """
-    return [
-        {"raw": lambda g: _joined(web_trim(g(href)), base)},
+    return (
+        {"raw": lambda g: _joined(web_trim(g(href)), g(base))},
         *parse_stages("raw"),
         {
             "resolved": lambda g: F.when(
@@ -382,7 +384,7 @@ def resolve_stages(href: str, base: Column, *, keep_fragment: bool = True) -> li
                 ),
             )
         },
-    ]
+    )
 
 
 def with_resolved(
@@ -390,8 +392,8 @@ def with_resolved(
 ) -> DataFrame:
     """Resolve ``href_col`` against the page URL in ``base_col``."""
     return add_steps(
-        df.select("*", base_parts(F.col(base_col)).alias("__base")),
-        resolve_stages("href", F.col("__base"), keep_fragment=keep_fragment),
-        {"href": F.col(href_col)},
+        df,
+        resolve_stages("href", "base", keep_fragment=keep_fragment),
+        {"href": F.col(href_col), "base": base_parts(F.col(base_col))},
         {"resolved": out},
-    ).drop("__base")
+    )

@@ -23,8 +23,8 @@ def host_suffixes(host: Column) -> Column:
     )
 
 
-def link_hosts(hrefs: Column) -> Column:
-    """Distinct canonical hosts of an array of absolute links."""
+def link_hosts(hrefs: str) -> Column:
+    """Distinct canonical hosts of a column of absolute links."""
     hosts = F.transform(canonical_urls(hrefs), lambda u: u["host"])
     return F.array_distinct(F.filter(hosts, lambda h: h.isNotNull()))
 
@@ -44,7 +44,7 @@ def with_primary_links(
     proven short becomes one array value and is compared inside the row, so wide document rows
     never move. A longer one is equi-joined on exploded host suffixes by ``key``.
     """
-    staged = docs.withColumn("__hosts", link_hosts(F.col(hrefs_col)))
+    staged = docs.withColumn("__hosts", link_hosts(hrefs_col))
     n_domains = domains.limit(MAX_INLINE_DOMAINS + 1).count()
     if n_domains <= MAX_INLINE_DOMAINS:
         known = domains.agg(F.collect_set("domain")).scalar()

@@ -135,7 +135,9 @@ def build_documents(fresh: DataFrame, pages: DataFrame, registry: DataFrame) ->
     candidates = F.concat(
         F.coalesce("image_candidates", no_candidates()), F.coalesce("page_images", no_candidates())
     )
-    rows = rows.withColumn("image", select_lead_image(candidates, F.col("url")))
+    rows = rows.withColumn("candidates", candidates).withColumn(
+        "image", select_lead_image("candidates", "url")
+    )
     status = (
         F.when(F.col("page_problem").isNotNull(), "failed")
         .when(has_page, F.col("extraction_status"))
@@ -239,7 +241,7 @@ def feed_quality(items: DataFrame, errors: DataFrame, *, key: str = "source_id")
     The source is in order when it has at least one usable URL.
     """
     dated = with_published(identify(items))
-    imaged = dated.withColumn("image", select_lead_image(F.col("image_candidates"), F.col("url_raw")))
+    imaged = dated.withColumn("image", select_lead_image("image_candidates", "url_raw"))
     found = imaged.groupBy(key).agg(
         F.count("url").alias("items"),
         F.count_if(F.col("published_at_confidence") == "high").alias("dated_items"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,7 +63,9 @@ def parse_feeds(payloads: DataFrame) -> DataFrame:
     )
 
 
-def _rss_fields(i: Column) -> list[Column]:
+@lru_cache
+def _rss_fields() -> list[Column]:
+    i = F.col("item")
     link = first_text(i["link"])
     guid = first_text(i["guid"]["_VALUE"])
     content = F.coalesce(i["content:encoded"], i["description"])
@@ -77,7 +81,9 @@ def _rss_fields(i: Column) -> list[Column]:
     ]
 
 
-def _atom_fields(e: Column) -> list[Column]:
+@lru_cache
+def _atom_fields() -> list[Column]:
+    e = F.col("item")
     alternate = F.filter(e["link"], lambda k: F.coalesce(k["_rel"], F.lit("")) == "alternate")
     link = F.coalesce(F.get(alternate, F.lit(0)), F.get(e["link"], F.lit(0)))["_href"]
     content = e["content"]["_VALUE"]
@@ -98,7 +104,7 @@ PULL_COLUMNS = ("pull_id", "source_id", "fetched_at")
 def _items(parsed: DataFrame, entries: Column, fields) -> DataFrame:
     keys = [c for c in PULL_COLUMNS if c in parsed.columns]
     exploded = parsed.filter("is_feed").select(*keys, F.posexplode(entries).alias("pos", "item"))
-    return exploded.select(*keys, "pos", *fields(F.col("item")))
+    return exploded.select(*keys, "pos", *fields())
 
 
 def rss_items(payloads: DataFrame) -> DataFrame:

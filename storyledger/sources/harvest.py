@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storyledger.functions.html import attr, elements, opening_tag, text_of, without_invisible
 from storyledger.functions.images import no_candidates
-from storyledger.functions.steps import add_steps, map_steps, pinned
+from storyledger.functions.steps import Stage, add_steps, map_steps, pinned
 from storyledger.functions.text import web_trim
 from storyledger.functions.urls import base_parts, parse_stages, resolve_stages
 from storyledger.sources.feeds import PULL_COLUMNS
@@ -52,8 +54,37 @@ def harvest_links(
     A page is one row, so its links are filtered and made unique inside the row: no shuffle.
     ``pattern`` is matched against the resolved, not the canonical, URL; a null one matches all.
     """
-    # The page's own URL, checked and normalised.
-    stages = [
+    known = add_steps(
+        pages, _page_stages(), {"page": F.col(page_url_col)}, {"clean": "__page", "site": "__site"}
+    )
+    staged = known.select(
+        "*",
+        base_parts(F.col("__page")).alias("__base"),
+        elements(without_invisible(F.col(html_col)), "a").alias("__anchors"),
+        (pattern if pattern is not None else F.lit(None).cast("string")).alias("__pattern"),
+    )
+    staged = staged.select(
+        "*", _candidates().alias("__named")
+    ).withColumn("__candidates", F.filter("__named", lambda a: F.char_length(a["title"]) >= min_title_chars))
+    staged = staged.withColumn("__kept", _kept_links())
+    staged = staged.withColumn("__all", F.transform("__kept", lambda a: a["url"]))
+    staged = staged.withColumn("__urls", F.slice(F.array_distinct("__all"), 1, max_links))
+    links = F.transform(
+        "__urls",
+        lambda u: F.struct(
+            u.alias("url"),
+            F.element_at(F.col("__kept"), F.array_position(F.col("__all"), u).cast("int"))["title"].alias("title"),
+        ),
+    )
+    none = F.array().cast("array<struct<url:string,title:string>>")
+    found = {"page_ok": F.col("__page").isNotNull(), "links": F.coalesce(links, none)}
+    return pinned(staged, pages.columns, found)
+
+
+@lru_cache
+def _page_stages() -> tuple[Stage, ...]:
+    """The page's own URL, checked and normalised."""
+    return (
         {"raw": lambda g: web_trim(g("page"))},
         *parse_stages("raw"),
         {
@@ -63,60 +94,45 @@ def harvest_links(
             ),
             "site": lambda g: F.when(g("ok"), _bare(g("host"))),
         },
-    ]
-    known = add_steps(
-        pages, stages, {"page": F.col(page_url_col)}, {"clean": "__page", "site": "__site"}
     )
-    staged = known.select(
-        "*",
-        base_parts(F.col("__page")).alias("__base"),
-        elements(without_invisible(F.col(html_col)), "a").alias("__anchors"),
-        (pattern if pattern is not None else F.lit(None).cast("string")).alias("__pattern"),
-    )
-    hrefs = F.transform(
+
+
+@lru_cache
+def _candidates() -> Column:
+    """Anchors that may lead to a page, with their text."""
+    anchors = F.transform(
         F.col("__anchors"),
         lambda e: F.struct(
             web_trim(attr(opening_tag(e), "href")).alias("href"), text_of(e).alias("title")
         ),
     )
-    candidates = F.filter(
-        hrefs,
-        lambda a: (F.coalesce(a["href"], F.lit("")) != "")
-        & ~a["href"].rlike(NOT_A_PAGE)
-        & (F.char_length(a["title"]) >= min_title_chars),
+    return F.filter(
+        anchors, lambda a: (F.coalesce(a["href"], F.lit("")) != "") & ~a["href"].rlike(NOT_A_PAGE)
     )
-    staged = staged.withColumn("__candidates", candidates)
-    resolved = map_steps(
-        F.col("__candidates"), ["href", "title"], resolve_stages("href", F.col("__base"))
+
+
+@lru_cache
+def _kept_links() -> Column:
+    """Candidates resolved against the page that stay on its site, off its chrome, and match."""
+    start = F.transform(
+        F.col("__candidates"),
+        lambda a: F.struct(a["href"].alias("href"), a["title"].alias("title"), F.col("__base").alias("base")),
     )
-    kept = F.filter(
-        F.transform(
-            resolved,
-            lambda a: F.struct(
-                a["resolved"].alias("url"), a["title"].alias("title"), a["path"].alias("path"),
-                a["host"].alias("host"),
-            ),
+    resolved = map_steps(start, ["href", "title", "base"], resolve_stages("href", "base"))
+    slim = F.transform(
+        resolved,
+        lambda a: F.struct(
+            a["resolved"].alias("url"), a["title"].alias("title"), a["path"].alias("path"),
+            _bare(a["host"]).alias("site"),
         ),
+    )
+    return F.filter(
+        slim,
         lambda a: a["url"].isNotNull()
-        & _same_site(_bare(a["host"]), F.col("__site"))
+        & _same_site(a["site"], F.col("__site"))
         & ~a["path"].rlike(CHROME)
         & (F.col("__pattern").isNull() | F.regexp_like(a["url"], F.col("__pattern"))),
-    )
-    staged = staged.withColumn("__kept", kept)
-    urls = F.slice(F.array_distinct(F.transform("__kept", lambda a: a["url"])), 1, max_links)
-    staged = staged.withColumn("__urls", urls).withColumn(
-        "__all", F.transform("__kept", lambda a: a["url"])
     )
-    links = F.transform(
-        "__urls",
-        lambda u: F.struct(
-            u.alias("url"),
-            F.element_at(F.col("__kept"), F.array_position(F.col("__all"), u).cast("int"))["title"].alias("title"),
-        ),
-    )
-    none = F.array().cast("array<struct<url:string,title:string>>")
-    found = {"page_ok": F.col("__page").isNotNull(), "links": F.coalesce(links, none)}
-    return pinned(staged, pages.columns, found)
 
 
 def scrape_pages(payloads: DataFrame, registry: DataFrame, **options: int) -> DataFrame:
