@@ -20,7 +20,7 @@ from storyledger.functions.urls import with_budget_host, with_canonical_url
 from storyledger.functions.wire import has_verbatim_quote, with_wire
 from storyledger.operators import audit, identity, merge, pages, provenance, schedule, validate
 from storyledger.plans import ingest, marts
-from storyledger.session import work_dir
+from storyledger.session import landed, work_dir
 from storyledger.sizing import broadcast_if_small
 from storyledger.sources import apis, feeds, harvest, payloads, registry
 from storyledger.streaming import jobs
@@ -552,7 +552,8 @@ def retention_debt(spark, sf):
 
 
 def _harvested(spark, sf):
-    return harvest.scrape_pages(B.index_payloads(spark, sf), B.registry(spark, sf))
+    found = harvest.scrape_pages(B.index_payloads(spark, sf), B.registry(spark, sf))
+    return landed(found.select("source_id", "pull_id", "links", "error_kind"), "harvested")
 
 
 AUDIT = ("source_id", "strategy", "expected_count", "ingested_count", "missing_urls", "status", "detail")
@@ -658,8 +659,8 @@ def feed_candidates(spark, sf):
 
 
 def _quality(spark, sf):
-    landed, known = B.payloads(spark, sf), B.registry(spark, sf)
-    return ingest.feed_quality(ingest.select_items(landed, known), ingest.payload_errors(landed, known))
+    batch, known = landed(B.payloads(spark, sf), "payloads"), B.registry(spark, sf)
+    return ingest.feed_quality(ingest.select_items(batch, known), ingest.payload_errors(batch, known))
 
 
 @query
@@ -673,14 +674,13 @@ def feed_quality_lists(spark, sf):
 
 
 def _ingested(spark, sf):
-    landed, known = B.payloads(spark, sf), B.registry(spark, sf)
-    items = ingest.select_items(landed, known)
+    """A batch of payloads against a store that holds the documents in German."""
+    batch, known = landed(B.payloads(spark, sf), "payloads"), B.registry(spark, sf)
     held = B.table(spark, sf, "documents").filter("lang = 'de'").select(
         F.expr("concat('https://', source, '.example.com/A/', doc_id)").alias("url")
     )
-    fresh = ingest.fresh_items(items, known, held)
-    documents = ingest.build_documents(fresh, B.landed_pages(spark, sf), known)
-    return landed, known, items, held, documents
+    items, documents = ingest.ingest(batch, B.landed_pages(spark, sf), known, held)
+    return batch, known, items, held, documents
 
 
 @query
@@ -691,10 +691,11 @@ def build_documents(spark, sf):
 
 @query
 def fetch_outcome(spark, sf):
-    landed, known, items, held, documents = _ingested(spark, sf)
-    inserted = merge.insert_if_absent(documents.select("url", "pull_id", "source_id"), held, "source_id", "pull_id")
-    errors = ingest.payload_errors(landed, known)
-    return ingest.fetch_outcomes(landed, items, documents, inserted, errors).select(
+    batch, known, items, held, documents = _ingested(spark, sf)
+    new = documents.select("url", "pull_id", "source_id")
+    inserted = merge.insert_if_absent(new, held, "source_id", "pull_id")
+    errors = ingest.payload_errors(batch, known)
+    return ingest.fetch_outcomes(batch, items, documents, inserted, errors).select(
         "pull_id", "source_id", "attempted_at", "http_status", "etag", "items_seen", "items_new", "items_with_image", "error"
     )
 

@@ -129,7 +129,10 @@ def audit_proxy_sample(docs: DataFrame, sources: DataFrame, asof: Column) -> Dat
 def run_audit(
     registry: DataFrame, harvested: DataFrame, docs: DataFrame, asof: Column
 ) -> DataFrame:
-    """One audit row per auditable source, by its strategy. A source without an index is an error."""
+    """One audit row per auditable source, by its strategy. A source without an index is an error.
+
+    ``harvested`` is read more than once here; pass a landed frame.
+    """
     sources = auditable_sources(registry)
     proxy = sources.filter(F.col("audit_strategy") == "proxy_sample")
     diff = sources.filter(F.col("audit_strategy") != "proxy_sample")

@@ -18,6 +18,7 @@ from storyledger.operators.identity import (
 from storyledger.operators.pages import SNAPSHOT_CHARS, with_page_signals, with_page_text
 from storyledger.operators.provenance import with_primary_links
 from storyledger.schema import PRIMARY_DOMAIN_TYPES
+from storyledger.session import landed
 from storyledger.sizing import broadcast_if_small
 from storyledger.sources.apis import release_errors, release_items, story_errors, story_items
 from storyledger.sources.feeds import atom_items, feed_errors, feed_items, rss_items, with_url
@@ -85,6 +86,8 @@ def fresh_items(
     )
     joined = items.join(broadcast_if_small(facts), "source_id")
     unique = dedup_within_pull(identify(joined, F.col("lowercase_url_path")))
+    # Both the page marks and the result read this, and canonical URLs are the costly part.
+    unique = landed(unique, "unique")
     fresh = not_held(unique, held, small_batch=small_batch)
     return mark_pages_to_fetch(fresh, F.col("source_role"))
 
@@ -220,10 +223,15 @@ def error_rows(errors: DataFrame, registry: DataFrame) -> DataFrame:
 
 def ingest(
     payloads: DataFrame, pages: DataFrame, registry: DataFrame, held: DataFrame, *, small_batch: bool = False
-) -> DataFrame:
-    """Payloads to documents that are not held, before conflicts between pulls are settled."""
-    items = select_items(payloads, registry)
-    return build_documents(fresh_items(items, registry, held, small_batch=small_batch), pages, registry)
+) -> tuple[DataFrame, DataFrame]:
+    """Payloads to items, and to documents that are not held, before conflicts between pulls.
+
+    Items, fresh items and documents are each read by more than one later step (page marks,
+    inserts, outcome counts), so each is landed: payloads are parsed once, pages extracted once.
+    """
+    items = landed(select_items(payloads, registry), "items")
+    fresh = landed(fresh_items(items, registry, held, small_batch=small_batch), "fresh")
+    return items, landed(build_documents(fresh, pages, registry), "documents")
 
 
 def tick_summary(log: DataFrame, *by: str) -> DataFrame:

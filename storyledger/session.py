@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "storyledger", master: str | None = None, **conf: str) -> SparkSession:
@@ -36,11 +37,20 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
     that setting gets a temporary folder of its own; a real cluster without it is
     an error, because a machine-local folder is not visible to the other executors.
     """
-    import uuid
-
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="storyledger-")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
+
+
+def landed(df: DataFrame, purpose: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back.
+
+    For results that several later steps read: they are computed once, they survive the loss
+    of an executor, and later plans start from a plain scan.
+    """
+    folder = work_dir(df.sparkSession, purpose)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
