@@ -108,15 +108,13 @@ def elements(html: Column, name: str) -> Column:
 
 
 def elements_with(html: Column, condition: str) -> Column:
-    """Every element whose opening tag matches ``condition``; void elements as their tag only."""
-    opening = rf"<([A-Za-z][A-Za-z0-9-]*+)\b(?={INSIDE_LAZY}{condition}){INSIDE}>"
-    void = rf"(?=(<(?:meta|link|img|input|br|hr)\b(?={INSIDE_LAZY}{condition}){INSIDE}>))<"
-    whole = element_pattern(opening)
-    # Alternation of two lookaheads would need two group numbers; void elements come separately.
+    """Every element with an attribute that matches ``condition``; void elements as their tag only."""
+    # Step over quoted values until the condition holds: a possessive loop, so no recursion.
+    seen = rf"""(?:(?!{condition})(?:[^<>"']|"[^"]*+"|'[^']*+'))*+{condition}"""
+    opening = rf"<([A-Za-z][A-Za-z0-9-]*+)\b(?={seen}){INSIDE}>"
+    void = rf"(?is)(?=(<(?:meta|link|img|input|br|hr)\b(?={seen}){INSIDE}>))<"
+    # Void elements have no end tag, so they come separately.
     return F.concat(
-        F.regexp_extract_all(html, F.lit("(?is)" + void), F.lit(1)),
-        F.regexp_extract_all(html, F.lit(whole), F.lit(1)),
+        F.regexp_extract_all(html, F.lit(void), F.lit(1)),
+        F.regexp_extract_all(html, F.lit(element_pattern(opening)), F.lit(1)),
     )
-
-
-INSIDE_LAZY = r"""(?:[^<>"']|"[^"]*+"|'[^']*+')*?"""
