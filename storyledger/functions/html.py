@@ -88,16 +88,17 @@ def opening_tag(element: Column) -> Column:
     return F.regexp_extract(element, rf"(?s)^(<{INSIDE}>)", 1)
 
 
-def element_pattern(opening: str, *, depth: int = 3) -> str:
+def element_pattern(opening: str, *, depth: int = 3, end: str = "") -> str:
     """Pattern whose group 1 is each element that starts with ``opening`` (name in group 2).
 
-    It looks ahead, so elements inside a match are found as well.
+    It looks ahead, so elements inside a match are found as well. With ``end`` as ``?`` an
+    element without an end tag is its opening tag.
     """
     other = r"[^<]++|<(?!/?\2\b)"
     body = rf"(?:{other})*+"
     for _ in range(depth):
         body = rf"(?:{other}|<\2\b[^>]*+>{body}</\2\s*+>)*+"
-    return rf"(?is)(?=({opening}{body}</\2\s*+>))<"
+    return rf"(?is)(?=({opening}(?:{body}</\2\s*+>){end}))<"
 
 
 def elements(html: Column, name: str) -> Column:
@@ -108,13 +109,8 @@ def elements(html: Column, name: str) -> Column:
 
 
 def elements_with(html: Column, condition: str) -> Column:
-    """Every element with an attribute that matches ``condition``; void elements as their tag only."""
+    """Every element with an attribute that matches ``condition``; void ones as their tag only."""
     # Step over quoted values until the condition holds: a possessive loop, so no recursion.
     seen = rf"""(?:(?!{condition})(?:[^<>"']|"[^"]*+"|'[^']*+'))*+{condition}"""
     opening = rf"<([A-Za-z][A-Za-z0-9-]*+)\b(?={seen}){INSIDE}>"
-    void = rf"(?is)(?=(<(?:meta|link|img|input|br|hr)\b(?={seen}){INSIDE}>))<"
-    # Void elements have no end tag, so they come separately.
-    return F.concat(
-        F.regexp_extract_all(html, F.lit(void), F.lit(1)),
-        F.regexp_extract_all(html, F.lit(element_pattern(opening)), F.lit(1)),
-    )
+    return F.regexp_extract_all(html, F.lit(element_pattern(opening, end="?")), F.lit(1))

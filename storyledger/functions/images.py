@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from storyledger.functions.html import attr, tags
-from storyledger.functions.steps import map_steps
+from storyledger.functions.steps import let, map_steps
 from storyledger.functions.text import WHITE_SPACE, WORD_END, WORD_START, web_trim
 from storyledger.functions.urls import base_parts, resolve_stages
 
@@ -171,19 +171,31 @@ def page_candidates(html: Column) -> Column:
 
     Inline images stop when the whole list has twelve entries; metadata is never cut.
     """
+    found = F.concat(
+        let(tags(html, "meta"), lambda t: _metadata(t, "meta")),
+        let(tags(html, "link"), lambda t: _metadata(t, "link")),
+    )
+    return let(found, lambda metadata: _with_inline(metadata, html))
+
+
+def _metadata(found: Column, tag: str) -> Column:
     groups = []
-    for tag, key, value, source in PAGE_METADATA:
-        hits = F.filter(tags(html, tag), lambda t: attr(t, key) == value)
+    for name, key, value, source in PAGE_METADATA:
+        if name != tag:
+            continue
         urls = F.transform(
-            hits, lambda t: F.coalesce(attr(t, "content"), attr(t, "href"))
+            F.filter(found, lambda t: attr(t, key) == value),
+            lambda t: F.coalesce(attr(t, "content"), attr(t, "href")),
         )
         groups.append(
             F.transform(
-                F.filter(urls, lambda u: F.coalesce(u, F.lit("")) != ""),
-                lambda u: _candidate(u, source),
+                F.filter(urls, lambda u: F.coalesce(u, F.lit("")) != ""), lambda u: _candidate(u, source)
             )
         )
-    metadata = F.concat(*groups)
+    return F.concat(*groups)
+
+
+def _with_inline(metadata: Column, html: Column) -> Column:
     inline = F.filter(
         F.transform(
             tags(html, "img"),

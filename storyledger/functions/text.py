@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from storyledger.functions.steps import let
+
 # White space as the web platform defines it. Java's \s lacks the non-ASCII ones.
 WHITE_SPACE = r"\s   -     　﻿"
 
@@ -29,7 +31,7 @@ def collapse_space(col: Column) -> Column:
 
 
 def blank_to_null(col: Column) -> Column:
-    return F.when(col != "", col)
+    return let(col, lambda c: F.when(c != "", c))
 
 
 def first_text(*cols: Column) -> Column:
