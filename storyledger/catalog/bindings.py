@@ -387,7 +387,7 @@ def landed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.expr(
         "concat('<html><head><title>', title, ' | Site</title><meta property=\"og:image\" content=\"/og/', doc_id, '.jpg\"></head><body>',"
         " '<nav><a href=\"/home\">Home</a></nav><article><span class=\"author\">Desk ', doc_id % 3, '</span><p>',"
-        f" {_escape('text_content')}, '</p><a href=\"https://www.src', doc_id % 20, '.example.com/circular\">release</a></article></body></html>')"
+        f" {_escape('text_content')}, '</p><a href=\"https://www.src', (doc_id + 1) % 20, '.example.com/circular\">release</a></article></body></html>')"
     )
     return docs.select(
         "url",
