@@ -30,6 +30,11 @@ TRACKING_PREFIXES = ("utm_", "pk_", "piwik_", "matomo_")
 # Host prefixes that serve the same resource as the bare host.
 HOST_PREFIXES = ("www.", "amp.", "m.")
 AMP_CACHE_SUFFIX = ".cdn.ampproject.org"
+# Groups: the marker of a secure origin, the page's host and path, its query.
+AMP_CACHE = (
+    r"^(?i:https?:/*(?:[^/?#@]*@)?[^/?#:@]+\.cdn\.ampproject\.org)(?::[0-9]*)?/+c/+(?!s/*(?:[?#]|$))"
+    r"(s/+)?((?:[^/?#@]*@)?[!-~&&[^#/:<>?@\[\]\\^|%]]+(?::[0-9]{0,5})?(?:/[^?#]*)?)(?:(\?[^#]*)|[#]|$)"
+)
 
 SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
 HOST = r"""^(?:[!"$&'()*+,.0-9;=_`a-z{}~\-]+|\[[0-9a-f:.]+\])$"""
@@ -146,20 +151,13 @@ def _absolute_text(col: Column) -> Column:
     )
 
 
-def _unwrap_amp_cache(g: Getter) -> Column:
+def _unwrap_amp_cache(text: Column) -> Column:
     """``<x>.cdn.ampproject.org/c/[s/]host/path`` names the page it caches; keep the query."""
-    parts = F.filter(F.split(g("path"), "/"), lambda p: p != "")
-    secure = F.get(parts, F.lit(1)) == "s"
-    inner = F.slice(parts, F.when(secure, F.lit(3)).otherwise(F.lit(2)), F.greatest(F.size(parts), F.lit(1)))
-    scheme = F.when(secure, F.lit("https://")).otherwise(F.lit("http://"))
-    usable = (
-        g("ok")
-        & g("host").endswith(AMP_CACHE_SUFFIX)
-        & (F.get(parts, F.lit(0)) == "c")
-        & F.get(inner, F.lit(0)).rlike(r"(?i)^(?:[^@]*@)?[!-~&&[^#/:<>?@\[\]\\^|%]]+(?::[0-9]{0,5})?$")
+    scheme = F.when(F.regexp_extract(text, AMP_CACHE, 1) != "", F.lit("https://")).otherwise(
+        F.lit("http://")
     )
-    rebuilt = F.concat(scheme, F.array_join(inner, "/"), g("query"))
-    return F.when(g("host").endswith(AMP_CACHE_SUFFIX) & usable, rebuilt).otherwise(g("flat"))
+    page = F.concat(scheme, F.regexp_extract(text, AMP_CACHE, 2), F.regexp_extract(text, AMP_CACHE, 3))
+    return F.when(F.lower(text).contains(AMP_CACHE_SUFFIX) & text.rlike(AMP_CACHE), page).otherwise(text)
 
 
 def _bare_host(host: Column) -> Column:
@@ -203,7 +201,7 @@ def _kept_query(query: Column, strip_mixed_case: bool) -> Column:
         "&",
     )
     return F.when(F.char_length(query) <= 1, F.lit("")).otherwise(
-        F.when(text == "", F.lit("")).otherwise(F.concat(F.lit("?"), text))
+        F.regexp_replace(F.concat(F.lit("?"), text), r"^\?$", "")
     )
 
 
@@ -238,21 +236,20 @@ def canonical_stages(
 
     return (
         {"raw": lambda g: _absolute_text(g(source))},
-        *parse_stages("raw"),
-        {"raw2": _unwrap_amp_cache},
-        *_renamed(parse_stages("raw2"), "b_"),
+        {"page": lambda g: _unwrap_amp_cache(g("raw"))},
+        *parse_stages("page"),
         {
             "url_host": lambda g: F.when(
-                g("b_ok"), g("b_host") if keep_prefix else _bare_host(g("b_host"))
+                g("ok"), g("host") if keep_prefix else _bare_host(g("host"))
             ),
-            "url_path": lambda g: _kept_path(g("b_path"), lower_flag(g)),
-            "url_query": lambda g: _kept_query(g("b_query"), strip_mixed_case),
+            "url_path": lambda g: _kept_path(g("path"), lower_flag(g)),
+            "url_query": lambda g: _kept_query(g("query"), strip_mixed_case),
         },
         {
             "url": lambda g: F.when(
-                g("b_ok"),
+                g("ok"),
                 F.concat(
-                    g("b_scheme"), F.lit("://"), g("b_user"), g("url_host"), g("b_port"),
+                    g("scheme"), F.lit("://"), g("user"), g("url_host"), g("port"),
                     g("url_path"), g("url_query"),
                 ),
             )
@@ -260,16 +257,6 @@ def canonical_stages(
     )
 
 
-def _renamed(stages: list[Stage], prefix: str) -> list[Stage]:
-    """The same stages with their own step names prefixed, for a second pass."""
-    own = {name for stage in stages for name in stage}
-
-    def wrap(fn):
-        return lambda g: fn(lambda name: g(prefix + name if name in own else name))
-
-    return [{prefix + name: wrap(fn) for name, fn in stage.items()} for stage in stages]
-
-
 def with_canonical_url(
     df: DataFrame,
     url_col: str,

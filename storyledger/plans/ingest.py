@@ -102,7 +102,10 @@ def build_documents(fresh: DataFrame, pages: DataFrame, registry: DataFrame) ->
     """
     wanted = F.col("fetch_page")
     found = pages.select("url", "page_status", "page_body")
-    rows = fresh.join(found, "url", "left")
+    # Short rules first: every later step analyses the plan so far again.
+    items = with_published(fresh)
+    items = with_canonical_url(items, "discovery_target_url", out="origin_discovery_target_url")
+    rows = items.join(found, "url", "left")
     page_ok = F.coalesce(
         wanted & F.col("page_status").between(200, 299) & (F.trim("page_body") != ""), F.lit(False)
     )
@@ -117,9 +120,7 @@ def build_documents(fresh: DataFrame, pages: DataFrame, registry: DataFrame) ->
         .otherwise(F.concat(F.col("url"), F.lit(" returned an empty body"))),
     )
     rows = rows.drop("page_body")
-    rows = with_published(rows)
     rows = with_page_text(with_page_signals(rows, "page_html", "url"), "page_html")
-    rows = with_canonical_url(rows, "discovery_target_url", out="origin_discovery_target_url")
     rows = rows.withColumn(
         "page_host", F.regexp_extract("url", r"^https?://(?:[^/?#]*@)?([^/?#:]*)", 1)
     )

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storyledger.functions.claims import claim
+from storyledger.functions.steps import pinned
 from storyledger.functions.text import snippet
 from storyledger.functions.times import age_text, is_active_hour, known_zone
 from storyledger.sizing import broadcast_if_small
@@ -193,16 +194,17 @@ def feed(
         .orderBy(F.desc("published_at"), F.desc("fetched_at"), "url")
         .limit(limit)
     )
-    return (
-        top.withColumn("snippet", snippet(F.col(text_col)))
-        .drop(text_col)
-        .withColumn("claim", claim(F.col("source_role"), F.col("source_type"), F.col("snippet")))
-        .select(
-            "*",
-            F.left("snippet", F.lit(260)).alias("card_text"),
-            F.col("claim")["claim_type"].alias("claim_type"),
-            (F.col("published_at_confidence") != "high").alias("date_is_approximate"),
-            age_text(F.col("published_at"), asof, days_from_hours=24).alias("age"),
-        )
-        .drop("claim")
+    # Pinned twice, so that no projection slips below the limit and turns the top-k into a full sort.
+    kept = [c for c in top.columns if c != text_col]
+    cards = pinned(top, kept, {"snippet": snippet(F.col(text_col))})
+    verdict = claim(F.col("source_role"), F.col("source_type"), F.col("snippet"))
+    return pinned(
+        cards,
+        cards.columns,
+        {
+            "card_text": F.left("snippet", F.lit(260)),
+            "claim_type": verdict["claim_type"],
+            "date_is_approximate": F.col("published_at_confidence") != "high",
+            "age": age_text(F.col("published_at"), asof, days_from_hours=24),
+        },
     )
