@@ -263,7 +263,7 @@ STORY_JSON = (
 RELEASE_JSON = (
     "to_json(named_struct('html_url', CASE WHEN doc_id % 11 <> 10 THEN url END, 'name', CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE title END,"
     " 'tag_name', CASE WHEN doc_id % 2 = 0 THEN concat('v', doc_id) END, 'published_at', published_at_raw, 'body', text_content,"
-    " 'draft', doc_id % 5 = 4, 'author', named_struct('login', concat('dev', doc_id % 7))))"
+    " 'draft', doc_id % 7 = 3, 'author', named_struct('login', concat('dev', doc_id % 7))))"
 )
 
 
