@@ -78,6 +78,9 @@ def absorb(
         "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
         "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+        # No space is reserved ahead for each of many state partitions; changes are uploaded, not whole copies.
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     }
     before = {name: spark.conf.get(name, None) for name in wanted}
     try:
