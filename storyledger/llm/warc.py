@@ -78,7 +78,7 @@ def records(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
     return joined.select(F.explode(F.array(request, F.when(again, revisit).otherwise(response), metadata)).alias("value"))
 
 
-def write_archives(pages: DataFrame, folder: str, *, key: str = "page_id", url: str = "url", html: str = "html", compression: str = "none") -> None:
+def write_archives(pages: DataFrame, folder: str, *, key: str = "page_id", url: str = "url", html: str = "html", compression: str = "gzip") -> None:
     """Archives of ``pages`` in ``folder``, ``RECORDS_PER_FILE`` records each at most."""
     writer = records(pages, key, url, html).write.option("lineSep", CRLF + CRLF).option("compression", compression)
     writer.option("maxRecordsPerFile", RECORDS_PER_FILE).text(folder)
