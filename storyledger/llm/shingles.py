@@ -12,7 +12,8 @@ BANDS, ROWS = 12, 3
 SAMPLES = BANDS * ROWS
 CEILING = 20.0  # a shingle in fewer than one document of so many weighs as if in one of so many
 SKETCH_WIDTH, SKETCH_DEPTH = 1 << 16, 2
-SLICE = 1 << 19  # bytes or shingles handled at once
+SLICE = 1 << 19  # bytes handled at once
+TILE = 1 << 10  # shingles sampled at once; all samples of so many stay in the processor's cache
 U = np.uint64
 
 
@@ -121,24 +122,26 @@ def consistent_samples(hashes: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """``SAMPLES`` consistent weighted samples: equal in two sets with probability their weighted Jaccard."""
     gamma, log_gamma, times, plus = _gamma()
     log_weight = np.log(weight).astype(np.float32)
-    out, steps = np.empty(SAMPLES, np.uint64), np.empty(SAMPLES, np.uint64)
-    for k in range(SAMPLES):
-        least = np.inf
-        for at in range(0, len(hashes), SLICE):
-            own = hashes[at : at + SLICE]
-            z = own * times[k] + plus[k]
-            z ^= z >> U(32)
-            z *= U(0xD6E8FEB86659FD93)
-            z ^= z >> U(29)
-            low = z.astype(np.uint32)
-            r = gamma[low & np.uint32(0xFFFF)]
-            beta = (z >> U(40)).astype(np.float32) * np.float32(2.0**-24)
-            t = np.floor(log_weight[at : at + SLICE] / r + beta)
-            log_a = log_gamma[low >> np.uint32(16)] - r * (t - beta) - r
-            i = int(log_a.argmin())
-            if log_a[i] < least:
-                least = log_a[i]
-                out[k], steps[k] = own[i], int(t[i]) & 0xFFFFFFFF
+    rows = np.arange(SAMPLES)
+    least = np.full(SAMPLES, np.inf, np.float32)
+    out, steps = np.zeros(SAMPLES, np.uint64), np.zeros(SAMPLES, np.uint64)
+    for at in range(0, len(hashes), TILE):
+        own, log_own = hashes[at : at + TILE], log_weight[at : at + TILE]
+        z = own[None, :] * times[:, None] + plus[:, None]
+        z ^= z >> U(32)
+        z *= U(0xD6E8FEB86659FD93)
+        z ^= z >> U(29)
+        low = z.astype(np.uint32)
+        r = gamma[low & np.uint32(0xFFFF)]
+        beta = (z >> U(40)).astype(np.float32) * np.float32(2.0**-24)
+        t = np.floor(log_own[None, :] / r + beta)
+        log_a = log_gamma[low >> np.uint32(16)] - r * (t - beta) - r
+        best = log_a.argmin(1)
+        value = log_a[rows, best]
+        better = value < least
+        least = np.where(better, value, least)
+        out = np.where(better, own[best], out)
+        steps = np.where(better, t[rows, best].astype(np.int64).astype(np.uint64) & U(0xFFFFFFFF), steps)
     return mix(out ^ (steps * U(0xA24BAED4963EE407)))
 
 
