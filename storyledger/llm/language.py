@@ -30,6 +30,7 @@ PIECE = 1 << 19  # characters handled at once
 LEAST_SCORED = 50  # texts with fewer scored characters are too short to reject
 QUANTILE = 0.999
 SLACK = 0.5  # nats a character above the quantile
+SPREAD = 8.0  # further nats, over the root of the scored characters: short texts vary more
 SHARPNESS = 25.0  # characters of evidence that the score counts at most
 UNKNOWN = "und"
 
@@ -240,7 +241,8 @@ class Detector:
         gap = (entropy - least[:, None]) * np.minimum(scored, SHARPNESS)[:, None]
         score = np.where(alphas > 0, 1.0 / np.exp(-gap).sum(1), 0.0)
         limit = np.array([self.model.limits.get(n, np.inf) for n in names])[best]
-        rejected = (alphas == 0) | ((scored >= LEAST_SCORED) & (least > limit))
+        allowed = limit + SPREAD / np.sqrt(np.maximum(scored, 1))
+        rejected = (alphas == 0) | ((scored >= LEAST_SCORED) & (least > allowed))
         named = [names[b] if a else UNKNOWN for b, a in zip(best, alphas, strict=True)]
         return [pa.array(named), pa.array(score), pa.array(np.where(alphas > 0, least, np.nan), from_pandas=True), pa.array(scored), pa.array(rejected)]
 
