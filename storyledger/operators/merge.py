@@ -180,7 +180,8 @@ def purge_stale_urls(docs: DataFrame, registry: DataFrame) -> DataFrame:
 
 def retain_stored(spark: SparkSession, root: str, asof: Column) -> None:
     """Apply retention in place, rewriting only date partitions that still hold heavy columns."""
-    docs = read_table(spark, root, "raw_documents")
+    # Read as stored: columns that the declared schema does not know are kept.
+    docs = spark.read.option("mergeSchema", "true").parquet(f"{root}/raw_documents")
     old = docs.filter(
         (F.col("fetch_date") <= F.to_date(asof - F.expr(f"INTERVAL {HTML_RETENTION}")))
     )

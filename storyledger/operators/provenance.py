@@ -58,7 +58,8 @@ def with_primary_links(
         found = F.filter(
             F.array_distinct(hits), lambda d: d.isNotNull() & ~is_same_domain(page_host, d)
         )
-        return pinned(staged, docs.columns, {out: F.array_sort(found)})
+        none = F.array().cast("array<string>")
+        return pinned(staged, docs.columns, {out: F.coalesce(F.array_sort(found), none)})
 
     per_host = staged.select(key, page_host.alias("__page"), F.explode("__hosts").alias("__host"))
     per_suffix = per_host.select("*", F.explode(host_suffixes(F.col("__host"))).alias("domain"))

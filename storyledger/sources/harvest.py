@@ -17,16 +17,7 @@ from storyledger.sources.feeds import PULL_COLUMNS
 # Shortest article title, most links per page, and paths that are never articles.
 MIN_TITLE_CHARS = 25
 MAX_LINKS = 200
-CHROME_SECTIONS = (
-    "login", "signin", "register", "about", "contact", "privacy", "terms", "disclaimer",
-    "sitemap", "search", "feedback", "help", "faq",
-)
-CHROME_ASSETS = (
-    "css", "js", "png", "jpe?g", "gif", "svg", "ico", "woff2?", "ttf", "zip",
-)
-CHROME = (
-    r"(?i)/(?:" + "|".join(CHROME_SECTIONS) + r")(?:/|$|\.)|\.(?:" + "|".join(CHROME_ASSETS) + r")(?:$|\?)"
-)
+CHROME = r"(?i)/(?:login|signin|register|about|contact|privacy|terms|disclaimer|sitemap|search|feedback|help|faq)(?:/|$|\.)|\.(?:css|js|png|jpe?g|gif|svg|ico|woff2?|ttf|zip)(?:$|\?)"  # noqa: E501
 NOT_A_PAGE = r"(?i)^(?:#|(?:mailto|javascript|tel|data):)"
 
 

@@ -49,7 +49,7 @@ def test_texts(spark):
     assert [r.extraction_status for r in rows] == ["ok", "partial", "partial", "failed", "failed", "ok"]
     assert "reasons in some detail" in rows[0].page_text and "Copyright" not in rows[0].page_text and "var s" not in rows[0].page_text
     assert "Subscribe" in rows[1].page_text and "paywall" in rows[1].extraction_error
-    assert "Revised margin" in rows[2].page_text and "Home" not in rows[2].page_text and "not article-shaped" in rows[2].extraction_error
+    assert "Revised margin" in rows[2].page_text and "Home" not in rows[2].page_text and "no article found" in rows[2].extraction_error
     assert "link link" not in rows[5].page_text
 
 

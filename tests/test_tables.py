@@ -154,3 +154,18 @@ def test_slot_size_does_not_matter(spark):
         for slot in ("hour", "day", "minute")
     ]
     assert runs[0] == runs[1] == runs[2]
+
+
+def test_stored_retention_keeps_every_column_and_row(spark, tmp_path):
+    from storyledger.operators.merge import retain_stored
+
+    row = ("d1", 7, "http://a/1", "text", "<p>", "2024-01-01 00:00:00")
+    names = "document_id string, pull_id bigint, url string, text_content string, html_snapshot string, fetched_at string"
+    docs = spark.createDataFrame([row, ("d2", 8, "http://a/2", "text", "<p>", "2024-01-30 20:00:00")], names)
+    docs = docs.withColumn("fetched_at", F.col("fetched_at").cast("timestamp")).withColumn("fetch_date", F.to_date("fetched_at"))
+    docs.write.partitionBy("fetch_date").parquet(f"{tmp_path}/raw_documents")
+    retain_stored(spark, str(tmp_path), F.lit("2024-01-31 00:00:00").cast("timestamp"))
+    after = spark.read.parquet(f"{tmp_path}/raw_documents")
+    assert sorted(after.columns) == sorted(docs.columns)
+    got = {r.document_id: (r.pull_id, r.text_content, r.html_snapshot) for r in after.collect()}
+    assert got == {"d1": (7, None, None), "d2": (8, "text", "<p>")}

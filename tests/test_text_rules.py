@@ -34,9 +34,9 @@ def test_published_times(spark):
     rows = rows.withColumn("fetched_at", F.lit(FETCHED).cast("timestamp"))
     got = times.with_published(rows).orderBy("i").select(F.col("published_at").cast("string").alias("at"), "published_at_confidence", "published_at_reason").collect()
     assert [(c[0], g.at, g.published_at_confidence) for c, g in zip(cases, got)] == cases
-    assert got[8].published_at_reason == "published date is 10h in the future"
+    assert got[8].published_at_reason == "published date is 10h ahead, in the future"
     assert "225d old" in got[11].published_at_reason
-    assert got[14].published_at_reason == 'unparseable date "not a date"; using fetch time'
+    assert got[14].published_at_reason == 'unparseable: "not a date", so the fetch time stands in'
 
 
 def test_active_hours(spark):
@@ -80,7 +80,7 @@ def test_claims(spark):
     frame = spark.createDataFrame(rows, "role string, kind string, text string, want string")
     got = frame.select("text", "want", claim(F.col("role"), F.col("kind"), F.col("text")).alias("v")).collect()
     assert [(r.text, r.v.claim_type) for r in got] == [(r.text, r.want) for r in got]
-    assert got[1].v.claim_reason == 'anonymously sourced: "sources said"'
+    assert got[1].v.claim_reason == 'unnamed sources: "sources said"'
 
 
 def test_wire(spark):
