@@ -20,6 +20,7 @@ from storyledger.functions.urls import with_budget_host, with_canonical_url
 from storyledger.functions.wire import has_verbatim_quote, with_wire
 from storyledger.operators import audit, identity, merge, pages, provenance, schedule, validate
 from storyledger.plans import ingest, marts
+from storyledger.limits import POLLER_LIMITS
 from storyledger.session import landed, work_dir
 from storyledger.sizing import broadcast_if_small
 from storyledger.sources import apis, feeds, harvest, payloads, registry
@@ -132,7 +133,7 @@ def fetch_page_set(spark, sf):
     _, held = _held(spark, sf)
     fresh = identity.not_held(identity.dedup_within_pull(_items(spark, sf)), held)
     role = F.when(F.col("pull_id") == "pull-4", "discovery").otherwise("record")
-    return identity.mark_pages_to_fetch(fresh, role).select("pull_id", "pos", "fetch_page")
+    return identity.mark_pages_to_fetch(fresh, role, POLLER_LIMITS.pages_per_pull).select("pull_id", "pos", "fetch_page")
 
 
 # ---- registry ------------------------------------------------------------------------
@@ -552,7 +553,7 @@ def retention_debt(spark, sf):
 
 
 def _harvested(spark, sf):
-    found = harvest.scrape_pages(B.index_payloads(spark, sf), B.registry(spark, sf))
+    found = harvest.scrape_pages(B.index_payloads(spark, sf), B.registry(spark, sf), max_links=POLLER_LIMITS.links_per_page)
     return landed(found.select("source_id", "pull_id", "links", "error_kind"), "harvested")
 
 
@@ -591,7 +592,7 @@ def calendar_overdue(spark, sf):
 def harvest_links(spark, sf):
     """Navigation links of the crawled pages; titles may be short here."""
     rows = B.table(spark, sf, "pages").select("page_id", "url", "html")
-    found = harvest.harvest_links(rows, "html", "url", min_title_chars=1)
+    found = harvest.harvest_links(rows, "html", "url", min_title_chars=1, max_links=POLLER_LIMITS.links_per_page)
     return found.select("page_id", F.posexplode("links").alias("at", "link")).select(
         "page_id", "at", F.col("link")["url"].alias("link_url"), F.col("link")["title"].alias("title")
     )
@@ -621,13 +622,13 @@ def hn_items(spark, sf):
 @query
 def release_items(spark, sf):
     good = payloads.usable(payloads.classify(B.payloads(spark, sf)), "github_api")
-    return apis.release_items(good).select(*ITEM)
+    return apis.release_items(good, POLLER_LIMITS.summary_chars).select(*ITEM)
 
 
 @query
 def scrape_items(spark, sf):
     good = payloads.usable(payloads.classify(B.payloads(spark, sf)), "scrape")
-    return harvest.scrape_items(harvest.scrape_pages(good, B.registry(spark, sf))).select("pull_id", "pos", "url_raw", "title")
+    return harvest.scrape_items(harvest.scrape_pages(good, B.registry(spark, sf), max_links=POLLER_LIMITS.links_per_page)).select("pull_id", "pos", "url_raw", "title")
 
 
 @query
@@ -643,7 +644,7 @@ def payload_status(spark, sf):
 @query
 def select_adapter(spark, sf):
     """Items per pull, each fetch type through its own parser."""
-    items = ingest.select_items(B.payloads(spark, sf), B.registry(spark, sf))
+    items = ingest.select_items(B.payloads(spark, sf), B.registry(spark, sf), POLLER_LIMITS)
     return items.groupBy("pull_id").agg(F.count("*").alias("n_items"), F.count("discovery_target_url").alias("n_targets"))
 
 
@@ -660,7 +661,7 @@ def feed_candidates(spark, sf):
 
 def _quality(spark, sf):
     batch, known = landed(B.payloads(spark, sf), "payloads"), B.registry(spark, sf)
-    return ingest.feed_quality(ingest.select_items(batch, known), ingest.payload_errors(batch, known))
+    return ingest.feed_quality(ingest.select_items(batch, known, POLLER_LIMITS), ingest.payload_errors(batch, known))
 
 
 @query
@@ -679,7 +680,7 @@ def _ingested(spark, sf):
     held = B.table(spark, sf, "documents").filter("lang = 'de'").select(
         F.expr("concat('https://', source, '.example.com/A/', doc_id)").alias("url")
     )
-    items, documents = ingest.ingest(batch, B.landed_pages(spark, sf), known, held)
+    items, documents = ingest.ingest(batch, B.landed_pages(spark, sf), known, held, limits=POLLER_LIMITS)
     return batch, known, items, held, documents
 
 
@@ -736,13 +737,13 @@ def first_img(spark, sf):
 
 @query
 def page_candidates(spark, sf):
-    rows = B.marked_pages(spark, sf).select("page_id", F.posexplode(images.page_candidates(without_invisible(F.col("html")))).alias("at", "c"))
+    rows = B.marked_pages(spark, sf).select("page_id", F.posexplode(images.page_candidates(without_invisible(F.col("html")), POLLER_LIMITS.page_images)).alias("at", "c"))
     return rows.select("page_id", "at", "c.url", "c.source", "c.width", "c.height")
 
 
 @query
 def page_signals(spark, sf):
-    rows = pages.with_page_signals(B.marked_pages(spark, sf))
+    rows = pages.with_page_signals(B.marked_pages(spark, sf), limits=POLLER_LIMITS)
     return rows.select(
         "page_id", "page_byline", "page_title", F.size("hrefs").alias("n_links"), "hrefs",
         has_verbatim_quote(F.col("quotes")).alias("has_verbatim_quote"),
@@ -775,7 +776,7 @@ def extraction_mix(spark, sf):
 @query
 def page_wire(spark, sf):
     """Wire agency of a page: its bylines first, then its text."""
-    rows = pages.with_page_text(pages.with_page_signals(B.marked_pages(spark, sf)))
+    rows = pages.with_page_text(pages.with_page_signals(B.marked_pages(spark, sf), limits=POLLER_LIMITS))
     wired = with_wire(rows, byline=F.col("page_byline"), body=F.col("page_text"))
     return wired.select("page_id", "wire_agency", "wire_evidence", "wire_matched")
 

@@ -1,7 +1,7 @@
 """HTML as text: tags, attributes, entities and visible text, with native regular expressions.
 
 Quantifiers over groups are possessive, which Java runs as loops: no deep recursion on long
-pages, and no backtracking. Elements may nest in elements of the same name up to four deep.
+pages, and no backtracking. Elements may nest in elements of the same name up to ``NESTING`` deep.
 """
 
 from __future__ import annotations
@@ -22,11 +22,13 @@ INVISIBLE = (
     r"|<(?:noscript|template)\b[^>]*+>.*?</(?:noscript|template)\s*+>"
 )
 TAG = rf"<[/!?A-Za-z]{INSIDE}>"
+# Java patterns do not recurse; the length of a pattern grows in proportion to this.
+NESTING = 24
 
 
 def without_invisible(html: Column) -> Column:
-    """Drop comments, scripts and styles, so that no tag inside them counts."""
-    return F.regexp_replace(html, INVISIBLE, " ")
+    """Drop comments, scripts and styles, so that no tag inside them counts and text around them joins."""
+    return F.regexp_replace(html, INVISIBLE, "")
 
 
 def _entities() -> Column:
@@ -73,8 +75,13 @@ def tags(html: Column, name: str) -> Column:
 
 
 def attr(tag: Column, name: str) -> Column:
-    """Value of an attribute of a tag; null when it is absent."""
-    found = rf"""(?is)[\s"']{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    """Value of an attribute of a tag, the first of that name; null when it is absent.
+
+    Attributes are stepped over from the left, so a look-alike inside the value of another one does not count.
+    """
+    value_of = r"""(?:"[^"]*+"|'[^']*+'|[^\s"'>]++)"""
+    other = rf"""[\s/"'=]++|(?!{name}\s*+=)[^\s=>/"']++(?:\s*+=\s*+{value_of})?+"""
+    found = rf"""(?is)^<[^\s>/"']++(?:{other})*+{name}\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 
     def value(t: Column) -> Column:
         text = F.concat(*[F.regexp_extract(t, found, i) for i in (1, 2, 3)])
@@ -88,7 +95,7 @@ def opening_tag(element: Column) -> Column:
     return F.regexp_extract(element, rf"(?s)^(<{INSIDE}>)", 1)
 
 
-def element_pattern(opening: str, *, depth: int = 3, end: str = "") -> str:
+def element_pattern(opening: str, *, depth: int = NESTING, end: str = "") -> str:
     """Pattern whose group 1 is each element that starts with ``opening`` (name in group 2).
 
     It looks ahead, so elements inside a match are found as well. With ``end`` as ``?`` an

@@ -16,7 +16,6 @@ from storyledger.functions.urls import base_parts, resolve_stages
 MIN_SIDE = 3
 MIN_LEAD_WIDTH = 200
 MIN_INLINE_WIDTH = 400
-MAX_PAGE_CANDIDATES = 12
 JUNK_SHAPES = (
     r"/(?:pixel|spacer|blank|beacon|dot)\.(?:gif|png)(?:$|\?)",
     rf"{WORD_START}1x1{WORD_END}",
@@ -166,16 +165,16 @@ def feed_candidates(media: Column, thumbnails: Column, enclosure: Column, conten
     )
 
 
-def page_candidates(html: Column) -> Column:
+def page_candidates(html: Column, most: int | None = None) -> Column:
     """Candidates of a landed page: metadata first, then wide ``<img>`` elements.
 
-    Inline images stop when the whole list has twelve entries; metadata is never cut.
+    With ``most``, inline images stop when the whole list has so many entries; metadata is never cut.
     """
     found = F.concat(
         let(tags(html, "meta"), lambda t: _metadata(t, "meta")),
         let(tags(html, "link"), lambda t: _metadata(t, "link")),
     )
-    return let(found, lambda metadata: _with_inline(metadata, html))
+    return let(found, lambda metadata: _with_inline(metadata, html, most))
 
 
 def _metadata(found: Column, tag: str) -> Column:
@@ -195,7 +194,7 @@ def _metadata(found: Column, tag: str) -> Column:
     return F.concat(*groups)
 
 
-def _with_inline(metadata: Column, html: Column) -> Column:
+def _with_inline(metadata: Column, html: Column, most: int | None) -> Column:
     inline = F.filter(
         F.transform(
             tags(html, "img"),
@@ -209,6 +208,8 @@ def _with_inline(metadata: Column, html: Column) -> Column:
         lambda c: (F.coalesce(c["url"], F.lit("")) != "")
         & (F.coalesce(c["width"].cast("int"), F.lit(0)) >= MIN_INLINE_WIDTH),
     )
+    if most is None:
+        return F.concat(metadata, inline)
     # The check runs after each addition, so one inline image always gets in.
-    room = F.greatest(F.lit(MAX_PAGE_CANDIDATES) - F.size(metadata), F.lit(1))
+    room = F.greatest(F.lit(most) - F.size(metadata), F.lit(1))
     return F.concat(metadata, F.slice(inline, F.lit(1), room))

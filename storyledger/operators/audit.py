@@ -26,12 +26,14 @@ NO_PATTERN = "the source has no index_link_pattern"
 NO_MATCH = "no link of the index fits the pattern"
 
 
-def compare_with_held(expected: DataFrame, held: DataFrame, key: str = "source_id") -> DataFrame:
+def compare_with_held(
+    expected: DataFrame, held: DataFrame, key: str = "source_id", stored: int = MAX_STORED_MISSING
+) -> DataFrame:
     """Per key: expected, ingested and missing URLs, with the first missing ones by ``pos``.
 
     ``expected`` has the key, ``url`` and ``pos``. Repeated URLs of a key fold to their first
-    position before anything is joined. Missing URLs are ranked with a limit, so at most fifty
-    per key and task reach the final list.
+    position before anything is joined. Missing URLs are ranked with a limit, so at most
+    ``stored`` per key and task reach the final list; ``missing_pages`` has all of them as rows.
     """
     unique = expected.filter(F.col("url").isNotNull()).groupBy(key, "url").agg(F.min("pos").alias("pos"))
     known = held.select("url").distinct().withColumn("__held", F.lit(True))
@@ -43,7 +45,7 @@ def compare_with_held(expected: DataFrame, held: DataFrame, key: str = "source_i
     missing = (
         marked.filter(~F.col("__held"))
         .withColumn("rank", F.row_number().over(first))
-        .filter(F.col("rank") <= MAX_STORED_MISSING)
+        .filter(F.col("rank") <= stored)
         .groupBy(key)
         .agg(F.array_sort(F.collect_list(F.struct("rank", "url"))).alias("__rows"))
         .select(key, F.transform("__rows", lambda r: r["url"]).alias("missing_urls"))
@@ -53,6 +55,12 @@ def compare_with_held(expected: DataFrame, held: DataFrame, key: str = "source_i
     )
 
 
+def missing_pages(expected: DataFrame, held: DataFrame, key: str = "source_id") -> DataFrame:
+    """Every expected URL that is not held, with the key and its first ``pos``: one row each."""
+    unique = expected.filter(F.col("url").isNotNull()).groupBy(key, "url").agg(F.min("pos").alias("pos"))
+    return unique.join(held.select("url"), "url", "left_anti").select(key, "url", "pos")
+
+
 def _verdict(df: DataFrame) -> DataFrame:
     gap = F.col("expected_count") > F.col("ingested_count")
     return df.withColumn("status", F.when(gap, "gap").otherwise("ok"))
@@ -71,15 +79,22 @@ def audit_index_diff(harvested: DataFrame, held: DataFrame, registry: DataFrame)
         .join(broadcast_if_small(facts.select("source_id", "lowercase_url_path")), "source_id")
     )
     expected = with_canonical_url(links, "link_url", lowercase=F.col("lowercase_url_path"))
+    bad = harvested.groupBy("source_id").agg(
+        F.count("*").alias("n_pages"),
+        F.count_if(F.col("error_kind").isNull()).alias("n_good"),
+        F.max("error_kind").alias("kind"),
+    )
     note = F.when(F.col("audit_strategy") == "calendar_expect", CALENDAR_NOTE)
-    compared = _verdict(compare_with_held(expected, held)).join(facts, "source_id")
+    compared = _verdict(compare_with_held(expected, held)).join(facts, "source_id").join(bad, "source_id")
+    failed = F.col("n_pages") - F.col("n_good")
+    partly = F.when(
+        failed > 0, F.format_string("%d of %d index pages failed (%s)", failed, F.col("n_pages"), F.col("kind"))
+    )
+    status = F.when(failed > 0, "error").otherwise(F.col("status"))
     good = compared.select(
         "source_id", F.col("audit_strategy").alias("strategy"), "expected_count", "ingested_count",
-        "missing_urls", "status", note.alias("detail"),
+        "missing_urls", status.alias("status"), F.coalesce(partly, note).alias("detail"),
     )
-    bad = harvested.groupBy("source_id").agg(
-        F.count_if(F.col("error_kind").isNull()).alias("n_good"), F.max("error_kind").alias("kind")
-    )
     bad = bad.filter(F.col("n_good") == 0).join(facts, "source_id")
     detail = F.when(F.col("kind") == "no-pattern", NO_PATTERN).when(F.col("kind") == "layout", NO_MATCH)
     return good.unionByName(_error_rows(bad, F.coalesce(detail, F.col("kind"))))

@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from storyledger.functions.urls import with_canonical_url
 from storyledger.sizing import broadcast_if_small
 
-# Fixed value: article pages fetched per pull.
-MAX_PAGES_PER_PULL = 25
-
 
 def first_per_key(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
     """The row with the smallest ``order`` per key, as a partial aggregate.
@@ -53,13 +50,15 @@ def held_only(items: DataFrame, held: DataFrame) -> DataFrame:
 
 
 def mark_pages_to_fetch(
-    fresh: DataFrame, role: Column, limit: int = MAX_PAGES_PER_PULL
+    fresh: DataFrame, role: Column, limit: int | None = None
 ) -> DataFrame:
-    """Add ``fetch_page``: the first ``limit`` fresh items of a pull, for sources of record.
+    """Add ``fetch_page``: the first ``limit`` fresh items of a pull, or all, for sources of record.
 
     The position of the last such item is found per pull from a pre-limited ranking and joined
     back, so that a very long pull is never sorted in one task.
     """
+    if limit is None:
+        return fresh.withColumn("fetch_page", F.coalesce(role == "record", F.lit(False)))
     ranked = fresh.select("pull_id", "pos").withColumn(
         "rank", F.row_number().over(Window.partitionBy("pull_id").orderBy("pos"))
     )

@@ -9,13 +9,14 @@ from storyledger.functions.images import no_candidates, select_lead_image
 from storyledger.functions.times import with_published
 from storyledger.functions.urls import with_canonical_url
 from storyledger.functions.wire import has_verbatim_quote, with_wire
+from storyledger.limits import NO_LIMITS, Limits, left_chars
 from storyledger.operators.identity import (
     dedup_within_pull,
     identify,
     mark_pages_to_fetch,
     not_held,
 )
-from storyledger.operators.pages import SNAPSHOT_CHARS, with_page_signals, with_page_text
+from storyledger.operators.pages import with_page_signals, with_page_text
 from storyledger.operators.provenance import with_primary_links
 from storyledger.schema import PRIMARY_DOMAIN_TYPES
 from storyledger.session import landed
@@ -32,7 +33,7 @@ ITEM_COLUMNS = (
 )
 
 
-def select_items(payloads: DataFrame, registry: DataFrame) -> DataFrame:
+def select_items(payloads: DataFrame, registry: DataFrame, limits: Limits = NO_LIMITS) -> DataFrame:
     """Item rows of all payloads: each fetch type goes to its parser, the rest to none.
 
     Unchanged payloads and payloads without a parser drop out before anything is parsed.
@@ -41,8 +42,8 @@ def select_items(payloads: DataFrame, registry: DataFrame) -> DataFrame:
     parts = [
         with_url(feed_items(usable(good, "rss", "atom"))),
         story_items(usable(good, "hn")),
-        release_items(usable(good, "github_api")),
-        scrape_items(scrape_pages(usable(good, "scrape"), registry)),
+        release_items(usable(good, "github_api"), limits.summary_chars),
+        scrape_items(scrape_pages(usable(good, "scrape"), registry, max_links=limits.links_per_page)),
     ]
     items = parts[0]
     for part in parts[1:]:
@@ -78,7 +79,7 @@ def feed_rows(payloads: DataFrame, fetch_type: str) -> DataFrame:
 
 
 def fresh_items(
-    items: DataFrame, registry: DataFrame, held: DataFrame, *, small_batch: bool = False
+    items: DataFrame, registry: DataFrame, held: DataFrame, *, small_batch: bool = False, limits: Limits = NO_LIMITS
 ) -> DataFrame:
     """Items with an identity, the first per pull, not held yet, with ``fetch_page``."""
     facts = registry.select(
@@ -89,10 +90,12 @@ def fresh_items(
     # Both the page marks and the result read this, and canonical URLs are the costly part.
     unique = landed(unique, "unique")
     fresh = not_held(unique, held, small_batch=small_batch)
-    return mark_pages_to_fetch(fresh, F.col("source_role"))
+    return mark_pages_to_fetch(fresh, F.col("source_role"), limits.pages_per_pull)
 
 
-def build_documents(fresh: DataFrame, pages: DataFrame, registry: DataFrame) -> DataFrame:
+def build_documents(
+    fresh: DataFrame, pages: DataFrame, registry: DataFrame, limits: Limits = NO_LIMITS
+) -> DataFrame:
     """One document per fresh item, with its article page where one was landed.
 
     ``pages`` has ``url`` (canonical), ``page_status`` and ``page_body``. The item's own title
@@ -101,7 +104,9 @@ def build_documents(fresh: DataFrame, pages: DataFrame, registry: DataFrame) ->
     is the record. Items without a page to fetch are ``skipped``.
     """
     wanted = F.col("fetch_page")
-    found = pages.select("url", "page_status", "page_body")
+    asked = fresh.filter(wanted).select("url").distinct()
+    # Page bodies are the bulk of the archive: only those that an item asks for reach the join.
+    found = pages.select("url", "page_status", "page_body").join(asked, "url", "left_semi")
     # Short rules first: every later step analyses the plan so far again.
     items = with_published(fresh)
     items = with_canonical_url(items, "discovery_target_url", out="origin_discovery_target_url")
@@ -120,7 +125,7 @@ def build_documents(fresh: DataFrame, pages: DataFrame, registry: DataFrame) ->
         .otherwise(F.concat(F.col("url"), F.lit(" returned an empty body"))),
     )
     rows = rows.drop("page_body")
-    rows = with_page_text(with_page_signals(rows, "page_html", "url"), "page_html")
+    rows = with_page_text(with_page_signals(rows, "page_html", "url", limits), "page_html")
     rows = rows.withColumn(
         "page_host", F.regexp_extract("url", r"^https?://(?:[^/?#]*@)?([^/?#:]*)", 1)
     )
@@ -158,7 +163,7 @@ def build_documents(fresh: DataFrame, pages: DataFrame, registry: DataFrame) ->
         F.when(has_page, F.coalesce("page_text", "summary"))
         .otherwise(F.col("summary"))
         .alias("text_content"),
-        F.left("page_html", F.lit(SNAPSHOT_CHARS)).alias("html_snapshot"),
+        left_chars(F.col("page_html"), limits.snapshot_chars).alias("html_snapshot"),
         "fetched_at",
         "published_at",
         "published_at_confidence",
@@ -223,16 +228,17 @@ def error_rows(errors: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def ingest(
-    payloads: DataFrame, pages: DataFrame, registry: DataFrame, held: DataFrame, *, small_batch: bool = False
+    payloads: DataFrame, pages: DataFrame, registry: DataFrame, held: DataFrame, *,
+    small_batch: bool = False, limits: Limits = NO_LIMITS,
 ) -> tuple[DataFrame, DataFrame]:
     """Payloads to items, and to documents that are not held, before conflicts between pulls.
 
     Items, fresh items and documents are each read by more than one later step (page marks,
     inserts, outcome counts), so each is landed: payloads are parsed once, pages extracted once.
     """
-    items = landed(select_items(payloads, registry), "items")
-    fresh = landed(fresh_items(items, registry, held, small_batch=small_batch), "fresh")
-    return items, landed(build_documents(fresh, pages, registry), "documents")
+    items = landed(select_items(payloads, registry, limits), "items")
+    fresh = landed(fresh_items(items, registry, held, small_batch=small_batch, limits=limits), "fresh")
+    return items, landed(build_documents(fresh, pages, registry, limits), "documents")
 
 
 def tick_summary(log: DataFrame, *by: str) -> DataFrame:

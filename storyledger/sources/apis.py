@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from storyledger.functions.images import no_candidates
 from storyledger.functions.steps import pinned
+from storyledger.limits import left_chars
 from storyledger.functions.text import blank_to_null, web_trim
 from storyledger.sources.feeds import PULL_COLUMNS
 
 # The permalink of a story, and the longest release summary.
 STORY_PERMALINK = "https://news.ycombinator.com/item?id="
-RELEASE_SUMMARY_CHARS = 2000
 
 STORY = "struct<objectID:string,title:string,url:string,author:string,created_at:string,story_text:string>"
 STORY_SCHEMA = f"hits array<{STORY}>"
@@ -63,7 +63,7 @@ def story_errors(payloads: DataFrame) -> DataFrame:
     return pinned(payloads, keys, {"error_kind": kind}).filter(F.col("error_kind").isNotNull())
 
 
-def release_items(payloads: DataFrame) -> DataFrame:
+def release_items(payloads: DataFrame, summary_chars: int | None = None) -> DataFrame:
     """Releases of tracked repositories; ``part`` names the repository a payload is for and
     ``part_no`` its place in the pull.
 
@@ -86,7 +86,7 @@ def release_items(payloads: DataFrame) -> DataFrame:
         r["html_url"].alias("url_raw"),
         F.concat(F.col("part"), F.lit(" "), name).alias("title"),
         r["published_at"].alias("published_at_raw"),
-        F.left(web_trim(r["body"]), F.lit(RELEASE_SUMMARY_CHARS)).alias("summary"),
+        left_chars(web_trim(r["body"]), summary_chars).alias("summary"),
         r["author"]["login"].alias("author"),
         no_candidates().alias("image_candidates"),
     )

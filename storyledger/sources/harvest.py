@@ -14,13 +14,16 @@ from storyledger.functions.text import web_trim
 from storyledger.functions.urls import base_parts, parse_stages, resolve_stages
 from storyledger.sources.feeds import PULL_COLUMNS
 
-# Shortest article title, most links per page, and paths that are never articles.
+# Shortest article title, and paths that are never articles.
 MIN_TITLE_CHARS = 25
-MAX_LINKS = 200
 CHROME = r"(?i)/(?:login|signin|register|about|contact|privacy|terms|disclaimer|sitemap|search|feedback|help|faq)(?:/|$|\.)|\.(?:css|js|png|jpe?g|gif|svg|ico|woff2?|ttf|zip)(?:$|\?)"  # noqa: E501
 NOT_A_PAGE = r"(?i)^(?:#|(?:mailto|javascript|tel|data):)"
 
 
+def _first(values: Column, most: int | None) -> Column:
+    return values if most is None else F.slice(values, 1, most)
+
+
 def _bare(host: Column) -> Column:
     return F.regexp_replace(F.lower(host), r"^www\.", "")
 
@@ -38,7 +41,7 @@ def harvest_links(
     *,
     pattern: Column | None = None,
     min_title_chars: int = MIN_TITLE_CHARS,
-    max_links: int = MAX_LINKS,
+    max_links: int | None = None,
 ) -> DataFrame:
     """Add ``links``: an array of ``url`` and ``title`` in page order, and ``page_ok``.
 
@@ -59,7 +62,7 @@ def harvest_links(
     ).withColumn("__candidates", F.filter("__named", lambda a: F.char_length(a["title"]) >= min_title_chars))
     staged = staged.withColumn("__kept", _kept_links())
     staged = staged.withColumn("__all", F.transform("__kept", lambda a: a["url"]))
-    staged = staged.withColumn("__urls", F.slice(F.array_distinct("__all"), 1, max_links))
+    staged = staged.withColumn("__urls", _first(F.array_distinct("__all"), max_links))
     links = F.transform(
         "__urls",
         lambda u: F.struct(
@@ -126,7 +129,7 @@ def _kept_links() -> Column:
     )
 
 
-def scrape_pages(payloads: DataFrame, registry: DataFrame, **options: int) -> DataFrame:
+def scrape_pages(payloads: DataFrame, registry: DataFrame, **options: int | None) -> DataFrame:
     """Index payloads with their links and ``error_kind``.
 
     The registry row supplies the mandatory pattern. Without one the page is refused

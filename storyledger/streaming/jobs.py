@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -39,9 +40,12 @@ def append_new_documents(
 
 def stored(spark: SparkSession, store: str, like: DataFrame) -> DataFrame:
     """The stored documents, or an empty frame before the first batch."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(store)
-    exists = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-    return spark.read.parquet(store) if exists else like.limit(0)
+    try:
+        return spark.read.parquet(store)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return like.limit(0)
 
 
 def stream_ingest(

@@ -1,8 +1,10 @@
 from pyspark.sql import functions as F
 
 from storyledger.functions.html import unescape
+from storyledger.functions.html import attr, without_invisible
 from storyledger.functions.images import page_candidates
 from storyledger.functions.wire import with_wire
+from storyledger.limits import POLLER_LIMITS
 from storyledger.operators.pages import plain_text, with_page_signals, with_page_text
 from storyledger.operators.provenance import with_primary_links
 
@@ -40,8 +42,10 @@ def test_byline_places(spark):
         '<p class="author">A</p><p class="author">A</p><p class="author">B</p><p class="author">C</p><p class="author">D</p>',
         "<p>nothing</p>",
     ]
-    got = [r.page_byline for r in with_page_signals(frame(spark, *pages)).orderBy("i").collect()]
+    got = [r.page_byline for r in with_page_signals(frame(spark, *pages), limits=POLLER_LIMITS).orderBy("i").collect()]
     assert got == ["Meta Author · Line", "Rel", "Item", "Test", None, "A · B · C", None]
+    got = [r.page_byline for r in with_page_signals(frame(spark, *pages)).orderBy("i").collect()]
+    assert got[4:6] == ["x" * 201, "A · B · C · D"]
 
 
 def test_texts(spark):
@@ -72,7 +76,26 @@ def test_plain_text_nested_chrome(spark):
 
 def test_inline_images_stop_at_twelve(spark):
     page = frame(spark, "".join(f'<img src="/{i}.jpg" width="500">' for i in range(20)))
-    assert page.select(F.size(page_candidates(F.col("html"))).alias("n")).first().n == 12
+    assert page.select(F.size(page_candidates(F.col("html"), 12)).alias("n")).first().n == 12
+    assert page.select(F.size(page_candidates(F.col("html"))).alias("n")).first().n == 20
+
+
+def test_look_alike_attributes_and_comments(spark):
+    tags = [
+        ('<a title="use href=/bad here" href="/good">', "/good"), ("<a data-href=/x HREF = '/good'>", "/good"),
+        ("<a href>", None), ('<a class="x"href="/good">', "/good"), ("<a href=/good/a?b=c target=_top>", "/good/a?b=c"),
+        ('<a href="/first" href="/second">', "/first"), ("<a/href=/good>", "/good"), ("<a>", None),
+    ]
+    rows = spark.createDataFrame([(t, w) for t, w in tags], "tag string, want string")
+    got = rows.select("tag", attr(F.col("tag"), "href").alias("got"), "want").collect()
+    assert [(r.tag, r.got) for r in got] == [(r.tag, r.want) for r in got]
+    text = rows.limit(1).select(without_invisible(F.lit("5<!-- -->%<script>x</script> a")).alias("t")).first().t
+    assert text == "5% a"
+
+
+def test_deep_nesting(spark):
+    deep = '<div class="byline">' + "<div>" * 15 + "By Ann Lee" + "</div>" * 16
+    assert with_page_signals(frame(spark, deep)).first().page_byline == "By Ann Lee"
 
 
 def test_primary_links_both_ways(spark, monkeypatch):

@@ -61,6 +61,9 @@ def test_harvest(spark):
     only = harvest.harvest_links(page, pattern=F.lit(r"/doc/\d")).first().links
     assert len(only) == 2
     assert len(harvest.harvest_links(page, max_links=1).first().links) == 1
+    many = "".join(f'<a href="/doc/{i}">A circular about something, number {i}</a>' for i in range(1000))
+    long = spark.createDataFrame([(1, "https://www.i.example.com/index", many)], "id int, page_url string, body string")
+    assert len(harvest.harvest_links(long).first().links) == 1000
     bad = spark.createDataFrame([(1, "no url", INDEX)], "id int, page_url string, body string")
     assert not harvest.harvest_links(bad).first().page_ok
 

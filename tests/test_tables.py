@@ -20,7 +20,8 @@ def test_first_per_key_and_page_marks(spark):
     for small in (False, True):
         fresh = identity.not_held(unique, held, small_batch=small)
         assert fresh.count() == 38
-    marked = identity.mark_pages_to_fetch(fresh, F.lit("record"))
+    assert identity.mark_pages_to_fetch(fresh, F.lit("record")).filter("fetch_page").count() == 38
+    marked = identity.mark_pages_to_fetch(fresh, F.lit("record"), 25)
     assert sorted(r.pos for r in marked.filter("fetch_page").collect()) == list(range(2, 27))
     assert identity.mark_pages_to_fetch(fresh, F.lit("discovery")).filter("fetch_page").count() == 0
 
