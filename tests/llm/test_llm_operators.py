@@ -223,8 +223,8 @@ def test_near_duplicates_small(spark):
 
 def test_spanning_pairs_prefer_agreement():
     samples = np.array([[1, 1, 1, 1], [1, 1, 1, 2], [9, 9, 9, 9], [1, 1, 5, 5]])
-    assert near_dup.spanning_pairs(samples, np.array([0, 1, 2, 3]), 2) == [(0, 1), (0, 3)]
-    assert near_dup.spanning_pairs(samples, np.array([0, 0, 2, 3]), 2) == [(0, 3)]
+    assert near_dup.spanning_pairs(samples, np.ones(4), np.array([0, 1, 2, 3]), 2, 0.8) == [(0, 1), (0, 3)]
+    assert near_dup.spanning_pairs(samples, np.ones(4), np.array([0, 0, 2, 3]), 2, 0.8) == [(0, 3)]
 
 
 def test_components_of_a_path_and_a_star(spark):
