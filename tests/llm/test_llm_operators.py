@@ -221,6 +221,26 @@ def test_near_duplicates_small(spark):
     assert near_dup.without_near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_buckets_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK", 3)
+    monkeypatch.setattr(near_dup, "CHAIN", 3)
+    base = prose(21, 200).split()
+    edits = [" ".join(base[:i] + ["changed"] + base[i + 1 :]) for i in range(10, 190, 18)]
+    rows = [(i, t) for i, t in enumerate([*edits, prose(22, 200)])] + [(None, " ".join(base)), (None, prose(23, 200))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = near_dup.near_classes(docs).collect()
+    assert {r.class_id for r in got if r.id is not None and r.id < len(edits)} == {0}
+    alone = [r for r in got if r.class_size == 1]
+    assert len(alone) == 2 and {r.class_id for r in alone} == {None, len(edits)}
+    assert sum(r.kept for r in got) == 3
+
+
+def test_spanning_pairs_leave_out_unlike_totals():
+    samples = np.array([[1, 1, 1, 1], [1, 1, 1, 1], [1, 1, 1, 2]])
+    totals = np.array([1.0, 2.0, 1.1])
+    assert near_dup.spanning_pairs(samples, totals, np.arange(3), 2, 0.8) == [(0, 2)]
+
+
 def test_spanning_pairs_prefer_agreement():
     samples = np.array([[1, 1, 1, 1], [1, 1, 1, 2], [9, 9, 9, 9], [1, 1, 5, 5]])
     assert near_dup.spanning_pairs(samples, np.ones(4), np.array([0, 1, 2, 3]), 2, 0.8) == [(0, 1), (0, 3)]
