@@ -235,6 +235,29 @@ def test_near_duplicates_of_buckets_in_several_blocks(spark, monkeypatch):
     assert sum(r.kept for r in got) == 3
 
 
+@pytest.mark.parametrize("block", [2_000, 3])
+def test_near_duplicates_test_lesser_pairs_once_better_ones_fail(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dup, "BLOCK", block)
+    base = prose(24, 200).split()
+    edits = [" ".join(base[:i] + ["changed"] + base[i + 1 :]) for i in range(10, 190, 18)]
+    docs = spark.createDataFrame(list(enumerate(edits)), "doc_id bigint, text string")
+    rows = near_dup.features(docs, "doc_id", "text", near_dup.document_frequencies(docs, "text"))
+    rows = rows.withColumnRenamed("id", "first_id").localCheckpoint()
+    first = {(r.a, r.b) for r in near_dup.candidate_pairs(near_dup.buckets(rows), 0.8).collect()}
+    samples = {r.node: np.array(r.samples) for r in rows.collect()}
+    wide = {(r.band, r.value): [] for r in near_dup.buckets(rows).where("n > 2").collect()}
+    for r in near_dup.buckets(rows).where("n > 2").collect():
+        wide[r.band, r.value].append(r.node)
+    met = {(a, b) for nodes in wide.values() for a in nodes for b in nodes if a < b} - first
+    agree = {p: (samples[p[0]] == samples[p[1]]).sum() for p in met}
+    a, b = min((p for p in met if agree[p] >= near_dup.LEAST_AGREE), key=lambda p: (agree[p], p))
+    # Stands for a verification that only the pair with the least agreement passes.
+    monkeypatch.setattr(near_dup, "verified", lambda pairs, *_: pairs.where((F.col("a") == a) & (F.col("b") == b)).select("a", "b"))
+    got = near_dup.near_classes(docs).collect()
+    assert {r.class_size for r in got if r.node in (a, b)} == {2}
+    assert {r.class_size for r in got if r.node not in (a, b)} == {1}
+
+
 def test_spanning_pairs_leave_out_unlike_totals():
     samples = np.array([[1, 1, 1, 1], [1, 1, 1, 1], [1, 1, 1, 2]])
     totals = np.array([1.0, 2.0, 1.1])
