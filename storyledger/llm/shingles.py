@@ -10,7 +10,7 @@ import numpy as np
 WORDS = 5
 BANDS, ROWS = 12, 3
 SAMPLES = BANDS * ROWS
-CEILING = 20.0  # a shingle in fewer than one document of so many weighs as if in one of so many
+CEILING = 2.0  # a shingle in fewer than one document of so many weighs as if in one of so many: flat for groups of up to half of all rows
 SKETCH_WIDTH, SKETCH_DEPTH = 1 << 16, 2
 SLICE = 1 << 19  # bytes handled at once
 TILE = 1 << 10  # shingles sampled at once; all samples of so many stay in the processor's cache

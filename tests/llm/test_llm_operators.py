@@ -258,6 +258,19 @@ def test_near_duplicates_test_lesser_pairs_once_better_ones_fail(spark, monkeypa
     assert {r.class_size for r in got if r.node not in (a, b)} == {1}
 
 
+def test_near_duplicates_of_a_group_that_is_a_third_of_all_rows(spark):
+    base = prose(25, 200).split()
+
+    def copy(i):  # two edits of its own, so any two copies share 176 of 216 shingles
+        return " ".join(f"own{i}" if j in (5 + 16 * i, 13 + 16 * i) else w for j, w in enumerate(base))
+
+    texts = [copy(i) for i in range(12)] + [prose(100 + i, 200) for i in range(24)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.id: r.class_id for r in near_dup.near_classes(docs).collect()}
+    assert {got[i] for i in range(12)} == {0}
+    assert all(got[i] == i for i in range(12, 36))
+
+
 def test_spanning_pairs_leave_out_unlike_totals():
     samples = np.array([[1, 1, 1, 1], [1, 1, 1, 1], [1, 1, 1, 2]])
     totals = np.array([1.0, 2.0, 1.1])
