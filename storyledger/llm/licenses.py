@@ -7,6 +7,7 @@ detection that lies inside the words of one with the same or a better priority i
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -117,14 +118,15 @@ def _version(number: str) -> str:
 
 
 def _starts(pattern: str) -> list[str]:
-    """First words of a pattern whose first word is literal, or an alternation of literals."""
-    head = pattern.split(" ")[0]
-    if head.startswith("("):
-        options = head.strip("()").split("|") if pattern[: len(head)].count("(") == 1 and ")" in head else []
-        inner = [o.rstrip(")") for o in options]
-        rest = pattern[pattern.index(")?") + 2 :] if ")?" in pattern[: len(head) + 2] else ""
-        return inner + ([rest.split(" ")[0]] if rest else [])
-    return [head]
+    """All words that a match of a pattern can start with; every group before its first blank is taken apart."""
+    head, group, rest = re.match(r"([^(]*)(?:\(([^()]*)\)(.*))?$", pattern).groups()
+    if group is None or " " in head:
+        word = head.split(" ")[0]
+        if not re.fullmatch("[a-z0-9]+", word):
+            raise ValueError(f"no plain word to look up at the start of {pattern!r}")
+        return [word]
+    options = group.split("|") + ([""] if rest.startswith("?") else [])
+    return sorted({word for option in options for word in _starts(head + option + rest.removeprefix("?"))})
 
 
 def build_rules() -> list[Rule]:
@@ -138,7 +140,8 @@ def build_rules() -> list[Rule]:
     for label, names, versions in named:
         for name in names:
             for number in versions:
-                at = f"{name}{version}{_version(number)}"
+                # A name that ends in v has its number in the same word: gplv3.
+                at = f"{name}{'' if name.endswith('v') else version}{_version(number)}"
                 made.append((granted + at, f"{label}-{number}", 0, 0.98, False))
                 made.append((at, f"{label}-{number}", 1, 0.9, False))
             made.append((granted + name, f"{label}-any", 1, 0.8, False))

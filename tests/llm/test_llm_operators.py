@@ -1,6 +1,7 @@
 """Operators on small tables: nulls, empty and long texts, ties, repeats, no rows, clashing columns."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -128,6 +129,35 @@ def test_licenses_and_suppression(spark):
     assert len(licenses.RULES) > 200
 
 
+def sample_of(rule):
+    """A shortest text that the pattern of a rule matches from its keyword on."""
+
+    def grown(pattern):
+        found = re.search(r"\(([^()]*)\)(\??)|\[([^]]*)\](?:\{(\d)\})?|(.)\?", pattern)
+        if not found:
+            return [pattern]
+        group, maybe, chars, times, _ = found.groups()
+        options = [chars[0] * int(times or 1)] if chars else group.split("|") if group else []
+        options = [""] + options if maybe or group is None and not chars else options
+        return [t for o in options for t in grown(pattern[: found.start()] + o + pattern[found.end() :])]
+
+    # The opening words of a grant are the same in all rules: the shortest form of them is put first.
+    pattern = re.sub(r"^\^\(licensed\|.*?conditions of \(the \)\?\)\?", f"{rule.keyword} under ", rule.pattern).removeprefix("^")
+    fitting = [t for t in grown(pattern) if t.split(" ")[0] == rule.keyword or t == rule.keyword]
+    return min(fitting, key=len)
+
+
+def test_every_license_rule_fires(spark):
+    texts = spark.createDataFrame([(i, f"so {sample_of(r)} x") for i, r in enumerate(licenses.RULES)], "doc_id bigint, text string")
+    fired = {(r.doc_id, r.rule) for r in licenses.detections(texts, ["doc_id"]).where("rule is not null").collect()}
+    assert [r for i, r in enumerate(licenses.RULES) if (i, i) not in fired] == []
+    named = ["Under GPLv3", "LGPLv2.1", "AGPLv3 here", "BSD 3-Clause License", "2-clause BSD license", "Released under the 3-Clause License"]
+    got = {r.doc_id: r.labels for r in licenses.scan_licenses(docs_of(spark, named), ["doc_id"]).collect()}
+    assert [got[i] for i in range(6)] == ["gpl-3.0", "lgpl-2.1", "agpl-3.0", "bsd-3-clause-any", "bsd-2-clause-any", "bsd-3-clause-any"]
+    with pytest.raises(ValueError):
+        licenses._starts("[a-z]+ license ")
+
+
 def test_exact_dedup_over_several_batches_and_colliding_digests(spark, tmp_path):
     rows = [(1, "a"), (2, "b"), (3, "a"), (4, None), (5, ""), (6, "c"), (7, "a"), (7, "a"), (None, "b")]
     frame = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("digest", F.lit("other")).repartition(4)
