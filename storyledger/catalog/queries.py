@@ -866,4 +866,4 @@ def stream_fetch_health(spark, sf):
         F.expr("CASE WHEN event_type IN ('view', 'error') THEN 0 ELSE CAST(floor(value) AS INT) % 40 % 31 END").alias("items_new"),
         F.expr("CASE WHEN event_type = 'error' THEN 'http' END").alias("error"),
     )
-    return jobs.run_to_table(jobs.hourly_fetch_health(log), f"{work}/out", work)
+    return jobs.fetch_health_table(log, f"{work}/out", work)

@@ -90,6 +90,30 @@ def hourly_fetch_health(log: DataFrame, at: str = "attempted_at", lateness: str
     )
 
 
+def fetch_health_table(stream: DataFrame, folder: str, work: str) -> DataFrame:
+    """``hourly_fetch_health`` over all that is available now, with open hours and late rows.
+
+    Each batch writes its partial counts of an hour and source; a replayed batch overwrites its own. The counts of
+    an hour are summed on reading, so no hour waits for a watermark and no row comes too late to count.
+    """
+    keys = ["hour", "source_id"]
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        hourly_fetch_health(batch).write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+
+    query = (
+        stream.writeStream.foreachBatch(sink)
+        .option("checkpointLocation", f"{work}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    none = stream.sparkSession.createDataFrame([], hourly_fetch_health(stream).schema)
+    parts = stored(stream.sparkSession, folder, none)
+    sums = [F.sum(c).alias(c) for c in ("attempts", "items_new", "errors")]
+    return parts.groupBy(*keys).agg(*sums)
+
+
 def run_to_table(stream: DataFrame, folder: str, work: str, mode: str = "append") -> DataFrame:
     """Run a stream over what is available now into a Parquet folder and read that back."""
     query = (

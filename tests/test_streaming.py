@@ -1,5 +1,12 @@
+import os
+
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
+from storyledger.catalog.oracle import ORACLE
+from storyledger.catalog.queries import QUERIES
+
 from storyledger.functions.urls import with_canonical_url
 from storyledger.operators.identity import first_per_key
 from storyledger.streaming import jobs
@@ -41,3 +48,40 @@ def test_stream_dedup(spark, tmp_path):
     stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     out = jobs.run_to_table(jobs.dedup_stream(stream, "url_raw").select("url"), f"{tmp_path}/out", f"{tmp_path}/work")
     assert out.count() == 30
+
+
+def test_fetch_health_has_open_hours_and_late_rows(spark, tmp_path):
+    # An hour in each batch; the last batch brings rows that are ten hours late.
+    for i, hours in enumerate(([0, 10], [11], [0, 11])):
+        rows = [(h * 3600 + 5, "s", 2, None if h else "http") for h in hours]
+        frame = spark.createDataFrame(rows, "at long, source_id string, items_new int, error string")
+        frame.withColumn("attempted_at", F.timestamp_seconds("at")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        for name in os.listdir(tmp_path / "in"):
+            if name.startswith("part-") and os.path.getmtime(tmp_path / "in" / name) > 1e9:
+                os.utime(tmp_path / "in" / name, (1000 + i, 1000 + i))
+    schema = spark.read.parquet(f"{tmp_path}/in").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = jobs.fetch_health_table(stream, f"{tmp_path}/out", f"{tmp_path}/work").collect()
+    assert {(r.hour.hour, r.attempts, r.items_new, r.errors) for r in got} == {(0, 2, 4, 2), (10, 1, 2, 0), (11, 2, 4, 0)}
+    again = jobs.fetch_health_table(stream, f"{tmp_path}/out", f"{tmp_path}/work").collect()
+    assert sorted(got) == sorted(again)
+
+
+def test_fetch_health_query_matches_sql_over_all_hours(spark):
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("benchmark tables are not here")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet'")
+    frame = QUERIES["stream_fetch_health"](spark, folder)
+    got = {tuple(map(str, r)) for r in frame.collect()}
+
+    def rows(sql):
+        cursor = duck.execute(sql)
+        at = [[d[0] for d in cursor.description].index(c) for c in frame.columns]
+        return {tuple(str(r[i]) for i in at) for r in cursor.fetchall()}
+
+    cut = ORACLE["stream_fetch_health"]
+    whole = cut.replace("WHERE hour + INTERVAL 1 HOUR <= (SELECT max(attempted_at) - INTERVAL 1 HOUR FROM log)", "")
+    assert whole != cut
+    assert got == rows(whole) and rows(cut) < got
