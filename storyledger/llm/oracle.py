@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from storyledger.llm import licenses, mixing, shards
+from storyledger.llm import fim, licenses, mixing, shards
 from storyledger.llm.queries import MIX_SEED, N_SHARDS, URL_RULES
 from storyledger.llm.text import SPACED_WORD, WORD
 
@@ -186,6 +186,38 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
+# The output is read back by the places of its sentinels, which occur in no text that is transformed.
+_p, _s, _m = (quoted(x) for x in (fim.PREFIX, fim.SUFFIX, fim.MIDDLE))
+
+
+def _between(first: str, then: str | None) -> str:
+    start = f"strpos(output, {first}) + {len(fim.PREFIX)}"
+    return f"output[{start}:]" if then is None else f"output[{start}:strpos(output, {then}) - 1]"
+
+
+FIM = f"""
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS body, sha256('{fim.SEED}:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+numbers AS (
+  SELECT doc_id, body, length(body)::BIGINT AS n, {", ".join(f"('0x' || h[{8 * i + 1}:{8 * i + 8}])::BIGINT AS h{i + 1}" for i in range(4))}
+  FROM drawn),
+formed AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN n = 0 OR contains(body, {_p}) OR contains(body, {_s}) OR contains(body, {_m}) OR h3 % 100 >= {fim.PLAIN_FROM} THEN 'plain'
+              WHEN h4 % 100 < {fim.SUFFIX_FIRST_BELOW} THEN 'spm' ELSE 'psm' END AS form
+  FROM numbers),
+parts AS (SELECT *, left(body, a) AS prefix, substring(body, a + 1, b - a) AS middle, substring(body, b + 1) AS suffix FROM formed),
+made AS (
+  SELECT *, CASE form WHEN 'psm' THEN concat({_p}, prefix, {_s}, suffix, {_m}, middle)
+                      WHEN 'spm' THEN concat({_s}, suffix, {_p}, prefix, {_m}, middle) ELSE body END AS output
+  FROM parts)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(output) AS output_sha256,
+       sha256(CASE form WHEN 'psm' THEN concat({_between(_p, _s)}, {_between(_m, None)}, {_between(_s, _m)})
+                        WHEN 'spm' THEN concat({_between(_p, _m)}, {_between(_m, None)}, {_between(_s, _p)}) ELSE output END) AS restored_sha256
+FROM made
+"""
+
 ORACLE: dict[str, str] = {
     "op1_mix_sources": MIX,
     "op3_judge_urls": URLS,
@@ -194,4 +226,5 @@ ORACLE: dict[str, str] = {
     "op7_shard": SHARDS,
     "op9_warc": WARC,
     "op10_exact_dedup": EXACT,
+    "op11_fill_in_middle": FIM,
 }

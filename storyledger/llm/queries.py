@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from storyledger.llm import (
     decontaminate,
     exact_dup,
+    fim,
     language,
     licenses,
     mixing,
@@ -136,10 +137,15 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.digests(fim.pieces(table(spark, sf_dir, "documents")))
+    return made.select(F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
 QUERIES: dict[str, Query] = {
     fn.__name__: fn
     for fn in (
         op1_mix_sources, op2_identify_language, op3_judge_urls, op4_decontaminate, op5_count_tokens,
-        op6_scan_licenses, op7_shard, op8_near_duplicates, op9_warc, op10_exact_dedup,
+        op6_scan_licenses, op7_shard, op8_near_duplicates, op9_warc, op10_exact_dedup, op11_fill_in_middle,
     )
 }
