@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyledger.llm import (
+    align,
     decontaminate,
     exact_dup,
     fim,
@@ -33,7 +34,7 @@ URL_RULES = [
     ("org", "/fr/", "allow"),
 ]
 N_SHARDS = 16
-TOKENIZER = "byte_bpe_50k.json"
+TOKENIZER, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 MIX_SEED = "mix"
 
 
@@ -142,10 +143,22 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select(F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
 
 
+def op12_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    found = align.aligned(docs, public_tokenizers.path(TOKENIZER), public_tokenizers.path(PIECES))
+    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("")
+    rows = align.numbered(found.withColumn("groups_sha256", digest).drop("groups"))
+    scored = align.with_scores(rows, landed(align.pair_counts(rows), "pair-counts"))
+    return scored.select(F.col("id").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES: dict[str, Query] = {
     fn.__name__: fn
     for fn in (
         op1_mix_sources, op2_identify_language, op3_judge_urls, op4_decontaminate, op5_count_tokens,
         op6_scan_licenses, op7_shard, op8_near_duplicates, op9_warc, op10_exact_dedup, op11_fill_in_middle,
+        op12_align_tokenizers,
     )
 }
