@@ -16,6 +16,7 @@ from storyledger.llm import (
     licenses,
     mixing,
     near_dup,
+    repeats,
     shards,
     token_counts,
     url_rules,
@@ -154,11 +155,20 @@ def op12_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(F.col("id").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
+def op13_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = repeats.without_repeats(table(spark, sf_dir, "documents"))
+    removed = F.col("n_bytes") - F.octet_length("kept")
+    return cleaned.select(
+        F.col("id").alias("doc_id"), "n_bytes", removed.cast("bigint").alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     fn.__name__: fn
     for fn in (
         op1_mix_sources, op2_identify_language, op3_judge_urls, op4_decontaminate, op5_count_tokens,
         op6_scan_licenses, op7_shard, op8_near_duplicates, op9_warc, op10_exact_dedup, op11_fill_in_middle,
-        op12_align_tokenizers,
+        op12_align_tokenizers, op13_remove_repeats,
     )
 }
