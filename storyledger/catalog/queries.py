@@ -19,11 +19,13 @@ from storyledger.functions.html import without_invisible
 from storyledger.functions.urls import with_budget_host, with_canonical_url
 from storyledger.functions.wire import has_verbatim_quote, with_wire
 from storyledger.operators import audit, identity, merge, pages, provenance, schedule, validate
-from storyledger.plans import ingest, marts
+from storyledger.plans import bookkeeping, ingest, marts
 from storyledger.limits import POLLER_LIMITS
+from storyledger.schema import TABLES
 from storyledger.session import landed, work_dir
 from storyledger.sizing import broadcast_if_small
-from storyledger.sources import apis, feeds, harvest, payloads, registry
+from storyledger.sources import apis, feeds, harvest, payloads, registry, tables
+from storyledger.sources.store import Store
 from storyledger.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -701,6 +703,77 @@ def fetch_outcome(spark, sf):
     )
 
 
+BATCHES = 3
+
+
+def _settled(spark, sf):
+    """A store after the payloads have streamed into it in batches of consecutive times."""
+    work = work_dir(spark, "bookkeeping")
+    batch, known = landed(B.payloads(spark, sf), "payloads"), B.registry(spark, sf)
+    held = B.table(spark, sf, "documents").filter("lang = 'de'").select(
+        F.expr("concat('https://', source, '.example.com/A/', doc_id)").alias("url")
+    )
+    store = Store(f"{work}/store", n=16)
+    bookkeeping.found(spark, store, known, held)
+    slot = F.floor((F.unix_micros(B.asof()) - F.unix_micros("fetched_at")) / 288_000_000_000)
+    # Each write is a file set of its own, and the stream takes one file a batch, the oldest first.
+    for i in reversed(range(BATCHES)):
+        part = batch.where(slot == i) if i else batch.where(slot <= 0)
+        part.coalesce(1).write.mode("append").parquet(f"{work}/in")
+    stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(f"{work}/in")
+    jobs.stream_bookkeeping(stream, store, B.landed_pages(spark, sf), work, POLLER_LIMITS).awaitTermination()
+    return store, store.latest(spark)
+
+
+def _ddl(name):
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in TABLES[name])
+
+
+def _told(column):
+    return F.coalesce(F.col(column).cast("string"), F.lit("-"))
+
+
+def _moment(column):
+    return F.coalesce(F.date_format(column, "yyyy-MM-dd HH:mm:ss"), F.lit("-"))
+
+
+@query
+def ingest_bookkeeping(spark, sf):
+    """Every table after all batches: new documents, the log, closed and open errors, the next registry."""
+    store, version = _settled(spark, sf)
+
+    def rows(frame, name, key, at, *detail):
+        return frame.select(F.lit(name).alias("table_name"), F.col(key).alias("key"), F.col(at).alias("at"), F.concat_ws("|", *detail).alias("detail"))
+
+    error = ("source_id", "occurred_at", "error_type", "message", _moment("resolved_at"))
+    counts = [_told(c) for c in ("http_status", "items_seen", "items_new", "items_with_image", "error")]
+    state = (_moment("last_fetched_at"), "last_etag", _told("feed_window_size"))
+    return validate.union_all(
+        rows(store.read(spark, "raw_documents", None, version), "raw_documents", "url", "fetched_at", "pull_id", "extraction_status"),
+        rows(store.read(spark, "fetch_log", None, version), "fetch_log", "source_id", "attempted_at", *counts),
+        rows(store.read(spark, "source_errors", None, version), "closed_errors", *error),
+        rows(store.read_whole(spark, "open_errors", version), "open_errors", *error),
+        rows(store.read_whole(spark, "sources", version), "sources", "slug", "next_fetch_at", *state),
+    )
+
+
+@query
+def scan_tables(spark, sf):
+    """The stored tables read back with their declared schemas; documents of the last days, by folders of dates."""
+    store, version = _settled(spark, sf)
+    docs = tables.fetched_since(store.read(spark, "raw_documents", _ddl("raw_documents"), version), B.asof(), "5 days")
+    log = store.read(spark, "fetch_log", _ddl("fetch_log"), version)
+    parts = [
+        docs.groupBy(F.col("vertical").alias("of"), F.lit("raw_documents").alias("table_name")).agg(
+            F.count("*").alias("n"), F.count_distinct("document_id").alias("n_keys"), F.count("pull_id").alias("n_pulls")
+        ),
+        log.groupBy(F.coalesce("error", F.lit("-")).alias("of"), F.lit("fetch_log").alias("table_name")).agg(
+            F.count("*").alias("n"), F.count_distinct("source_id").alias("n_keys"), F.sum("items_new").alias("n_pulls")
+        ),
+    ]
+    return validate.union_all(*parts)
+
+
 @query
 def tick_summary(spark, sf):
     """Polls per day as batches."""
@@ -832,7 +905,7 @@ def _stream(spark, sf, name):
 def stream_ingest(spark, sf):
     """Pages as a stream into the document store, each canonical URL once."""
     work = work_dir(spark, "stream-ingest")
-    store = f"{work}/store"
+    store = Store(f"{work}/store")
 
     def build(batch: DataFrame) -> DataFrame:
         rows = batch.select(
@@ -843,7 +916,7 @@ def stream_ingest(spark, sf):
         return known.filter(F.col("url").isNotNull())
 
     jobs.stream_ingest(_stream(spark, sf, "pages"), store, work, build, ("page_id",)).awaitTermination()
-    return spark.read.parquet(store).select("url", "source_id", "page_id")
+    return store.read(spark, "raw_documents", None, store.latest(spark)).select("url", "source_id", "page_id")
 
 
 @query

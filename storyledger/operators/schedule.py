@@ -85,7 +85,8 @@ def advance_schedule(registry: DataFrame, attempts: DataFrame) -> DataFrame:
     """The registry after one attempt per source.
 
     ``attempts`` has ``source_id``, ``attempted_at``, ``http_status``, ``error``, ``items_seen``,
-    ``etag``, ``last_modified`` and ``backoff_ms``. Sources without an attempt stay as they are.
+    ``etag``, ``last_modified`` and ``backoff_ms`` (zero unless the host asked for fewer polls). Sources without
+    an attempt stay as they are.
     A failure moves ``last_fetched_at`` too, and keeps etag and window size.
     """
     a = attempts.select(
@@ -107,7 +108,7 @@ def advance_schedule(registry: DataFrame, attempts: DataFrame) -> DataFrame:
     changed = {
         "next_fetch_at": F.when(
             tried,
-            F.when(~ok & (F.col("__backoff") > 0), F.greatest(base, held_back)).otherwise(base),
+            F.when(F.col("__backoff") > 0, F.greatest(base, held_back)).otherwise(base),
         ).otherwise(F.col("next_fetch_at")),
         "last_fetched_at": F.coalesce("__at", "last_fetched_at"),
         "last_etag": F.when(tried & ok, F.coalesce("__etag", "last_etag")).otherwise(F.col("last_etag")),
@@ -115,8 +116,59 @@ def advance_schedule(registry: DataFrame, attempts: DataFrame) -> DataFrame:
             F.col("last_modified")
         ),
         "feed_window_size": F.when(
-            tried & ok & (F.col("__status") != 304), F.col("__seen").cast("int")
+            tried & ok & (F.col("__status") != 304), F.coalesce(F.col("__seen").cast("int"), "feed_window_size")
         ).otherwise(F.col("feed_window_size")),
     }
     joined = registry.join(a, "source_id", "left")
     return joined.select(*[changed.get(c, F.col(c)).alias(c) for c in registry.columns])
+
+
+def carried_throttles(before: DataFrame, attempts: DataFrame, host: str, tie: str) -> DataFrame:
+    """``host`` and ``throttles`` since the last success, after ``attempts`` that follow the state ``before``.
+
+    The history is not read again: what a batch adds to the count of a host, or whether it resets it, is two partial
+    aggregates of the batch.
+    """
+    at = F.struct("attempted_at", tie)
+    last = attempts.groupBy(host).agg(F.max(F.when(_succeeded(attempts), at)).alias("last_success"))
+    since = (
+        attempts.filter(_throttled())
+        .select(host, at.alias("at"))
+        .join(broadcast_if_small(last), host)
+        .filter(F.col("last_success").isNull() | (F.col("at") > F.col("last_success")))
+        .groupBy(host)
+        .agg(F.count("*").alias("new"))
+    )
+    known = before.select(F.col("host").alias(host), F.col("throttles").alias("old"))
+    joined = last.join(since, host, "left").join(known, host, "full_outer")
+    kept = F.when(F.col("last_success").isNull(), F.coalesce("old", F.lit(0))).otherwise(0)
+    return joined.select(F.col(host).alias("host"), (kept + F.coalesce("new", F.lit(0))).cast("long").alias("throttles"))
+
+
+def advance_over_attempts(registry: DataFrame, attempts: DataFrame, tie: str) -> DataFrame:
+    """The registry after any number of attempts of each source, as if it had been advanced after each.
+
+    ``attempts`` has ``throttles`` of the host after them all. The last attempt decides the next one; etag and
+    modification time are the last that a success brought, the window size that of the last full payload.
+    """
+    at, ok = F.struct("attempted_at", tie), F.col("error").isNull()
+
+    def last(name: str, when: Column) -> Column:
+        return F.max_by(F.when(when, F.col(name)), F.when(when, at)).alias(name)
+
+    folded = attempts.groupBy("source_id").agg(
+        F.max("attempted_at").alias("attempted_at"),
+        F.max_by(F.struct("http_status"), at).alias("last"),
+        last("etag", ok & F.col("etag").isNotNull()),
+        last("last_modified", ok & F.col("last_modified").isNotNull()),
+        last("items_seen", ok & (F.col("http_status") != 304)),
+        F.max("throttles").alias("throttles"),
+    )
+    # As one attempt that succeeded: what it lacks stays as it was; the backoff follows from the last outcome.
+    throttled = F.coalesce(F.col("last")["http_status"].isin(*THROTTLE_STATUSES), F.lit(False))
+    held_back = F.when(throttled, backoff_ms(F.col("throttles"))).otherwise(0)
+    once = folded.select(
+        "source_id", "attempted_at", F.lit(200).alias("http_status"), F.lit(None).cast("string").alias("error"),
+        "items_seen", "etag", "last_modified", held_back.alias("backoff_ms"),
+    )
+    return advance_schedule(registry, once)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,10 +80,16 @@ def feed_rows(payloads: DataFrame, fetch_type: str) -> DataFrame:
     return with_url(rss_items(good) if fetch_type == "rss" else atom_items(good))
 
 
+Held = DataFrame | Callable[[DataFrame], DataFrame]
+
+
 def fresh_items(
-    items: DataFrame, registry: DataFrame, held: DataFrame, *, small_batch: bool = False, limits: Limits = NO_LIMITS
+    items: DataFrame, registry: DataFrame, held: Held, *, small_batch: bool = False, limits: Limits = NO_LIMITS
 ) -> DataFrame:
-    """Items with an identity, the first per pull, not held yet, with ``fetch_page``."""
+    """Items with an identity, the first per pull, not held yet, with ``fetch_page``.
+
+    ``held`` may be a function that finds the stored URLs which given ones may meet.
+    """
     facts = registry.select(
         "source_id", "vertical", "source_type", "source_role", "lowercase_url_path"
     )
@@ -89,7 +97,8 @@ def fresh_items(
     unique = dedup_within_pull(identify(joined, F.col("lowercase_url_path")))
     # Both the page marks and the result read this, and canonical URLs are the costly part.
     unique = landed(unique, "unique")
-    fresh = not_held(unique, held, small_batch=small_batch)
+    known = held(unique.select("url")) if callable(held) else held
+    fresh = not_held(unique, known, small_batch=small_batch)
     return mark_pages_to_fetch(fresh, F.col("source_role"), limits.pages_per_pull)
 
 
@@ -228,7 +237,7 @@ def error_rows(errors: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def ingest(
-    payloads: DataFrame, pages: DataFrame, registry: DataFrame, held: DataFrame, *,
+    payloads: DataFrame, pages: DataFrame, registry: DataFrame, held: Held, *,
     small_batch: bool = False, limits: Limits = NO_LIMITS,
 ) -> tuple[DataFrame, DataFrame]:
     """Payloads to items, and to documents that are not held, before conflicts between pulls.

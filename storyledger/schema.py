@@ -43,7 +43,7 @@ SOURCES = _struct(
 )
 
 RAW_DOCUMENTS = _struct(
-    ("source_id", S), ("vertical", S), ("url", S), ("url_raw", S), ("title", S),
+    ("document_id", S), ("pull_id", S), ("source_id", S), ("vertical", S), ("url", S), ("url_raw", S), ("title", S),
     ("text_content", S), ("html_snapshot", S), ("fetched_at", TS), ("published_at", TS),
     ("published_at_confidence", S), ("published_at_reason", S), ("extraction_status", S),
     ("extraction_error", S), ("origin_primary_links", TEXTS), ("origin_wire_byline", S),

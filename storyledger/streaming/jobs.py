@@ -10,30 +10,35 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from storyledger.functions.urls import with_canonical_url
+from storyledger.limits import NO_LIMITS, Limits
 from storyledger.operators.merge import insert_if_absent
-from storyledger.sources.tables import PARTITION_COLUMN
+from storyledger.plans import bookkeeping
+from storyledger.session import landed
+from storyledger.sources.store import Store
 
 
 def append_new_documents(
-    store: str, order: tuple[str, ...], build: Callable[[DataFrame], DataFrame], staging: str
+    store: Store, order: tuple[str, ...], build: Callable[[DataFrame], DataFrame], staging: str
 ) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` sink that appends the documents of a batch whose URL is not held.
 
     The batch is built once into ``staging`` (a shared folder), which is overwritten on replay,
-    so that nothing is recomputed when an executor is lost. What the store holds is read from
-    the store itself: a replayed batch finds its own rows there and appends nothing twice.
+    so that nothing is recomputed when an executor is lost. Of the store's URL index only the buckets
+    of the batch are read. A replayed batch whose version is complete appends nothing.
     """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        if store.runs(spark, batch_id) is not None:
+            return
         folder = f"{staging}/batch={batch_id}"
         build(batch).write.mode("overwrite").parquet(folder)
         built = spark.read.parquet(folder)
-        held = stored(spark, store, built)
-        rows = insert_if_absent(built, held, *order, small_batch=True)
+        held = store.held(spark, built, batch_id - 1)
+        rows = landed(insert_if_absent(built, held, *order, small_batch=True), "new-documents")
         if "fetch_date" not in rows.columns:
             rows = rows.withColumn("fetch_date", F.to_date("fetched_at"))
-        rows.write.mode("append").partitionBy(PARTITION_COLUMN["raw_documents"]).parquet(store)
+        store.commit(spark, batch_id, rows.select("url"), {"raw_documents": rows}, {})
 
     return sink
 
@@ -50,12 +55,12 @@ def stored(spark: SparkSession, store: str, like: DataFrame) -> DataFrame:
 
 def stream_ingest(
     stream: DataFrame,
-    store: str,
+    store: Store,
     work: str,
     build: Callable[[DataFrame], DataFrame],
     order: tuple[str, ...] = ("fetched_at", "source_id", "url_raw"),
 ) -> StreamingQuery:
-    """Run landed rows through ``build`` into the document store, each URL once."""
+    """Run landed rows through ``build`` into a document store, each URL once."""
     sink = append_new_documents(store, order, build, f"{work}/staging")
     return (
         stream.writeStream.foreachBatch(sink)
@@ -65,6 +70,30 @@ def stream_ingest(
     )
 
 
+def stream_bookkeeping(
+    stream: DataFrame, store: Store, pages: DataFrame, work: str, limits: Limits = NO_LIMITS
+) -> StreamingQuery:
+    """Settle landed payloads into a store that ``bookkeeping.found`` began, a version for each batch.
+
+    All tables of a batch count at once, with its manifest. A batch that is replayed after that changes nothing;
+    one that failed before it is written again in full.
+    """
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        # Read several times, and the files of a batch should be parsed from one copy.
+        folder = f"{work}/staging/batch={batch_id}"
+        batch.write.mode("overwrite").parquet(folder)
+        bookkeeping.settle_into(spark, store, batch_id + 1, spark.read.schema(batch.schema).parquet(folder), pages, limits)
+
+    return (
+        stream.writeStream.foreachBatch(sink)
+        .option("checkpointLocation", f"{work}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def dedup_stream(
     stream: DataFrame, url_col: str, at: str = "fetched_at", lateness: str = "10 days"
 ) -> DataFrame:

@@ -1,14 +1,10 @@
 import os
 
-import duckdb
-import pytest
 from pyspark.sql import functions as F
 
-from storyledger.catalog.oracle import ORACLE
-from storyledger.catalog.queries import QUERIES
-
 from storyledger.functions.urls import with_canonical_url
 from storyledger.operators.identity import first_per_key
+from storyledger.sources.store import Store
 from storyledger.streaming import jobs
 
 ROWS = [(i, f"https://www.x.example.com/{i % 30}?utm_source={i}") for i in range(90)]
@@ -22,8 +18,9 @@ def run(spark, folder, parts):
     frame = spark.createDataFrame(ROWS, "id long, url_raw string")
     frame.repartition(parts, "id").write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    jobs.stream_ingest(stream, f"{folder}/store", f"{folder}/work", build, ("id",)).awaitTermination()
-    return sorted(r.url for r in spark.read.parquet(f"{folder}/store").collect())
+    store = Store(f"{folder}/store", n=8)
+    jobs.stream_ingest(stream, store, f"{folder}/work", build, ("id",)).awaitTermination()
+    return sorted(r.url for r in store.read(spark, "raw_documents", None, store.latest(spark)).collect())
 
 
 def test_batches_do_not_matter(spark, tmp_path):
@@ -34,10 +31,12 @@ def test_batches_do_not_matter(spark, tmp_path):
 
 def test_replay_appends_nothing(spark, tmp_path):
     frame = spark.createDataFrame(ROWS, "id long, url_raw string")
-    sink = jobs.append_new_documents(f"{tmp_path}/store", ("id",), build, f"{tmp_path}/staging")
+    store = Store(f"{tmp_path}/store", n=8)
+    sink = jobs.append_new_documents(store, ("id",), build, f"{tmp_path}/staging")
     sink(frame, 0)
     sink(frame, 0)
-    stored = spark.read.parquet(f"{tmp_path}/store")
+    sink(frame, 1)
+    stored = store.read(spark, "raw_documents", None, store.latest(spark))
     assert stored.count() == 30
     assert first_per_key(stored, ["url"], F.col("id")).agg(F.max("id")).first()[0] == 29
 
@@ -65,23 +64,3 @@ def test_fetch_health_has_open_hours_and_late_rows(spark, tmp_path):
     assert {(r.hour.hour, r.attempts, r.items_new, r.errors) for r in got} == {(0, 2, 4, 2), (10, 1, 2, 0), (11, 2, 4, 0)}
     again = jobs.fetch_health_table(stream, f"{tmp_path}/out", f"{tmp_path}/work").collect()
     assert sorted(got) == sorted(again)
-
-
-def test_fetch_health_query_matches_sql_over_all_hours(spark):
-    folder = "/root/testdata/sf0.001"
-    if not os.path.isdir(folder):
-        pytest.skip("benchmark tables are not here")
-    duck = duckdb.connect()
-    duck.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet'")
-    frame = QUERIES["stream_fetch_health"](spark, folder)
-    got = {tuple(map(str, r)) for r in frame.collect()}
-
-    def rows(sql):
-        cursor = duck.execute(sql)
-        at = [[d[0] for d in cursor.description].index(c) for c in frame.columns]
-        return {tuple(str(r[i]) for i in at) for r in cursor.fetchall()}
-
-    cut = ORACLE["stream_fetch_health"]
-    whole = cut.replace("WHERE hour + INTERVAL 1 HOUR <= (SELECT max(attempted_at) - INTERVAL 1 HOUR FROM log)", "")
-    assert whole != cut
-    assert got == rows(whole) and rows(cut) < got
