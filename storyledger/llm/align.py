@@ -5,9 +5,10 @@ character offsets of A and the spans of B cut a text where tokens of both end at
 share a character, and byte-fallback tokens, have no such end of their own; theirs follow from their decoded bytes.
 Where ends of both sides coincide, a group ends. Every token of A is linked with every token of B in its group.
 
-A text is read in units that start at a space after a character that is not white space. No token of either side
-crosses such a place (for B this is checked in its vocabulary), so units are aligned once and kept in a bounded
-table. A text with a unit that does not come back byte for byte is read again as a whole.
+A text is read in units, which are white space and the word that follows; a single line feed is a unit of its own. No
+token of either side crosses from a word into white space, nor out of a line feed (for B this is checked in its
+vocabulary), so units are aligned once and kept in a bounded table. New plain units are read together, one on each
+line. A text with a unit that does not come back byte for byte is read again as a whole.
 
 Corpus-wide counts of pairs are a plain aggregation. They go back to the documents in two parts: pairs of many
 documents, at most ``HEAD`` of them by count, are broadcast; the others are joined by shuffle, and no key
@@ -23,7 +24,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,15 +35,16 @@ from storyledger.llm.shipping import ship
 from storyledger.llm.token_counts import SPACE
 from storyledger.session import landed
 
-_OTHER_SPACE = SPACE.replace(r"\t-\r ", r"\t-\r")
-UNIT = re.compile(f"[{SPACE}]*[^{SPACE}]+(?:[{_OTHER_SPACE}][{SPACE}]*[^{SPACE}]*)*(?: \\Z)?|[{SPACE}]+")
+PLAIN = re.compile(f" ?[^{SPACE}▁]+")
+PLAIN_CHARS, LINES = 256, 16_384
+# Letters of the Latin blocks, and marks that end words.
+LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ɏ", ".,;:!?"
+FEED = "\n"
 BATCH_CHARS = 1 << 20
 MAX_KNOWN = 300_000
 HEAD = 250_000  # pairs broadcast at most: 4 MB of numbers
 A_SHIFT = 32
 
-Span = tuple[list[int], list[int]]  # identifiers, and byte offsets where they end
-
 
 def byte_level() -> dict[str, int]:
     """Byte of each character of a byte-level vocabulary: visible Latin-1 as itself, the others from 256 on."""
@@ -51,6 +53,10 @@ def byte_level() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _pairs(spans: list[tuple[int, int]]) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(spans), np.int64, 2 * len(spans)).reshape(-1, 2)
+
+
 class Aligner:
     """Both tokenizers with the bytes of their entries."""
 
@@ -61,52 +67,98 @@ class Aligner:
         self.a = Tokenizer.from_file(a_path)
         self.a.encode_special_tokens = True
         chars = byte_level()
-        self.a_bytes = {i: bytes(chars.get(c, 0) for c in t) for t, i in self.a.get_vocab(with_added_tokens=False).items()}
+        entries = self.a.get_vocab(with_added_tokens=False)
+        self.a_bytes = {i: bytes(chars.get(c, 0) for c in t) for t, i in entries.items()}
+        self.a_sizes = np.zeros(max(self.a_bytes, default=0) + 1, np.int64)
+        for i, data in self.a_bytes.items():
+            self.a_sizes[i] = len(data)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.b_is_byte = [self.b.is_byte(i) for i in range(len(pieces))]
+        self.b_is_byte = np.array([self.b.is_byte(i) for i in range(len(pieces))])
         self.b_bytes = [
             bytes([int(p[3:-1], 16)]) if byte else p.replace("▁", " ").encode() for p, byte in zip(pieces, self.b_is_byte, strict=True)
         ]
-        self.cuttable = not any(re.search("[^▁]▁", p) for p in pieces)
-
-    def spans(self, texts: list[str]) -> Iterator[tuple[Span, Span] | None]:
-        """Tokens of each text, which begins with a space; None where decoded bytes differ from it."""
-        sides_a = self.a.encode_batch(texts, add_special_tokens=False)
-        sides_b = self.b.encode([t[1:] for t in texts], return_type="proto", num_threads=1)
-        for text, own_a, own_b in zip(texts, sides_a, sides_b, strict=True):
-            data = text.encode()
-            ids, offsets = own_a.ids, own_a.offsets
-            starts = None if len(data) == len(text) else [0, *accumulate(len(c.encode()) for c in text)]
-            ends_a, at = [], 0
-            for i, (token, (_, stop)) in enumerate(zip(ids, offsets, strict=True)):
-                shared = i + 1 < len(ids) and offsets[i + 1][0] < stop
-                at = at + len(self.a_bytes[token]) if shared else (stop if starts is None else starts[stop])
-                ends_a.append(at)
-            read = [(p.id, p.end) for p in own_b.pieces]
-            ends_b, at = [], 0
-            for token, stop in read:
-                at = at + 1 if self.b_is_byte[token] else stop + 1
-                ends_b.append(at)
-            ids_b = [token for token, _ in read]
-            whole_a = b"".join(map(self.a_bytes.__getitem__, ids))
-            whole_b = b"".join(map(self.b_bytes.__getitem__, ids_b))
-            yield ((ids, ends_a), (ids_b, ends_b)) if whole_a == data == whole_b else None
-
-
-def groups_of(a: Span, b: Span) -> list[tuple[list[int], list[int]]]:
-    """Identifiers of both sides between the offsets where both end."""
-    out, i, j = [], 0, 0
-    both = set(a[1]).intersection(b[1])
-    for end in sorted(both):
-        p, q = i, j
-        while p < len(a[1]) and a[1][p] <= end:
-            p += 1
-        while q < len(b[1]) and b[1][q] <= end:
-            q += 1
-        out.append((a[0][i:p], b[0][j:q]))
-        i, j = p, q
-    return out
+        self.b_sizes = np.array([len(d) for d in self.b_bytes], np.int64)
+        glued = {c for p in pieces for c in re.findall(f"[^{SPACE}▁]([{SPACE}▁])", p)}
+        self.cuttable = not glued & {"▁", " "} and not any(FEED in p for p in pieces)
+        # A unit goes on where some entry of B holds a word's end and this kind of white space.
+        after = f"(?:[{re.escape(''.join(sorted(glued)))}][{SPACE}]*[^{SPACE}]*)*" if glued else ""
+        # And it ends before a mark that no entry of B holds after a letter; A splits there in any case.
+        marks = "".join(c for c in MARKS if not any(re.search(f"[{LETTERS}]{re.escape(c)}", p) for p in pieces))
+        word = f"[{SPACE}]*[{LETTERS}]+(?=[{re.escape(marks)}])|" if marks else ""
+        self.unit = re.compile(f"\\n(?=[^{SPACE}])|{word}[{SPACE}]*[^{SPACE}]+{after}|[{SPACE}]+")
+
+    def read(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+        """Identifiers of A and B in ``text`` and the byte offsets where they end; None where their bytes differ from it.
+
+        A reads the text as it is, B reads it after a line feed, which takes the space that B adds; both leave it again.
+        """
+        data = text.encode()
+        if len(data) == len(text):
+            found, ids_b = None, np.array(self.b.encode_as_numpy(FEED + text), np.int64)
+            own = self.a.encode_batch_fast([text], add_special_tokens=False)[0]
+        else:
+            found = self.b.encode_as_offset_mapping(FEED + text)
+            ids_b = np.array(found["ids"], np.int64)
+            own = self.a.encode(text, add_special_tokens=False)
+        ids_a = np.array(own.ids, np.int64)
+        lead = self.b_sizes[ids_b[:2]].sum() if len(ids_b) > 1 else 0
+        if b"".join(map(self.b_bytes.__getitem__, ids_b.tolist())) != b" \n" + data or lead != 2:
+            return None
+        if b"".join(map(self.a_bytes.__getitem__, ids_a.tolist())) != data:
+            return None
+        ids_b = ids_b[2:]
+        if found is None:
+            # A character is a byte: offsets, spans and decoded bytes are the same numbers.
+            return ids_a, np.cumsum(self.a_sizes[ids_a]), ids_b, np.cumsum(self.b_sizes[ids_b])
+        spans_a, spans_b = _pairs(own.offsets), _pairs(found["offsets"])[2:] - 1
+        code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        at_byte = np.concatenate(([0], np.cumsum(1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000))))
+        ends = []
+        for ids, spans, sizes, loose in ((ids_a, spans_a, self.a_sizes, None), (ids_b, spans_b, self.b_sizes, self.b_is_byte)):
+            end = at_byte[spans[:, 1]]
+            # Tokens that share a character with the next one, and byte-fallback tokens, end where their bytes do.
+            inside = np.zeros(len(ids), bool)
+            inside[:-1] = spans[1:, 0] < spans[:-1, 1]
+            if loose is not None:
+                inside |= loose[ids]
+            ends.append(np.where(inside, np.cumsum(sizes[ids]), end))
+        return ids_a, ends[0], ids_b, ends[1]
+
+
+@lru_cache(maxsize=1 << 18)
+def _one_to_one(a: int, b: int) -> str:
+    return f"{a}|{b}"
+
+
+def grouped(ids_a: np.ndarray, ends_a: np.ndarray, ids_b: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """End of each group, how many tokens of A and of B it has, and its text."""
+    cuts = np.intersect1d(ends_a, ends_b)
+    n_a = np.diff(np.searchsorted(ends_a, cuts, "right"), prepend=0)
+    n_b = np.diff(np.searchsorted(ends_b, cuts, "right"), prepend=0)
+    of_a, of_b = ids_a.tolist(), ids_b.tolist()
+    first_a, first_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
+    texts = list(map(_one_to_one, ids_a[first_a].tolist(), ids_b[first_b].tolist()))
+    many = np.flatnonzero((n_a > 1) | (n_b > 1))
+    for g, i, a, j, b in zip(*(x[many].tolist() for x in (np.arange(len(cuts)), first_a, n_a, first_b, n_b)), strict=True):
+        texts[g] = f"{','.join(map(str, of_a[i : i + a]))}|{','.join(map(str, of_b[j : j + b]))}"
+    return cuts, n_a, n_b, texts
+
+
+class _Grown:
+    """An array that grows by doubling."""
+
+    def __init__(self) -> None:
+        self.data, self.n = np.zeros(1 << 12, np.int64), 0
+
+    def add(self, values: np.ndarray) -> None:
+        if self.n + len(values) > len(self.data):
+            self.data = np.concatenate((self.data[: self.n], np.zeros(max(len(self.data), len(values)), np.int64)))
+        self.data[self.n : self.n + len(values)] = values
+        self.n += len(values)
+
+    def all(self) -> np.ndarray:
+        return self.data[: self.n]
 
 
 class Units:
@@ -120,36 +172,84 @@ class Units:
         self.known: dict[str, int] = {}
         self.bad: set[int] = set()
         self.texts: list[str] = []
-        self.sums: list[tuple[int, int, int, int]] = []
+        self.sums = [_Grown() for _ in range(4)]  # tokens of A, of B, groups, links of each unit
         self.pair_ids: dict[int, int] = {}
-        self.ids: list[int] = []
-        self.times: list[int] = []
-        self.stops: list[int] = [0]
+        self.pairs, self.ids, self.times, self.stops = _Grown(), _Grown(), _Grown(), _Grown()
+        self.stops.add(np.zeros(1, np.int64))
 
     def learn(self, units: list[str]) -> None:
-        ids, times, pair_ids = self.ids, self.times, self.pair_ids
-        for unit, spans in zip(units, self.aligner.spans(units), strict=True):
-            number = self.known[unit] = len(self.texts)
-            if spans is None:
-                self.bad.add(number)
-                groups = []
-            else:
-                groups = groups_of(*spans)
-            met: Counter[int] = Counter()
-            for a, b in groups:
-                if len(a) == len(b) == 1:
-                    met[(a[0] << A_SHIFT) + b[0]] += 1
-                    continue
-                of_b = Counter(b).items()
-                for x, m in Counter(a).items():
-                    for y, n in of_b:
-                        met[(x << A_SHIFT) + y] += m * n
-            for pair, n in met.items():
-                ids.append(pair_ids.setdefault(pair, len(pair_ids)))
-                times.append(n)
-            self.stops.append(len(ids))
-            self.texts.append(";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in groups))
-            self.sums.append((sum(len(a) for a, _ in groups), sum(len(b) for _, b in groups), len(groups), sum(len(a) * len(b) for a, b in groups)))
+        """Plain units together, the others, and any batch that does not come back whole, one by one."""
+        fits = [len(u) <= PLAIN_CHARS and PLAIN.fullmatch(u) is not None for u in units]
+        alone = [u for u, fit in zip(units, fits, strict=True) if not fit]
+        plain = [u for u, fit in zip(units, fits, strict=True) if fit]
+        for kind in ([u for u in plain if u.isascii()], [u for u in plain if not u.isascii()]):
+            for at in range(0, len(kind), LINES):
+                batch = kind[at : at + LINES]
+                if not self._learn_lines(batch):
+                    alone += batch
+        for unit in alone:
+            self._learn_one(unit)
+
+    def _named(self, codes: np.ndarray) -> np.ndarray:
+        """Own numbers of pairs."""
+        new = [c for c in codes.tolist() if c not in self.pair_ids]
+        self.pair_ids.update(zip(new, range(len(self.pair_ids), len(self.pair_ids) + len(new)), strict=True))
+        self.pairs.add(np.array(new, np.int64))
+        return np.fromiter(map(self.pair_ids.__getitem__, codes.tolist()), np.int64, len(codes))
+
+    def _learn_lines(self, units: list[str]) -> bool:
+        read = self.aligner.read(FEED.join(units))
+        if read is None:
+            return False
+        ids_a, ends_a, ids_b, ends_b = read
+        cuts, n_a, n_b, texts = grouped(*read)
+        sizes = np.fromiter((len(u.encode()) for u in units), np.int64, len(units))
+        stop = np.cumsum(sizes + 1) - 1
+        owner = np.searchsorted(stop, cuts)
+        own = cuts > stop[owner.clip(max=len(units) - 1)] - sizes[owner.clip(max=len(units) - 1)]  # not a line feed between units
+        if not np.isin(stop, cuts).all():
+            return False
+        links = n_a * n_b
+        first_a, first_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
+        group = np.repeat(np.flatnonzero(own), links[own])
+        within = np.arange(len(group)) - np.repeat(np.cumsum(links[own]) - links[own], links[own])
+        a, b = ids_a[first_a[group] + within // n_b[group]], ids_b[first_b[group] + within % n_b[group]]
+        codes, inverse = np.unique((a << A_SHIFT) + b, return_inverse=True)
+        held, times = np.unique((owner[group] << 32) + self._named(codes)[inverse], return_counts=True)
+        start = len(self.texts)
+        self.known.update(zip(units, range(start, start + len(units)), strict=True))
+        edges = np.searchsorted(owner, np.arange(len(units) + 1))
+        first = edges[:-1] + ~own[edges[:-1]]
+        self.texts += [";".join(texts[i:j]) for i, j in zip(first.tolist(), edges[1:].tolist(), strict=True)]
+        for grown, values in zip(self.sums, (n_a, n_b, np.ones(len(cuts), np.int64), links), strict=True):
+            grown.add(np.bincount(owner[own], weights=values[own], minlength=len(units)).astype(np.int64))
+        self.stops.add(self.ids.n + np.searchsorted(held >> 32, np.arange(len(units)), "right"))
+        self.ids.add(held & 0xFFFFFFFF)
+        self.times.add(times)
+        return True
+
+    def _learn_one(self, unit: str) -> None:
+        number = self.known[unit] = len(self.texts)
+        read = self.aligner.read(unit)
+        if read is None:
+            self.bad.add(number)
+            read = (np.zeros(0, np.int64),) * 4
+        ids_a, _, ids_b, _ = read
+        _, n_a, n_b, texts = grouped(*read)
+        met: Counter[int] = Counter()
+        i = j = 0
+        for a, b in zip(n_a.tolist(), n_b.tolist(), strict=True):
+            of_b = Counter(ids_b[j : j + b].tolist()).items()
+            for x, m in Counter(ids_a[i : i + a].tolist()).items():
+                for y, n in of_b:
+                    met[(x << A_SHIFT) + y] += m * n
+            i, j = i + a, j + b
+        self.texts.append(";".join(texts))
+        for grown, value in zip(self.sums, (n_a.sum(), n_b.sum(), len(texts), (n_a * n_b).sum()), strict=True):
+            grown.add(np.array([value], np.int64))
+        self.ids.add(self._named(np.fromiter(met, np.int64, len(met))))
+        self.times.add(np.fromiter(met.values(), np.int64, len(met)))
+        self.stops.add(np.array([self.ids.n], np.int64))
 
     def settle(self, spans: list[list[str]]) -> list[tuple[np.ndarray, str, np.ndarray, np.ndarray] | None]:
         """For each list of units: sums, groups as text, pairs and how often each is linked; None if a unit is irreversible."""
@@ -158,29 +258,27 @@ class Units:
         new = [u for u in dict.fromkeys(u for span in spans for u in span) if u not in self.known]
         if new:
             self.learn(new)
-        numbers = [np.fromiter(map(self.known.__getitem__, span), np.int64, len(span)) for span in spans]
+        numbers = [list(map(self.known.__getitem__, span)) for span in spans]
         sizes = np.fromiter(map(len, spans), np.int64, len(spans))
-        flat = np.concatenate(numbers)
-        owner = np.repeat(np.arange(len(spans)), sizes)
-        both, occurs = np.unique((owner << 32) + flat, return_counts=True)
+        flat = np.fromiter((n for own in numbers for n in own), np.int64, int(sizes.sum()))
+        both, occurs = np.unique((np.repeat(np.arange(len(spans)), sizes) << 32) + flat, return_counts=True)
         owner, unit = both >> 32, both & 0xFFFFFFFF
-        sums = np.zeros((len(spans), 4), np.int64)
-        np.add.at(sums, owner, np.array(self.sums, np.int64)[unit] * occurs[:, None])
-        stops = np.array(self.stops, np.int64)
+        sums = np.stack([np.bincount(owner, weights=g.all()[unit] * occurs, minlength=len(spans)).astype(np.int64) for g in self.sums], axis=1)
+        stops = self.stops.all()
         start, size = stops[unit], stops[unit + 1] - stops[unit]
         place = np.arange(size.sum()) + np.repeat(start - np.cumsum(size) + size, size)
-        times = np.array(self.times, np.int64)[place] * np.repeat(occurs, size)
-        keys, inverse = np.unique((np.repeat(owner, size) << 32) + np.array(self.ids, np.int64)[place], return_inverse=True)
+        times = self.times.all()[place] * np.repeat(occurs, size)
+        keys, inverse = np.unique((np.repeat(owner, size) << 32) + self.ids.all()[place], return_inverse=True)
         times = np.bincount(inverse, weights=times, minlength=len(keys)).astype(np.int64)
-        codes = np.fromiter(self.pair_ids, np.int64, len(self.pair_ids))[keys & 0xFFFFFFFF]
+        codes = self.pairs.all()[keys & 0xFFFFFFFF]
         edges = np.searchsorted(keys >> 32, np.arange(len(spans) + 1))
         out = []
         for i, own in enumerate(numbers):
-            if self.bad and not self.bad.isdisjoint(own.tolist()):
+            if self.bad and not self.bad.isdisjoint(own):
                 out.append(None)
                 continue
             at, to = edges[i], edges[i + 1]
-            out.append((sums[i], ";".join(map(self.texts.__getitem__, own.tolist())), codes[at:to], times[at:to]))
+            out.append((sums[i], ";".join(map(self.texts.__getitem__, own)), codes[at:to], times[at:to]))
         return out
 
 
@@ -192,6 +290,7 @@ def _units(a_path: str, b_path: str) -> Units:
 def whole_text(aligner: Aligner, text: str) -> tuple[np.ndarray, str, np.ndarray, np.ndarray] | None:
     """The result of a text read as one unit."""
     alone = Units(aligner)
+    alone._learn_one(text)
     return alone.settle([[text]])[0]
 
 
@@ -237,12 +336,19 @@ def aligned_texts(texts: Iterator[str], units: Units, batch_chars: int = BATCH_C
         else:
             spans.append([])
             owners.append(len(waiting) - 1)
-            for found in UNIT.finditer(" " + text):
-                spans[-1].append(found[0])
-                chars += len(found[0])
+            if len(text) < batch_chars:
+                spans[-1] = units.aligner.unit.findall(" " + text)
+                chars += len(text)
                 if chars >= batch_chars:
                     settled()
                     spans, owners = [[]], [len(waiting) - 1]
+            else:
+                for found in units.aligner.unit.finditer(" " + text):
+                    spans[-1].append(found[0])
+                    chars += len(found[0])
+                    if chars >= batch_chars:
+                        settled()
+                        spans, owners = [[]], [len(waiting) - 1]
             if not spans[-1]:
                 spans.pop(), owners.pop()
         if not spans or len(waiting) >= 4096:
