@@ -291,7 +291,9 @@ def repeated_spans(store: DataFrame, length: int = LENGTH, gram: int = GRAM, mos
     """``row``, ``start`` and ``stop`` of spans of repeated bytes, overlapping, for ``store`` (``row``, ``text``)."""
     every = landed(found_sections(store, length, gram), "sections")
     keys = every.groupBy("key").agg(F.count(F.lit(1)).alias("n"), (F.min("content") != F.max("content")).alias("unlike"))
-    shared = landed(every.join(keys.where("n > 1").select("key", "unlike"), "key"), "shared-sections")
+    # Landed, so that both sides of the join are shuffled for it and skewed partitions of sections can be split.
+    keys = landed(keys.where("n > 1").select("key", "unlike"), "shared-keys")
+    shared = landed(every.join(keys, "key"), "shared-sections")
     place = F.struct("row", "start", "size")
     distinct = shared.where("unlike").groupBy("key", "content").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("place"))
     distinct = landed(distinct.select("key", "content", "n", "place.*"), "distinct-sections")
