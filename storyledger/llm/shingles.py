@@ -10,8 +10,12 @@ import numpy as np
 WORDS = 5
 BANDS, ROWS = 12, 3
 SAMPLES = BANDS * ROWS
-CEILING = 2.0  # a shingle in fewer than one document of so many weighs as if in one of so many: flat for groups of up to half of all rows
-SKETCH_WIDTH, SKETCH_DEPTH = 1 << 16, 2
+SMOOTH = 16.0  # a shingle of one group weighs as one of so many, so small counts hardly matter
+FOLDS = 4  # plain least hashes by which texts are folded to groups
+FINE_BANDS, FINE_ROWS = 16, 6
+FINE_SAMPLES = FINE_BANDS * FINE_ROWS
+SKETCH_DEPTH = 2
+LEAST_WIDTH, MOST_WIDTH, WIDTH_PER_SHINGLE = 1 << 16, 1 << 20, 64
 SLICE = 1 << 19  # bytes handled at once
 TILE = 1 << 10  # shingles sampled at once; all samples of so many stay in the processor's cache
 U = np.uint64
@@ -89,42 +93,65 @@ def shingles(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(mix(joined), return_counts=True)
 
 
-def sketch_slots(hashes: np.ndarray) -> Iterator[np.ndarray]:
-    """Slot of each hash in each row of the sketch, numbered through."""
-    for row in range(SKETCH_DEPTH):
-        yield ((hashes >> U(16 * row)) & U(SKETCH_WIDTH - 1)).astype(np.int64) + row * SKETCH_WIDTH
+def least_hashes(hashes: np.ndarray) -> list[int]:
+    """``FOLDS`` independent least hashes of a set; sets at Jaccard J share each with probability J."""
+    if not len(hashes):
+        return []
+    return [int(mix(hashes * U(2 * k + 3)).min().view(np.int64)) for k in range(FOLDS)]
 
 
-def idf_table(counts: np.ndarray, n_docs: int) -> np.ndarray:
-    """Inverse document frequency of every slot: log(1 + N / df), at most log(1 + ``CEILING``)."""
-    return np.log1p(np.minimum(n_docs / np.maximum(counts, 1), CEILING))
+def grams(hashes: np.ndarray) -> np.ndarray:
+    """32 bits of each hash, for the sketch."""
+    return (hashes >> U(32)).astype(np.uint32)
+
+
+def sketch_width(mean: float) -> int:
+    """Slots of a row of the sketch: so many for each shingle of a mean text, within bounds, as a power of two."""
+    wanted = max(int(mean * WIDTH_PER_SHINGLE), 1)
+    return min(max(1 << (wanted - 1).bit_length(), LEAST_WIDTH), MOST_WIDTH)
+
+
+def sketch_slots(own: np.ndarray, width: int) -> Iterator[np.ndarray]:
+    """Slot of each gram in each row of the sketch, numbered through."""
+    bits = np.uint32(width.bit_length() - 1)
+    for row, odd in enumerate((0x9E3779B1, 0x85EBCA6B)):
+        yield ((own * np.uint32(odd)) >> (np.uint32(32) - bits)).astype(np.int64) + row * width
+
+
+def idf_table(counts: np.ndarray, n_groups: int) -> np.ndarray:
+    """Inverse document frequency of every slot: log(1 + groups / (groups with it + ``SMOOTH`` - 1))."""
+    return np.log1p(max(n_groups, 1) / (np.maximum(counts, 1) + SMOOTH - 1))
 
 
 def weights(hashes: np.ndarray, times: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """TF-IDF of each shingle. Of its slots the one with the least count, so the largest idf, is right."""
-    return times * np.maximum.reduce([idf[s] for s in sketch_slots(hashes)])
+    slots = sketch_slots(grams(hashes), len(idf) // SKETCH_DEPTH)
+    return times * np.maximum.reduce([idf[s] for s in slots])
 
 
-@lru_cache(maxsize=1)
-def _gamma() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Quantiles of Gamma(2, 1), their logarithms, and multipliers of the samples."""
+@lru_cache(maxsize=2)
+def _gamma(first: int, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Quantiles of Gamma(2, 1), their logarithms, and multipliers of the samples from ``first`` on."""
     share = (np.arange(1 << 16) + 0.5) / (1 << 16)
     low, high = np.zeros(1 << 16), np.full(1 << 16, 40.0)
     for _ in range(60):
         mid = (low + high) / 2
         below = 1 - (1 + mid) * np.exp(-mid) < share
         low, high = np.where(below, mid, low), np.where(below, high, mid)
-    seeds = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15)) | U(1)
+    seeds = mix(np.arange(first + 1, first + count + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15)) | U(1)
     return low.astype(np.float32), np.log(low).astype(np.float32), seeds, mix(seeds)
 
 
-def consistent_samples(hashes: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """``SAMPLES`` consistent weighted samples: equal in two sets with probability their weighted Jaccard."""
-    gamma, log_gamma, times, plus = _gamma()
+def consistent_samples(hashes: np.ndarray, weight: np.ndarray, first: int = 0, count: int = SAMPLES) -> np.ndarray:
+    """``count`` consistent weighted samples: equal in two sets with probability their weighted Jaccard.
+
+    Those from another ``first`` on are independent of these.
+    """
+    gamma, log_gamma, times, plus = _gamma(first, count)
     log_weight = np.log(weight).astype(np.float32)
-    rows = np.arange(SAMPLES)
-    least = np.full(SAMPLES, np.inf, np.float32)
-    out, steps = np.zeros(SAMPLES, np.uint64), np.zeros(SAMPLES, np.uint64)
+    rows = np.arange(count)
+    least = np.full(count, np.inf, np.float32)
+    out, steps = np.zeros(count, np.uint64), np.zeros(count, np.uint64)
     for at in range(0, len(hashes), TILE):
         own, log_own = hashes[at : at + TILE], log_weight[at : at + TILE]
         z = own[None, :] * times[:, None] + plus[:, None]
@@ -145,11 +172,11 @@ def consistent_samples(hashes: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return mix(out ^ (steps * U(0xA24BAED4963EE407)))
 
 
-def band_keys(samples: np.ndarray) -> np.ndarray:
-    """One key for each band of ``ROWS`` samples."""
-    rows = samples.reshape(BANDS, ROWS)
-    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for i in range(ROWS):
+def band_keys(samples: np.ndarray, bands: int = BANDS, per_band: int = ROWS) -> np.ndarray:
+    """One key for each band of ``per_band`` samples."""
+    rows = samples.reshape(bands, per_band)
+    keys = np.arange(1, bands + 1, dtype=np.uint64)
+    for i in range(per_band):
         keys = mix(keys * U(0xD6E8FEB86659FD93) + rows[:, i])
     return keys.view(np.int64)
 
