@@ -24,7 +24,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -192,10 +192,11 @@ class Units:
 
     def _named(self, codes: np.ndarray) -> np.ndarray:
         """Own numbers of pairs."""
-        new = [c for c in codes.tolist() if c not in self.pair_ids]
+        listed = codes.tolist()
+        new = list(filterfalse(self.pair_ids.__contains__, listed))
         self.pair_ids.update(zip(new, range(len(self.pair_ids), len(self.pair_ids) + len(new)), strict=True))
         self.pairs.add(np.array(new, np.int64))
-        return np.fromiter(map(self.pair_ids.__getitem__, codes.tolist()), np.int64, len(codes))
+        return np.fromiter(map(self.pair_ids.__getitem__, listed), np.int64, len(listed))
 
     def _learn_lines(self, units: list[str]) -> bool:
         read = self.aligner.read(FEED.join(units))
@@ -255,12 +256,12 @@ class Units:
         """For each list of units: sums, groups as text, pairs and how often each is linked; None if a unit is irreversible."""
         if len(self.known) > MAX_KNOWN:
             self.clear()
-        new = [u for u in dict.fromkeys(u for span in spans for u in span) if u not in self.known]
+        new = list(dict.fromkeys(filterfalse(self.known.__contains__, chain.from_iterable(spans))))
         if new:
             self.learn(new)
         numbers = [list(map(self.known.__getitem__, span)) for span in spans]
         sizes = np.fromiter(map(len, spans), np.int64, len(spans))
-        flat = np.fromiter((n for own in numbers for n in own), np.int64, int(sizes.sum()))
+        flat = np.fromiter(chain.from_iterable(numbers), np.int64, int(sizes.sum()))
         both, occurs = np.unique((np.repeat(np.arange(len(spans)), sizes) << 32) + flat, return_counts=True)
         owner, unit = both >> 32, both & 0xFFFFFFFF
         sums = np.stack([np.bincount(owner, weights=g.all()[unit] * occurs, minlength=len(spans)).astype(np.int64) for g in self.sums], axis=1)
