@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storyledger.functions.steps import let, pinned
-from storyledger.llm.text import words
+from storyledger.llm.text import hidden, words
 from storyledger.session import landed
 from storyledger.sizing import broadcast_if_small
 
@@ -64,8 +64,9 @@ def places(tokens: Column, grams: Column, wanted: Column, k: int) -> Column:
 
 
 def item_fingerprints(items: DataFrame, item: str, text: str) -> DataFrame:
-    """``item_id``, ``need`` (words that must be equal), ``whole`` and a row for each fingerprint's place.
+    """``item_id``, ``need`` (words that must be equal), ``whole`` and a row for each fingerprint and the words around it.
 
+    Places of an item with equal words around them, as in periodic texts, are one row.
     ``whole`` is the family: items of 10 words or more are winnowed, shorter ones give their first gram.
     """
     split = pinned(items, [item], {"tokens": words(F.col(text))}).where(F.size("tokens") > 0)
@@ -84,7 +85,7 @@ def item_fingerprints(items: DataFrame, item: str, text: str) -> DataFrame:
     rows = pinned(split, [item, "tokens"], {"places": found})
     return rows.select(
         F.col(item).alias("item_id"), F.least(n, F.lit(WINDOW)).alias("need"), (n < WINDOW).alias("whole"), F.inline("places")
-    ).distinct()
+    ).drop("at").distinct()
 
 
 def scan(docs: DataFrame, text: str, keep: dict[str, Column], prints: DataFrame) -> DataFrame:
@@ -121,7 +122,7 @@ def scan(docs: DataFrame, text: str, keep: dict[str, Column], prints: DataFrame)
 def shared_spans(scanned: DataFrame, prints: DataFrame) -> DataFrame:
     """Extended hits: ``row``, ``item_id``, ``start`` and ``stop`` (exclusive) in words of the document."""
     hits = scanned.where(F.size("places") > 0).select("row", F.inline("places"))
-    other = broadcast_if_small(prints.withColumnRenamed("near", "item_near").withColumnRenamed("at", "item_at"), MAX_BROADCAST_HITS)
+    other = broadcast_if_small(prints.withColumnRenamed("near", "item_near"), MAX_BROADCAST_HITS)
     pairs = hits.join(other, ["k", "hash"])
     same = F.zip_with("near", "item_near", lambda a, b: F.coalesce(a == b, F.lit(False)))
     left = F.array_position(F.reverse(F.slice("same", 1, BACK)), F.lit(False))
@@ -171,8 +172,8 @@ def contamination(
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, *, text: str = "text") -> DataFrame:
-    """``docs`` without the rows that share a window with a benchmark row; all columns as they were."""
-    digest = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+    """``docs`` without the rows that share a window with a benchmark row; all columns as they were, whatever their names."""
+    digest, own = F.sha2(F.coalesce(F.col(text), F.lit("")), 256), hidden(docs, "__digest")
     judged = contamination(docs, items, {"__digest": digest}, text=text)
-    bad = landed(judged.where("contaminated").select("__digest").distinct(), "contaminated")
-    return docs.join(broadcast_if_small(bad, 200_000), digest == F.col("__digest"), "left_anti")
+    bad = landed(judged.where("contaminated").select(F.col("__digest").alias(own)).distinct(), "contaminated")
+    return docs.join(broadcast_if_small(bad, 200_000), digest == F.col(own), "left_anti")

@@ -19,6 +19,8 @@ from storyledger.session import landed, work_dir
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 # 200 000 hex digests stay under 20 MB.
 MAX_BROADCAST_HITS = 200_000
+BYTES_PER_BATCH = 256 << 20  # of files read into the state at once; a large cluster takes more
+MAX_FILE_AGE = "36500d"  # a stream would else leave out files much older than the newest it has seen
 STATE_SCHEMA = "digest string, n bigint, last struct<id: bigint, file: string, row: bigint>, batch int"
 
 
@@ -48,15 +50,16 @@ def absorb(
     key: str,
     text: str,
     digest: Callable[[Column], Column] = sha256,
-    bytes_per_batch: int = 1 << 40,
+    bytes_per_batch: int = BYTES_PER_BATCH,
 ) -> DataFrame:
     """Stream new files of ``path`` into the state kept in ``folder``; the whole state as a frame.
 
-    A second call with the same folder reads only files that came since. A batch that is run again
-    after a failure overwrites its own changes.
+    A second call with the same folder reads only files that came since, however old they are. Files are read in
+    batches of about ``bytes_per_batch``; later ones find the digests of earlier ones in the state. A batch that is
+    run again after a failure overwrites its own changes.
     """
     table = spark.read.parquet(path)
-    reader = spark.readStream.schema(table.schema).option("maxBytesPerTrigger", bytes_per_batch)
+    reader = spark.readStream.schema(table.schema).option("maxBytesPerTrigger", bytes_per_batch).option("maxFileAge", MAX_FILE_AGE)
     parent, _, name = path.rstrip("/").rpartition("/")
     if [f.rpartition("/")[2] for f in table.inputFiles()] == [name]:
         source = reader.option("pathGlobFilter", name).parquet(parent)  # a stream reads folders: the one the file is in
@@ -124,7 +127,7 @@ def exact_dedup(
     text: str = "text",
     folder: str | None = None,
     digest: Callable[[Column], Column] = sha256,
-    bytes_per_batch: int = 1 << 40,
+    bytes_per_batch: int = BYTES_PER_BATCH,
 ) -> DataFrame:
     """One row for each row of the Parquet table at ``path``: which of its equals stays.
 
@@ -147,9 +150,11 @@ def exact_dedup(
         exact = clash.groupBy("digest", "content").agg(F.count(F.lit(1)).alias("n"), F.max("last").alias("keep"))
         apart = clash.join(exact, ["digest", "content"]).select("last", sha256(F.col("content")).alias("sha256"), "n", "keep")
         out = out.join(mixed, "digest", "left_anti")
-        joined = out.join(kept, "digest").select("last", "sha256", "n", "keep").unionByName(apart)
+        joined = out.join(kept, "digest", "left").select("last", "sha256", "n", "keep").unionByName(apart)
     else:
-        joined = out.join(kept, "digest")
+        joined = out.join(kept, "digest", "left")
+    lost = F.raise_error(F.lit("exact dedup: a row's digest is not in the state")).cast("bigint")
+    joined = joined.withColumn("n", F.coalesce("n", lost))
     return joined.select(
         F.col("last.id").alias("id"),
         F.col("keep.id").alias("keep_id"),

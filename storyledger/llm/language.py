@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from storyledger.llm.shipping import ship
 
@@ -25,9 +26,9 @@ ORDER = 4
 BITS = 16
 SAMPLE_ROWS = 500  # labelled rows a language is learned from, about
 CALIBRATION_ROWS = 500  # further labelled rows for the rejection level, about
-MAX_LETTERS = (1 << BITS) - 2
+MAX_LETTERS = (1 << BITS) - 2  # letters beyond so many different ones in the sample count as one unknown letter
 PIECE = 1 << 19  # characters handled at once
-LEAST_SCORED = 50  # texts with fewer scored characters are too short to reject
+LEAST_CALIBRATED = 50  # scored characters of a text that a rejection level is read from
 QUANTILE = 0.999
 SLACK = 0.5  # nats a character above the quantile
 SPREAD = 8.0  # further nats, over the root of the scored characters: short texts vary more
@@ -240,9 +241,11 @@ class Detector:
         least = entropy.min(1)
         gap = (entropy - least[:, None]) * np.minimum(scored, SHARPNESS)[:, None]
         score = np.where(alphas > 0, 1.0 / np.exp(-gap).sum(1), 0.0)
-        limit = np.array([self.model.limits.get(n, np.inf) for n in names])[best]
+        # A language without a level of its own has the highest of the others.
+        pooled = max(self.model.limits.values(), default=np.inf)
+        limit = np.array([self.model.limits.get(n, pooled) for n in names])[best]
         allowed = limit + SPREAD / np.sqrt(np.maximum(scored, 1))
-        rejected = (alphas == 0) | ((scored >= LEAST_SCORED) & (least > allowed))
+        rejected = (alphas == 0) | (least > allowed)
         named = [names[b] if a else UNKNOWN for b, a in zip(best, alphas, strict=True)]
         return [pa.array(named), pa.array(score), pa.array(np.where(alphas > 0, least, np.nan), from_pandas=True), pa.array(scored), pa.array(rejected)]
 
@@ -268,8 +271,7 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
             found = detector.judge([t.as_py() or "" for t in batch.column(at)])
             yield pa.RecordBatch.from_arrays([*batch.columns, *found], names=[*batch.schema.names, *names])
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(judged, f"{ddl}, {OUT}")
+    return rows.mapInArrow(judged, T.StructType([*rows.schema, *T.StructType.fromDDL(OUT)]))
 
 
 def count_grams(sample: DataFrame) -> dict[str, dict[str, int]]:
@@ -314,17 +316,20 @@ def fit(
         cal = cal | (own & F.col("__dice").between(int(part * 1_000_000), int(until * 1_000_000)))
     model = Model(count_grams(rows.where(learn)))
     judged = identify(rows.where(cal).select("lang", "text"), model)
-    levels = judged.where(F.col("n_scored") >= LEAST_SCORED).groupBy("lang_pred").agg(F.percentile("cross_entropy", F.lit(QUANTILE)))
+    levels = judged.where(F.col("n_scored") >= LEAST_CALIBRATED).groupBy("lang_pred").agg(F.percentile("cross_entropy", F.lit(QUANTILE)))
     model.limits = {lang: level + SLACK for lang, level in levels.collect()}
     return model
 
 
 def accepted(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """``docs`` without the rows whose language is rejected; learned from two thirds of their labels."""
+    """``docs`` without the rows whose language is rejected; learned from two thirds of their labels.
+
+    All columns come back as they were, whatever their names.
+    """
     rows = docs.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     model = fit(rows.where(~held_out(F.col("key"))), F.col("key"))
-    judged = identify(docs.withColumn("__text", F.col(text)), model, text="__text")
-    return judged.where(~F.col("rejected")).select(*docs.columns)
+    judged = identify(docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text")), model)
+    return judged.where(~F.col("rejected")).select("row.*")
 
 
 def held_out(key: Column) -> Column:

@@ -17,11 +17,14 @@ from storyledger.llm import (
     mixing,
     near_dup,
     shards,
+    shingles,
     token_counts,
     url_rules,
     warc,
 )
 
+from storyledger.session import landed
+
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, rule string, row string, label string"
 
 
@@ -61,7 +64,7 @@ def test_mix_targets_and_positions(spark):
         [(i, s, z, f"{i:05d}") for i, (s, z) in enumerate([("a", 10)] * 90 + [("b", 10)] * 5 + [(None, 7)] * 5 + [("c", 0)])],
         "doc_id bigint, source string, size bigint, tie string",
     )
-    targets = mixing.source_targets(rows, F.col("rank") % 3 + 1).cache()
+    targets = landed(mixing.source_targets(rows, F.col("rank") % 3 + 1), "targets")
     got = {r.source: (r.source_size, r.target) for r in targets.collect()}
     assert got["b"][1] == 150 and got[None][1] == 105 and got["c"][1] == 0
     assert got["a"][1] == pytest.approx(985 - 255)
@@ -251,8 +254,7 @@ def test_near_duplicates_small(spark):
     assert near_dup.without_near_duplicates(docs.limit(0)).count() == 0
 
 
-def test_near_duplicates_of_buckets_in_several_blocks(spark, monkeypatch):
-    monkeypatch.setattr(near_dup, "BLOCK", 3)
+def test_near_duplicates_of_buckets_in_several_parts(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "CHAIN", 3)
     base = prose(21, 200).split()
     edits = [" ".join(base[:i] + ["changed"] + base[i + 1 :]) for i in range(10, 190, 18)]
@@ -265,27 +267,61 @@ def test_near_duplicates_of_buckets_in_several_blocks(spark, monkeypatch):
     assert sum(r.kept for r in got) == 3
 
 
-@pytest.mark.parametrize("block", [2_000, 3])
-def test_near_duplicates_test_lesser_pairs_once_better_ones_fail(spark, monkeypatch, block):
-    monkeypatch.setattr(near_dup, "BLOCK", block)
-    base = prose(24, 200).split()
-    edits = [" ".join(base[:i] + ["changed"] + base[i + 1 :]) for i in range(10, 190, 18)]
-    docs = spark.createDataFrame(list(enumerate(edits)), "doc_id bigint, text string")
-    rows = near_dup.features(docs, "doc_id", "text", near_dup.document_frequencies(docs, "text"))
-    rows = rows.withColumnRenamed("id", "first_id").localCheckpoint()
-    first = {(r.a, r.b) for r in near_dup.candidate_pairs(near_dup.buckets(rows), 0.8).collect()}
-    samples = {r.node: np.array(r.samples) for r in rows.collect()}
-    wide = {(r.band, r.value): [] for r in near_dup.buckets(rows).where("n > 2").collect()}
-    for r in near_dup.buckets(rows).where("n > 2").collect():
-        wide[r.band, r.value].append(r.node)
-    met = {(a, b) for nodes in wide.values() for a in nodes for b in nodes if a < b} - first
-    agree = {p: (samples[p[0]] == samples[p[1]]).sum() for p in met}
-    a, b = min((p for p in met if agree[p] >= near_dup.LEAST_AGREE), key=lambda p: (agree[p], p))
-    # Stands for a verification that only the pair with the least agreement passes.
-    monkeypatch.setattr(near_dup, "verified", lambda pairs, *_: pairs.where((F.col("a") == a) & (F.col("b") == b)).select("a", "b"))
-    got = near_dup.near_classes(docs).collect()
-    assert {r.class_size for r in got if r.node in (a, b)} == {2}
-    assert {r.class_size for r in got if r.node not in (a, b)} == {1}
+def edited(rng, words, n):
+    out = list(words)
+    for i in rng.sample(range(len(out)), n):
+        out[i] = f"{out[i]}{rng.randint(0, 10**6)}"
+    return " ".join(out)
+
+
+@pytest.mark.parametrize("kind", ["third", "band"])
+def test_recall_of_pairs_by_brute_force(spark, kind, record_property):
+    """A group of edited copies that is a third of all rows; many texts whose pairs lie at 0.7 to 0.8."""
+    rng = random.Random(8)
+    base = prose(31, 200).split()
+    if kind == "third":
+        texts = [edited(rng, base, rng.randint(0, 5)) for _ in range(150)] + [prose(500 + i, 150) for i in range(300)]
+    else:
+        texts = [edited(rng, base, rng.choice([2, 3, 4])) for _ in range(250)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    idf = near_dup.document_frequencies(docs, "text")
+    sets = [(h, shingles.weights(h, n, idf)) for h, n in map(shingles.shingles, texts)]
+    classes = {r.id: r.class_id for r in near_dup.near_classes(docs).collect()}
+    alike = [(a, b) for a in range(len(texts)) for b in range(a) if shingles.weighted_jaccard(sets[a], sets[b]) >= 0.8]
+    recall = sum(classes[a] == classes[b] for a, b in alike) / len(alike)
+    record_property("recall", recall)
+    print(kind, len(alike), "pairs, recall", recall)
+    assert len(alike) > 50 and recall >= 0.9
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in alike:
+        parent[root(a)] = root(b)
+    assert all(root(i) == root(c) for i, c in classes.items())
+
+
+def test_weights_fall_with_the_groups_that_share_a_passage(spark):
+    notice = prose(41, 60)
+    base = prose(42, 200).split()
+    rng = random.Random(2)
+    texts = [f"{prose(600 + i, 100)} {notice}" for i in range(60)] + [prose(700 + i, 100) for i in range(60)]
+    texts += [edited(rng, base, 2) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    idf = near_dup.document_frequencies(docs, "text")
+    assert len(set(idf.tolist())) > 5
+
+    def weight(text):
+        found = shingles.shingles(text)[0]
+        return float(np.median(shingles.weights(found, np.ones(len(found)), idf)))
+
+    own, shared, copied = weight(texts[61]), weight(notice), weight(" ".join(base))
+    assert shared < 0.75 * own and copied > 0.9 * own
+    classes = {r.id: r.class_id for r in near_dup.near_classes(docs).collect()}
+    assert all(classes[i] == i for i in range(120)) and {classes[i] for i in range(120, 180)} == {120}
 
 
 def test_near_duplicates_of_a_group_that_is_a_third_of_all_rows(spark):
@@ -301,18 +337,6 @@ def test_near_duplicates_of_a_group_that_is_a_third_of_all_rows(spark):
     assert all(got[i] == i for i in range(12, 36))
 
 
-def test_spanning_pairs_leave_out_unlike_totals():
-    samples = np.array([[1, 1, 1, 1], [1, 1, 1, 1], [1, 1, 1, 2]])
-    totals = np.array([1.0, 2.0, 1.1])
-    assert near_dup.spanning_pairs(samples, totals, np.arange(3), 2, 0.8) == [(0, 2)]
-
-
-def test_spanning_pairs_prefer_agreement():
-    samples = np.array([[1, 1, 1, 1], [1, 1, 1, 2], [9, 9, 9, 9], [1, 1, 5, 5]])
-    assert near_dup.spanning_pairs(samples, np.ones(4), np.array([0, 1, 2, 3]), 2, 0.8) == [(0, 1), (0, 3)]
-    assert near_dup.spanning_pairs(samples, np.ones(4), np.array([0, 0, 2, 3]), 2, 0.8) == [(0, 3)]
-
-
 def test_components_of_a_path_and_a_star(spark):
     links = [(i, i + 1) for i in range(20)] + [(100, i) for i in range(101, 130)] + [(5, 5)]
     frame = spark.createDataFrame([(f"{a:03d}", f"{b:03d}") for a, b in links], "a string, b string")
@@ -328,3 +352,58 @@ def test_pipeline_stages_keep_columns(spark, sf_dir, tmp_path):
         docs = spark.read.parquet(f"{tmp_path}/{name}")
         assert docs.columns == (columns if i < 4 else [*columns, "shard", "slot"])
         assert docs.count() > 0
+
+
+def test_clashing_columns_come_back_as_they_were(spark, sf_dir):
+    """Names that stages use inside, and names of judgments, with the caller's own values."""
+    names = ["score", "rejected", "lang_pred", "n_scored", "__id", "__node", "__tie", "__digest", "__text", "__place", "__part", "__position", "row", "id"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    odd = docs.select("*", *(F.concat(F.lit(f"{n}:"), F.col("doc_id").cast("string")).alias(n) for n in names))
+    for name, stage in corpus_pipeline.STAGES:
+        got = landed(stage(spark, odd, sf_dir), f"clash-{name}")
+        assert got.columns[: len(odd.columns)] == odd.columns
+        wrong = F.lit(False)
+        for n in names:
+            wrong = wrong | (F.col(f"`{n}`") != F.concat(F.lit(f"{n}:"), F.col("doc_id").cast("string"))) | F.col(f"`{n}`").isNull()
+        assert got.count() > 0 and got.where(wrong).isEmpty()
+
+
+def test_short_texts_in_no_known_script_are_rejected(spark):
+    rows = [(i, prose(i, 60), "e") for i in range(60)] + [(100 + i, prose(i, 60).translate(str.maketrans("aeiou", "éàùçê")), "f") for i in range(60)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), F.col("doc_id"))
+    docs = docs_of(spark, ["αβγδε ζηθικ λμνξο πρστυ φχψωα βγδεζ", "日本語日本語日本語", prose(7, 6), prose(8, 3)])
+    got = {r.doc_id: r.rejected for r in language.identify(docs, model).collect()}
+    assert got == {0: True, 1: True, 2: False, 3: False}
+    model.limits.pop("f")
+    again = language.identify(docs_of(spark, ["ЖЗИ ЙКЛ МНО ПРС ТУФ " * 5]), model).first()
+    assert again.rejected
+
+
+def test_exact_dedup_of_later_and_older_files(spark, tmp_path):
+    import os
+
+    def add(name, rows, age):
+        spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}")
+        for f in os.listdir(tmp_path / name):
+            if f.startswith("part-") and os.path.getmtime(tmp_path / name / f) > 1.7e9:
+                os.utime(tmp_path / name / f, (1.7e9 - age, 1.7e9 - age))
+
+    def run():
+        return sorted((r.id, r.keep_id, r.n, r.kept) for r in exact_dup.exact_dedup(spark, f"{tmp_path}/in", folder=f"{tmp_path}/state").collect())
+
+    add("in", [(1, "a"), (2, None)], 0)
+    assert run() == [(1, 1, 1, True), (2, 2, 1, True)]
+    add("in", [(3, "a"), (4, "old")], 30 * 86_400)
+    assert run() == [(1, 3, 2, False), (2, 2, 1, True), (3, 3, 2, True), (4, 4, 1, True)]
+    assert spark.read.parquet(f"{tmp_path}/state/changes").where("n = 2").count() == 1  # a hit on state of an earlier batch
+
+
+def test_periodic_documents_meet_periodic_items_in_proportion(spark):
+    words = " ".join(["one", "two", "three"] * 200)
+    docs = spark.createDataFrame([(1, words), (2, words + " more")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(f"i{i}", words) for i in range(2)], "item_id string, text string")
+    prints = decontaminate.item_fingerprints(items, "item_id", "text")
+    scanned = decontaminate.scan(docs, "text", {"doc_id": F.col("doc_id")}, landed(prints, "prints"))
+    assert prints.count() < 60 and decontaminate.shared_spans(scanned, prints).count() < 60 * 600
+    got = decontaminate.contamination(docs, items, {"doc_id": F.col("doc_id")}).collect()
+    assert {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in got} == {1: (600, 600, 2), 2: (601, 600, 2)}
