@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyledger.llm import decontaminate, language, mixing, near_dup, queries, shards
+from storyledger.llm.text import hidden
 from storyledger.session import landed, work_dir
 
 ORACLE_SQL = None
@@ -44,19 +45,24 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = landed(sizes, "mix-sizes")
     targets = landed(mixing.source_targets(rows, queries.cyclic_weight()), "mix-targets")
     placed = mixing.place(rows, targets, mixing.SHAPES)
+    own_id, own_tie, position = (hidden(docs, name) for name in ("__id", "__tie", "__position"))
     wordless = F.array(F.lit(2.0))
     times = F.when(F.col("size") > 0, F.transform("placements", lambda p: p["position"])).otherwise(wordless)
-    plan = landed(placed.select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie"), F.explode(times).alias("__position")), "mix-plan")
-    taken = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("__id")))
-    order = ["__position", "__tie"]
+    plan = landed(placed.select(F.col("doc_id").alias(own_id), F.col("tie").alias(own_tie), F.explode(times).alias(position)), "mix-plan")
+    taken = docs.join(plan, F.col("doc_id").eqNullSafe(F.col(own_id)))
+    order = [position, own_tie]
     return taken.repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns)
 
 
 def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shard and slot of every row; rows are numbered by identifier, then by text."""
+    """Shard and slot of every row; rows are numbered by identifier, then by text.
+
+    Columns of other names come back as they were; ``shard`` and ``slot`` are replaced.
+    """
     digest = F.md5(F.coalesce(F.col("text"), F.lit("")))
-    sharded = shards.shard(docs.withColumn("__digest", digest), ["doc_id", "__digest"], queries.N_SHARDS, seed=7)
-    return sharded.drop("__digest")
+    kept = [c for c in docs.columns if c not in ("shard", "slot")]
+    rows = docs.select(F.struct(*kept).alias("row"), "doc_id", digest.alias("digest"))
+    return shards.shard(rows, ["doc_id", "digest"], queries.N_SHARDS, seed=7).select("row.*", "shard", "slot")
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
