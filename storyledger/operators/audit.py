@@ -7,20 +7,19 @@ from pyspark.sql import functions as F
 
 from storyledger.functions.urls import with_canonical_url
 from storyledger.operators.identity import first_per_key
+from storyledger.operators.ordered import next_event
+from storyledger.session import landed
 from storyledger.sizing import broadcast_if_small
 from storyledger.sources.registry import auditable_sources
+from storyledger.sources.tables import fetched_since
 
-# How many missing URLs are stored and shown, and notes on the weaker audits.
+# How many missing URLs are stored and shown.
 MAX_STORED_MISSING = 50
 MAX_SHOWN_MISSING = 5
-CALENDAR_NOTE = (
-    "index diff only — the publication calendar is not yet wired up, so a late release is not "
-    "detected until it appears on the index"
-)
-PROXY_NOTE = (
-    "proxy sample — HN is not an authoritative index, so these are candidates for triage rather "
-    "than confirmed misses"
-)
+# 200 000 URLs are about 20 MB.
+MAX_BROADCAST_URLS = 200_000
+CALENDAR_NOTE = "compared with the index only; releases that are late are found by the calendar"
+PROXY_NOTE = "links of a discovery feed; a missing one is a lead, not a proven miss"
 PROXY_EMPTY_NOTE = "no discovery link within a day"
 NO_PATTERN = "the source has no index_link_pattern"
 NO_MATCH = "no link of the index fits the pattern"
@@ -36,7 +35,10 @@ def compare_with_held(
     ``stored`` per key and task reach the final list; ``missing_pages`` has all of them as rows.
     """
     unique = expected.filter(F.col("url").isNotNull()).groupBy(key, "url").agg(F.min("pos").alias("pos"))
-    known = held.select("url").distinct().withColumn("__held", F.lit(True))
+    unique = landed(unique, "expected")
+    # The store is filtered where it lies by the URLs asked for; only its hits are made unique.
+    asked = broadcast_if_small(unique.select("url"), MAX_BROADCAST_URLS)
+    known = held.select("url").join(asked, "url", "left_semi").distinct().withColumn("__held", F.lit(True))
     marked = unique.join(known, "url", "left").withColumn("__held", F.col("__held").isNotNull())
     counts = marked.groupBy(key).agg(
         F.count("*").alias("expected_count"), F.count_if("__held").alias("ingested_count")
@@ -66,7 +68,9 @@ def _verdict(df: DataFrame) -> DataFrame:
     return df.withColumn("status", F.when(gap, "gap").otherwise("ok"))
 
 
-def audit_index_diff(harvested: DataFrame, held: DataFrame, registry: DataFrame) -> DataFrame:
+def audit_index_diff(
+    harvested: DataFrame, held: DataFrame, registry: DataFrame, stored: int = MAX_STORED_MISSING
+) -> DataFrame:
     """Audit by index: harvested pages of each source against all held URLs, whatever their date.
 
     ``harvested`` comes from ``scrape_pages``, that is, from the same links as ingestion reads.
@@ -79,13 +83,18 @@ def audit_index_diff(harvested: DataFrame, held: DataFrame, registry: DataFrame)
         .join(broadcast_if_small(facts.select("source_id", "lowercase_url_path")), "source_id")
     )
     expected = with_canonical_url(links, "link_url", lowercase=F.col("lowercase_url_path"))
-    bad = harvested.groupBy("source_id").agg(
+    # What failed before the page was read is the cause; what it looked like then is not.
+    rank = F.when(F.col("error_kind").isin("network", "http"), 0).when(F.col("error_kind").isNull(), 2).otherwise(1)
+    if "http_status" not in harvested.columns:
+        harvested = harvested.withColumn("http_status", F.lit(None).cast("int"))
+    bad = harvested.withColumn("__rank", rank).groupBy("source_id").agg(
         F.count("*").alias("n_pages"),
         F.count_if(F.col("error_kind").isNull()).alias("n_good"),
-        F.max("error_kind").alias("kind"),
+        F.min_by("error_kind", F.struct("__rank", "error_kind")).alias("kind"),
+        F.max(F.when(F.col("error_kind") == "http", F.col("http_status"))).cast("int").alias("http_status"),
     )
     note = F.when(F.col("audit_strategy") == "calendar_expect", CALENDAR_NOTE)
-    compared = _verdict(compare_with_held(expected, held)).join(facts, "source_id").join(bad, "source_id")
+    compared = _verdict(compare_with_held(expected, held, stored=stored)).join(facts, "source_id").join(bad, "source_id")
     failed = F.col("n_pages") - F.col("n_good")
     partly = F.when(
         failed > 0, F.format_string("%d of %d index pages failed (%s)", failed, F.col("n_pages"), F.col("kind"))
@@ -96,7 +105,11 @@ def audit_index_diff(harvested: DataFrame, held: DataFrame, registry: DataFrame)
         "missing_urls", status.alias("status"), F.coalesce(partly, note).alias("detail"),
     )
     bad = bad.filter(F.col("n_good") == 0).join(facts, "source_id")
-    detail = F.when(F.col("kind") == "no-pattern", NO_PATTERN).when(F.col("kind") == "layout", NO_MATCH)
+    detail = (
+        F.when(F.col("kind") == "no-pattern", NO_PATTERN).when(F.col("kind") == "layout", NO_MATCH)
+        .when(F.col("kind") == "http", F.format_string("the index page returned HTTP %d", F.col("http_status")))
+        .when(F.col("kind") == "network", "the index page could not be fetched")
+    )
     return good.unionByName(_error_rows(bad, F.coalesce(detail, F.col("kind"))))
 
 
@@ -113,17 +126,16 @@ def _error_rows(df: DataFrame, detail: Column) -> DataFrame:
     )
 
 
-def audit_proxy_sample(docs: DataFrame, sources: DataFrame, asof: Column) -> DataFrame:
+def audit_proxy_sample(
+    docs: DataFrame, sources: DataFrame, asof: Column, stored: int = MAX_STORED_MISSING
+) -> DataFrame:
     """Audit by proxy: targets that a discovery source pointed at in the last day, against all held."""
-    recent = docs.filter(
-        F.col("origin_discovery_target_url").isNotNull()
-        & (F.col("fetched_at") > asof - F.expr("INTERVAL 24 hours"))
-    ).join(broadcast_if_small(sources.select("source_id")), "source_id", "left_semi")
+    recent = fetched_since(docs, asof, "24 hours").filter(F.col("origin_discovery_target_url").isNotNull()).join(broadcast_if_small(sources.select("source_id")), "source_id", "left_semi")
     expected = with_canonical_url(
         recent.select("source_id", "origin_discovery_target_url", F.col("fetched_at").alias("pos")),
         "origin_discovery_target_url",
     )
-    compared = compare_with_held(expected, docs)
+    compared = compare_with_held(expected, docs, stored=stored)
     joined = sources.select("source_id", "audit_strategy").join(compared, "source_id", "left")
     filled = _verdict(
         joined.withColumn("expected_count", F.coalesce("expected_count", F.lit(0)))
@@ -142,19 +154,20 @@ def audit_proxy_sample(docs: DataFrame, sources: DataFrame, asof: Column) -> Dat
 
 
 def run_audit(
-    registry: DataFrame, harvested: DataFrame, docs: DataFrame, asof: Column
+    registry: DataFrame, harvested: DataFrame, docs: DataFrame, asof: Column, *, stored: int = MAX_STORED_MISSING
 ) -> DataFrame:
     """One audit row per auditable source, by its strategy. A source without an index is an error.
 
+    A row lists ``stored`` missing URLs at most; ``missing_pages`` has all.
     ``harvested`` is read more than once here; pass a landed frame.
     """
     sources = auditable_sources(registry)
     proxy = sources.filter(F.col("audit_strategy") == "proxy_sample")
     diff = sources.filter(F.col("audit_strategy") != "proxy_sample")
     pages = harvested.join(broadcast_if_small(diff.select("source_id")), "source_id", "left_semi")
-    by_index = audit_index_diff(pages, docs, diff)
+    by_index = audit_index_diff(pages, docs, diff, stored)
     absent = diff.join(pages.select("source_id").distinct(), "source_id", "left_anti")
-    by_proxy = audit_proxy_sample(docs, proxy, asof)
+    by_proxy = audit_proxy_sample(docs, proxy, asof, stored)
     rows = by_index.unionByName(_error_rows(absent, F.lit("index page was not landed"))).unionByName(by_proxy)
     return rows.join(sources.select("source_id", "vertical"), "source_id").withColumn(
         "audit_date", F.to_date(asof)
@@ -209,25 +222,19 @@ def clean_streak(audits: DataFrame) -> DataFrame:
 
 
 def calendar_overdue(calendar: DataFrame, docs: DataFrame, asof: Column) -> DataFrame:
-    """Due releases without a document of their source in the window around the due time.
+    """Due releases without a document of their source in the window from the due time on.
 
-    ``calendar`` has ``source_id``, ``due_at`` and ``window_hours``. Arrivals fold to one row
-    per source and hour, and each due time asks for the hours of its window: an equi-join.
+    ``calendar`` has ``source_id``, ``due_at`` and ``window_hours``. Due times and arrivals are swept together in order
+    of time, and each due time sees the next arrival: one row each, however long the window.
     """
-    due = calendar.filter(F.col("due_at") <= asof).withColumn(
-        "until", F.timestamp_micros(F.unix_micros("due_at") + F.col("window_hours") * 3_600_000_000)
-    )
-    arrivals = docs.groupBy("source_id", F.date_trunc("hour", "fetched_at").alias("hour")).agg(
-        F.min("fetched_at").alias("first_at"), F.max("fetched_at").alias("last_at")
-    )
-    hours = due.select(
-        "source_id", "due_at", "until",
-        F.explode(F.sequence(F.date_trunc("hour", "due_at"), F.date_trunc("hour", "until"), F.expr("INTERVAL 1 hour"))).alias("hour"),
-    )
-    arrived = (
-        hours.join(arrivals, ["source_id", "hour"])
-        .filter((F.col("last_at") >= F.col("due_at")) & (F.col("first_at") <= F.col("until")))
-        .select("source_id", "due_at")
-        .distinct()
-    )
-    return due.join(arrived, ["source_id", "due_at"], "left_anti").drop("until")
+    due = calendar.filter(F.col("due_at") <= asof)
+    named = [c for c in due.columns if c != "source_id"]
+    arrivals = docs.filter(F.col("fetched_at").isNotNull()).select("source_id", F.col("fetched_at").alias("__at")).distinct()
+    known = arrivals.join(broadcast_if_small(due.select("source_id").distinct()), "source_id", "left_semi")
+    swept = due.select("source_id", F.col("due_at").alias("__at"), F.struct(*named).alias("__due")).unionByName(
+        known, allowMissingColumns=True
+    )
+    found = next_event(swept, "source_id", "__at", F.col("__due").isNull(), "__arrived", strict=False)
+    until = F.timestamp_micros(F.unix_micros("__due.due_at") + F.col("__due.window_hours") * 3_600_000_000)
+    late = found.filter(F.col("__due").isNotNull() & (F.col("__arrived").isNull() | (F.col("__arrived") > until)))
+    return late.select(*[F.col("source_id") if c == "source_id" else F.col("__due")[c].alias(c) for c in due.columns])

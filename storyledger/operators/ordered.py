@@ -1,9 +1,9 @@
 """Running values over long ordered histories, without one task per key.
 
-A window over a whole key would put the history of a hot key into one task. Here each history
-is cut into time slots: a window runs inside each (key, slot), one summary row per slot is
-chained across slots, and the two are joined on (key, slot), by which the rows are already
-partitioned. The chain per key is as long as the number of slots, not of rows.
+A window over a whole key would put the history of a hot key into one task. Here rows are range-partitioned by key and
+time, so a hot key spans as many parts as its rows fill, whatever hours they fall into. Each part folds its rows of a key
+to one summary that composes (what follows the last reset, and whether there was one; the first event), the summaries
+of a key are chained over its parts, and what the chain carries into a part completes the rows there.
 """
 
 from __future__ import annotations
@@ -11,74 +11,59 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLOT = "hour"
+from storyledger.session import landed
 
+PART, PLACE = "__part", "__place"
+PART_BITS = 33  # monotonically_increasing_id: the part above, the row within it below
 
-def hits_since_reset(
-    df: DataFrame, key: str, at: str, tie: str, hit: Column, reset: Column, out: str, slot: str = SLOT
-) -> DataFrame:
+
+def ranged_parts(df: DataFrame, *order: str) -> DataFrame:
+    """``df`` in ``order`` with ``__part`` and ``__place`` in it, landed, so that both stay what they are."""
+    place = F.monotonically_increasing_id()
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(PLACE, place)
+    return landed(ranged.withColumn(PART, F.shiftright(PLACE, PART_BITS).cast("int")), "ranged")
+
+
+def hits_since_reset(df: DataFrame, key: str, at: str, tie: str, hit: Column, reset: Column, out: str) -> DataFrame:
     """Count ``hit`` rows of the key since its last ``reset`` row, the current row included."""
-    rows = df.select(
-        "*",
-        F.date_trunc(slot, F.col(at)).alias("__slot"),
-        F.coalesce(hit, F.lit(False)).cast("long").alias("__hit"),
-        F.coalesce(reset, F.lit(False)).alias("__reset"),
-    )
-    inside = (
-        Window.partitionBy(key, "__slot")
-        .orderBy(at, tie)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marked = df.select(
+        "*", F.coalesce(hit, F.lit(False)).cast("long").alias("__hit"), F.coalesce(reset, F.lit(False)).alias("__reset")
     )
+    rows = ranged_parts(marked, key, at, tie)
+    inside = Window.partitionBy(PART, key).orderBy(PLACE).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("__hits", F.sum("__hit").over(inside))
     rows = rows.withColumn(
         "__base", F.max(F.when(F.col("__reset"), F.col("__hits"))).over(inside)
     ).withColumn("__since", F.col("__hits") - F.coalesce("__base", F.lit(0)))
 
-    slots = rows.groupBy(key, "__slot").agg(
-        F.max_by("__since", F.struct(at, tie)).alias("__tail"),
-        F.bool_or("__reset").alias("__any_reset"),
-    )
-    chain = Window.partitionBy(key).orderBy("__slot")
+    # A part's summary: hits after its last reset, and whether it had one. Two summaries compose to another.
+    parts = rows.groupBy(key, PART).agg(F.max_by("__since", PLACE).alias("__tail"), F.bool_or("__reset").alias("__any_reset"))
+    chain = Window.partitionBy(key).orderBy(PART)  # as many rows as parts
     so_far = chain.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    slots = slots.withColumn("__total", F.sum("__tail").over(so_far)).withColumn(
+    parts = parts.withColumn("__total", F.sum("__tail").over(so_far)).withColumn(
         "__state",
         F.col("__total")
-        - F.coalesce(
-            F.max(F.when(F.col("__any_reset"), F.col("__total") - F.col("__tail"))).over(so_far),
-            F.lit(0),
-        ),
-    )
-    carried = slots.select(
-        key, "__slot", F.coalesce(F.lag("__state").over(chain), F.lit(0)).alias("__carry")
+        - F.coalesce(F.max(F.when(F.col("__any_reset"), F.col("__total") - F.col("__tail"))).over(so_far), F.lit(0)),
     )
-    joined = rows.join(carried, [key, "__slot"])
+    carried = parts.select(key, PART, F.coalesce(F.lag("__state").over(chain), F.lit(0)).alias("__carry"))
+    joined = rows.join(carried, [key, PART])
     value = F.col("__since") + F.when(F.col("__base").isNull(), F.col("__carry")).otherwise(0)
     return joined.select(*[F.col(f"`{c}`") for c in df.columns], value.alias(out))
 
 
-def next_event(
-    df: DataFrame, key: str, at: str, event: Column, out: str, slot: str = SLOT
-) -> DataFrame:
-    """Time of the first ``event`` row of the key strictly after each row, or null."""
-    rows = df.select(
-        "*",
-        F.date_trunc(slot, F.col(at)).alias("__slot"),
-        F.when(event, F.col(at)).alias("__event"),
-    )
-    # Events sort before other rows of the same instant, which keeps 'after' strict.
-    after = (
-        Window.partitionBy(key, "__slot")
-        .orderBy(at, F.col("__event").isNull())
-        .rowsBetween(1, Window.unboundedFollowing)
-    )
-    rows = rows.withColumn(
-        "__near",
-        F.min(F.col("__event")).over(after),
-    )
-    slots = rows.groupBy(key, "__slot").agg(F.min("__event").alias("__first"))
-    later = Window.partitionBy(key).orderBy("__slot").rowsBetween(1, Window.unboundedFollowing)
-    far = slots.select(key, "__slot", F.min("__first").over(later).alias("__far"))
-    joined = rows.join(far, [key, "__slot"])
-    return joined.select(
-        *[F.col(f"`{c}`") for c in df.columns], F.coalesce("__near", "__far").alias(out)
-    )
+def next_event(df: DataFrame, key: str, at: str, event: Column, out: str, *, strict: bool = True) -> DataFrame:
+    """Time of the first ``event`` row of the key after each other row, or null.
+
+    An event of the same instant counts only if not ``strict``.
+    """
+    marked = df.select("*", F.when(event, F.col(at)).alias("__event"))
+    # Which of the rows of one instant come first decides whether an event there is still ahead.
+    late = F.col("__event").isNull() if strict else F.col("__event").isNotNull()
+    rows = ranged_parts(marked.withColumn("__late", late), key, at, "__late")
+    after = Window.partitionBy(PART, key).orderBy(PLACE).rowsBetween(1, Window.unboundedFollowing)
+    rows = rows.withColumn("__near", F.min(F.col("__event")).over(after))
+    parts = rows.groupBy(key, PART).agg(F.min("__event").alias("__first"))
+    later = Window.partitionBy(key).orderBy(PART).rowsBetween(1, Window.unboundedFollowing)
+    far = parts.select(key, PART, F.min("__first").over(later).alias("__far"))
+    joined = rows.join(far, [key, PART])
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce("__near", "__far").alias(out))

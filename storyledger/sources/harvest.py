@@ -12,6 +12,7 @@ from storyledger.functions.images import no_candidates
 from storyledger.functions.steps import Stage, add_steps, map_steps, pinned
 from storyledger.functions.text import web_trim
 from storyledger.functions.urls import base_parts, parse_stages, resolve_stages
+from storyledger.sizing import broadcast_if_small
 from storyledger.sources.feeds import PULL_COLUMNS
 
 # Shortest article title, and paths that are never articles.
@@ -133,7 +134,8 @@ def scrape_pages(payloads: DataFrame, registry: DataFrame, **options: int | None
     """Index payloads with their links and ``error_kind``.
 
     The registry row supplies the mandatory pattern. Without one the page is refused
-    (``no-pattern``); a page that matches nothing has changed shape (``layout``).
+    (``no-pattern``); a page that matches nothing has changed shape (``layout``). Where payloads have an
+    ``http_status``, a page that was not delivered is ``network`` or ``http``, and its body is not looked at.
     """
     facts = registry.select(
         "source_id", F.coalesce("index_url", "feed_url").alias("page_url")
@@ -141,11 +143,17 @@ def scrape_pages(payloads: DataFrame, registry: DataFrame, **options: int | None
         else F.lit(None).alias("__none"),
         F.nullif(F.col("index_link_pattern"), F.lit("")).alias("link_pattern"),
     )
-    joined = payloads.join(facts, "source_id", "left").drop("__none")
+    joined = payloads.join(broadcast_if_small(facts), "source_id", "left").drop("__none")
+    undelivered = F.lit(None).cast("string")
+    if "http_status" in payloads.columns:
+        status = F.col("http_status")
+        undelivered = F.when(status.isNull(), "network").when(~status.between(200, 299), "http")
+        joined = joined.withColumn("body", F.when(undelivered.isNull(), F.col("body")))
     found = harvest_links(joined, "body", "page_url", pattern=F.col("link_pattern"), **options)
     return found.withColumn(
         "error_kind",
-        F.when(F.col("link_pattern").isNull(), "no-pattern")
+        F.when(undelivered.isNotNull(), undelivered)
+        .when(F.col("link_pattern").isNull(), "no-pattern")
         .when(~F.col("page_ok"), "config")
         .when(F.size("links") == 0, "layout"),
     )
