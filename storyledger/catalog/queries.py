@@ -663,7 +663,8 @@ def feed_candidates(spark, sf):
 
 def _quality(spark, sf):
     batch, known = landed(B.payloads(spark, sf), "payloads"), B.registry(spark, sf)
-    return ingest.feed_quality(ingest.select_items(batch, known, POLLER_LIMITS), ingest.payload_errors(batch, known))
+    parsed = ingest.parse_payloads(batch, known, POLLER_LIMITS)
+    return ingest.feed_quality(ingest.items_of(parsed, POLLER_LIMITS), ingest.errors_of(parsed))
 
 
 @query
@@ -682,8 +683,9 @@ def _ingested(spark, sf):
     held = B.table(spark, sf, "documents").filter("lang = 'de'").select(
         F.expr("concat('https://', source, '.example.com/A/', doc_id)").alias("url")
     )
-    items, documents = ingest.ingest(batch, B.landed_pages(spark, sf), known, held, limits=POLLER_LIMITS)
-    return batch, known, items, held, documents
+    parsed = ingest.parse_payloads(batch, known, POLLER_LIMITS)
+    items, documents = ingest.ingest(parsed, B.landed_pages(spark, sf), known, held, limits=POLLER_LIMITS)
+    return batch, parsed, items, held, documents
 
 
 @query
@@ -694,10 +696,10 @@ def build_documents(spark, sf):
 
 @query
 def fetch_outcome(spark, sf):
-    batch, known, items, held, documents = _ingested(spark, sf)
+    batch, parsed, items, held, documents = _ingested(spark, sf)
     new = documents.select("url", "pull_id", "source_id")
     inserted = merge.insert_if_absent(new, held, "source_id", "pull_id")
-    errors = ingest.payload_errors(batch, known)
+    errors = ingest.errors_of(parsed)
     return ingest.fetch_outcomes(batch, items, documents, inserted, errors).select(
         "pull_id", "source_id", "attempted_at", "http_status", "etag", "items_seen", "items_new", "items_with_image", "error"
     )
@@ -926,8 +928,9 @@ def stream_dedup(spark, sf):
         F.col("url").alias("url_raw"),
         F.timestamp_micros(F.unix_micros(B.asof()) + F.col("page_id") * 1_000_000).alias("fetched_at"),
     )
-    unique = jobs.dedup_stream(rows, "url_raw", lateness="365 days").select("url")
-    return jobs.run_to_table(unique, f"{work}/out", work)
+    store = Store(f"{work}/store")
+    jobs.dedup_into_store(rows, "url_raw", store, work).awaitTermination()
+    return store.read(spark, "raw_documents", None, store.latest(spark)).select("url")
 
 
 @query

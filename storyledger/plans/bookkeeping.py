@@ -13,7 +13,7 @@ from storyledger.limits import NO_LIMITS, Limits
 from storyledger.operators.identity import first_per_key
 from storyledger.operators.merge import fetch_log_rows, resolve_open_errors, source_error_rows
 from storyledger.operators.schedule import advance_over_attempts, carried_throttles
-from storyledger.plans.ingest import error_rows, fetch_outcomes, ingest, payload_errors
+from storyledger.plans.ingest import error_rows, errors_of, fetch_outcomes, ingest, parse_payloads
 from storyledger.session import landed
 from storyledger.sizing import broadcast_if_small
 from storyledger.sources.store import Store
@@ -44,9 +44,10 @@ def settle(
     Every failed pull opens an error; every successful one, an unchanged payload included, closes the errors of
     its source before it. ``throttles`` has the throttled polls of each host since its last success, up to this batch.
     """
-    items, documents = ingest(payloads, pages, registry, held, small_batch=True, limits=limits)
+    parsed = parse_payloads(payloads, registry, limits)
+    items, documents = ingest(parsed, pages, registry, held, small_batch=True, limits=limits)
     inserted = landed(first_per_key(documents, ["url"], F.struct("fetched_at", "pull_id", "url_raw")), "inserted")
-    failures = landed(payload_errors(payloads, registry), "failures")
+    failures = landed(errors_of(parsed), "failures")
     outcomes = landed(fetch_outcomes(payloads, items, documents, inserted, failures), "outcomes")
     log = fetch_log_rows(outcomes)
     opened = source_error_rows(error_rows(failures, registry))

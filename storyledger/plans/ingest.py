@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storyledger.functions.images import no_candidates, select_lead_image
+from storyledger.functions.steps import pinned
 from storyledger.functions.times import with_published
 from storyledger.functions.urls import with_canonical_url
 from storyledger.functions.wire import has_verbatim_quote, with_wire
@@ -23,8 +24,15 @@ from storyledger.operators.provenance import with_primary_links
 from storyledger.schema import PRIMARY_DOMAIN_TYPES
 from storyledger.session import landed
 from storyledger.sizing import broadcast_if_small
-from storyledger.sources.apis import release_errors, release_items, story_errors, story_items
-from storyledger.sources.feeds import atom_items, feed_errors, feed_items, rss_items, with_url
+from storyledger.sources.apis import (
+    parsed_releases,
+    parsed_stories,
+    release_errors,
+    release_items_of,
+    story_error,
+    story_items_of,
+)
+from storyledger.sources.feeds import atom_items, feed_error, feed_items, is_feed, parsed_feed, rss_items, with_url
 from storyledger.sources.harvest import scrape_items, scrape_pages
 from storyledger.sources.payloads import classify, error_message, usable
 from storyledger.sources.registry import primary_hosts
@@ -35,17 +43,52 @@ ITEM_COLUMNS = (
 )
 
 
-def select_items(payloads: DataFrame, registry: DataFrame, limits: Limits = NO_LIMITS) -> DataFrame:
-    """Item rows of all payloads: each fetch type goes to its parser, the rest to none.
+FEEDS = ("rss", "atom")
+
 
-    Unchanged payloads and payloads without a parser drop out before anything is parsed.
+def parse_payloads(payloads: DataFrame, registry: DataFrame, limits: Limits = NO_LIMITS) -> DataFrame:
+    """One landed row per payload with all that its body holds: ``feed``, ``reply``, ``releases`` or ``links``, and errors.
+
+    The batch is read once and each body goes to the parser of its fetch type, once; items and errors are projections
+    of the result. Unchanged payloads and payloads without a parser are not parsed.
     """
-    good = classify(payloads)
+    good = classify(payloads).withColumnRenamed("error_kind", "base_kind")
+    ok = F.col("payload_status") == "ok"
+
+    def body_of(*fetch_types: str) -> Column:
+        return F.when(ok & F.col("fetch_type").isin(*fetch_types), F.col("body"))
+
+    split = good.select(
+        *[c for c in good.columns if c != "body"],
+        body_of(*FEEDS).alias("__feed"), body_of("hn").alias("__stories"), body_of("github_api").alias("__releases"),
+        body_of("scrape").alias("body"),
+    )
+    harvested = scrape_pages(split, registry, max_links=limits.links_per_page)
+    kept = [c for c in good.columns if c != "body"]
+    parsed = pinned(
+        harvested.withColumnRenamed("error_kind", "scrape_kind"),
+        [*kept, "links", "scrape_kind"],
+        {
+            "feed": parsed_feed(F.col("__feed")),
+            "reply": parsed_stories(F.col("__stories")),
+            "story_kind": story_error(F.col("__stories")),
+            "releases": parsed_releases(F.col("__releases")),
+        },
+    )
+    return landed(parsed.withColumn("is_feed", is_feed(F.col("feed"))), "parsed")
+
+
+def _parsed_as(parsed: DataFrame, *fetch_types: str) -> DataFrame:
+    return parsed.filter((F.col("payload_status") == "ok") & F.col("fetch_type").isin(*fetch_types))
+
+
+def items_of(parsed: DataFrame, limits: Limits = NO_LIMITS) -> DataFrame:
+    """Item rows of parsed payloads."""
     parts = [
-        with_url(feed_items(usable(good, "rss", "atom"))),
-        story_items(usable(good, "hn")),
-        release_items(usable(good, "github_api"), limits.summary_chars),
-        scrape_items(scrape_pages(usable(good, "scrape"), registry, max_links=limits.links_per_page)),
+        with_url(feed_items(_parsed_as(parsed, *FEEDS))),
+        story_items_of(_parsed_as(parsed, "hn")),
+        release_items_of(_parsed_as(parsed, "github_api"), limits.summary_chars),
+        scrape_items(_parsed_as(parsed, "scrape").withColumnRenamed("scrape_kind", "error_kind")),
     ]
     items = parts[0]
     for part in parts[1:]:
@@ -53,25 +96,29 @@ def select_items(payloads: DataFrame, registry: DataFrame, limits: Limits = NO_L
     return items.select(*ITEM_COLUMNS)
 
 
-def payload_errors(payloads: DataFrame, registry: DataFrame) -> DataFrame:
+def errors_of(parsed: DataFrame) -> DataFrame:
     """``pull_id``, ``source_id``, ``fetched_at``, ``http_status``, ``error_kind`` of bad pulls."""
-    good = classify(payloads)
     keys = ["pull_id", "source_id", "fetched_at", "http_status", "error_kind"]
-    landed = good.filter(
-        (F.col("payload_status") == "error") & (F.col("fetch_type") != "github_api")
+    kind = (
+        F.when(F.col("base_kind").isNotNull(), F.col("base_kind"))
+        .when(F.col("payload_status") != "ok", F.lit(None).cast("string"))
+        .when(F.col("fetch_type").isin(*FEEDS), feed_error(F.col("feed"), F.col("is_feed")))
+        .when(F.col("fetch_type") == "hn", F.col("story_kind"))
+        .when(F.col("fetch_type") == "scrape", F.col("scrape_kind"))
     )
-    scraped = scrape_pages(usable(good, "scrape"), registry).filter(F.col("error_kind").isNotNull())
-    frames = [
-        landed,
-        feed_errors(usable(good, "rss", "atom")),
-        story_errors(usable(good, "hn")),
-        release_errors(good),
-        scraped,
-    ]
-    out = frames[0].select(*keys)
-    for frame in frames[1:]:
-        out = out.unionByName(frame.select(*keys))
-    return out
+    is_release = F.coalesce(F.col("fetch_type") == "github_api", F.lit(False))
+    rows = parsed.filter(~is_release).withColumn("error_kind", kind).filter(F.col("error_kind").isNotNull())
+    return rows.select(*keys).unionByName(release_errors(parsed.filter(is_release)).select(*keys))
+
+
+def select_items(payloads: DataFrame, registry: DataFrame, limits: Limits = NO_LIMITS) -> DataFrame:
+    """Item rows of all payloads: each fetch type goes to its parser, the rest to none."""
+    return items_of(parse_payloads(payloads, registry, limits), limits)
+
+
+def payload_errors(payloads: DataFrame, registry: DataFrame) -> DataFrame:
+    """Bad pulls of all payloads, as :func:`errors_of`."""
+    return errors_of(parse_payloads(payloads, registry))
 
 
 def feed_rows(payloads: DataFrame, fetch_type: str) -> DataFrame:
@@ -237,15 +284,15 @@ def error_rows(errors: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def ingest(
-    payloads: DataFrame, pages: DataFrame, registry: DataFrame, held: Held, *,
+    parsed: DataFrame, pages: DataFrame, registry: DataFrame, held: Held, *,
     small_batch: bool = False, limits: Limits = NO_LIMITS,
 ) -> tuple[DataFrame, DataFrame]:
-    """Payloads to items, and to documents that are not held, before conflicts between pulls.
+    """Parsed payloads to items, and to documents that are not held, before conflicts between pulls.
 
     Items, fresh items and documents are each read by more than one later step (page marks,
     inserts, outcome counts), so each is landed: payloads are parsed once, pages extracted once.
     """
-    items = landed(select_items(payloads, registry, limits), "items")
+    items = landed(items_of(parsed, limits), "items")
     fresh = landed(fresh_items(items, registry, held, small_batch=small_batch, limits=limits), "fresh")
     return items, landed(build_documents(fresh, pages, registry, limits), "documents")
 

@@ -36,10 +36,31 @@ def _has_list(body: Column, field: str) -> Column:
     return F.coalesce(F.schema_of_variant(value).startswith("ARRAY"), F.lit(False))
 
 
+def parsed_stories(body: Column) -> Column:
+    """A story-search reply as a struct."""
+    return F.from_json(body, STORY_SCHEMA)
+
+
+def story_error(body: Column) -> Column:
+    """A reply that is not JSON (``parse``) or has no list of hits (``schema``); null for null."""
+    kind = F.when(F.try_parse_json(body).isNull(), "parse").when(~_has_list(body, "hits"), "schema")
+    return F.when(body.isNotNull(), kind)
+
+
+def parsed_releases(body: Column) -> Column:
+    """A list of releases; null if the reply is none."""
+    return F.when(_json_kind(body) == "array", F.from_json(body, RELEASE_SCHEMA))
+
+
 def story_items(payloads: DataFrame) -> DataFrame:
-    """Story-search hits. The item is the discussion page; the story it links to is its target."""
+    """Story-search hits of payloads."""
     keys = [c for c in PULL_COLUMNS if c in payloads.columns]
-    parsed = pinned(payloads, keys, {"reply": F.from_json("body", STORY_SCHEMA)})
+    return story_items_of(pinned(payloads, keys, {"reply": parsed_stories(F.col("body"))}))
+
+
+def story_items_of(parsed: DataFrame) -> DataFrame:
+    """Story-search hits of parsed replies. The item is the discussion page; the story it links to is its target."""
+    keys = [c for c in PULL_COLUMNS if c in parsed.columns]
     hits = parsed.select(*keys, F.posexplode(F.col("reply")["hits"]).alias("pos", "hit"))
     hit = F.col("hit")
     return hits.filter(F.coalesce(hit["objectID"], F.lit("")) != "").select(
@@ -55,23 +76,20 @@ def story_items(payloads: DataFrame) -> DataFrame:
     )
 
 
-def story_errors(payloads: DataFrame) -> DataFrame:
-    """Replies that are not JSON (``parse``) or have no list of hits (``schema``)."""
-    keys = [c for c in (*PULL_COLUMNS, "http_status") if c in payloads.columns]
-    body = F.col("body")
-    kind = F.when(F.try_parse_json(body).isNull(), "parse").when(~_has_list(body, "hits"), "schema")
-    return pinned(payloads, keys, {"error_kind": kind}).filter(F.col("error_kind").isNotNull())
+def release_items(payloads: DataFrame, summary_chars: int | None = None) -> DataFrame:
+    """Releases of payloads of tracked repositories."""
+    keys = [c for c in PULL_COLUMNS if c in payloads.columns]
+    parsed = pinned(payloads, [*keys, "part", "part_no"], {"releases": parsed_releases(F.col("body"))})
+    return release_items_of(parsed, summary_chars)
 
 
-def release_items(payloads: DataFrame, summary_chars: int | None = None) -> DataFrame:
+def release_items_of(parsed: DataFrame, summary_chars: int | None = None) -> DataFrame:
     """Releases of tracked repositories; ``part`` names the repository a payload is for and
     ``part_no`` its place in the pull.
 
     Drafts and releases without a page are dropped; pre-releases stay.
     """
-    keys = [c for c in PULL_COLUMNS if c in payloads.columns]
-    listed = F.when(_json_kind(F.col("body")) == "array", F.from_json("body", RELEASE_SCHEMA))
-    parsed = pinned(payloads, [*keys, "part", "part_no"], {"releases": listed})
+    keys = [c for c in PULL_COLUMNS if c in parsed.columns]
     rows = parsed.select(*keys, "part", "part_no", F.posexplode("releases").alias("at", "release"))
     r = F.col("release")
     name = F.coalesce(
@@ -92,26 +110,18 @@ def release_items(payloads: DataFrame, summary_chars: int | None = None) -> Data
     )
 
 
-def release_errors(classified: DataFrame) -> DataFrame:
-    """Pulls in which every repository failed and no release came out; partial failure is fine."""
-    body = F.col("body")
-    ok = (F.col("payload_status") == "ok") & (F.coalesce(_json_kind(body), F.lit("")) == "array")
-    n_items = F.when(
-        ok,
-        F.size(
-            F.filter(
-                F.from_json(body, RELEASE_SCHEMA),
-                lambda r: ~F.coalesce(r["draft"], F.lit(False))
-                & (F.coalesce(r["html_url"], F.lit("")) != ""),
-            )
-        ),
-    ).otherwise(0)
-    keys = [c for c in PULL_COLUMNS if c in classified.columns]
+def release_errors(parsed: DataFrame) -> DataFrame:
+    """Pulls in which every repository failed and no release came out; partial failure is fine.
+
+    ``parsed`` has the ``releases`` of usable payloads and null for the others.
+    """
+    shown = F.filter(
+        "releases", lambda r: ~F.coalesce(r["draft"], F.lit(False)) & (F.coalesce(r["html_url"], F.lit("")) != "")
+    )
+    keys = [c for c in PULL_COLUMNS if c in parsed.columns]
     return (
-        classified.filter(F.col("fetch_type") == "github_api")
-        .select(*keys, ok.alias("ok"), n_items.alias("n_items"))
-        .groupBy(*keys)
-        .agg(F.count_if(~F.col("ok")).alias("failed"), F.sum("n_items").alias("n_items"))
+        parsed.groupBy(*keys)
+        .agg(F.count_if(F.col("releases").isNull()).alias("failed"), F.sum(F.when(F.col("releases").isNotNull(), F.size(shown)).otherwise(0)).alias("n_items"))
         .filter((F.col("failed") > 0) & (F.col("n_items") == 0))
         .select(*keys, F.lit(None).cast("int").alias("http_status"), F.lit("github").alias("error_kind"))
     )

@@ -40,27 +40,27 @@ def plain_summary(html: Column) -> Column:
     return web_trim(unescape(F.regexp_replace(broken, r"(?s)<.*?>", "")))
 
 
+def parsed_feed(body: Column) -> Column:
+    """A feed payload as a struct; null for null."""
+    return F.from_xml(body, FEED_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"})
+
+
+def is_feed(feed: Column) -> Column:
+    """Whether a parsed payload is a feed of any shape."""
+    shaped = (
+        feed["channel"].isNotNull()
+        | feed["item"].isNotNull()
+        | feed["entry"].isNotNull()
+        | (feed["id"].isNotNull() & feed["updated"].isNotNull())
+    )
+    return F.coalesce(feed["broken"].isNull() & shaped, F.lit(False))
+
+
 def parse_feeds(payloads: DataFrame) -> DataFrame:
     """One row per payload with the parsed document in ``feed``; ``is_feed`` tells whether it is one."""
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"}
     # Pinned: each payload is parsed once, however many filters look into the result.
-    parsed = pinned(
-        payloads, payloads.columns, {"feed": F.from_xml("body", FEED_SCHEMA, options)}
-    ).drop("body")
-    feed = F.col("feed")
-    return parsed.withColumn(
-        "is_feed",
-        F.coalesce(
-            feed["broken"].isNull()
-            & (
-                feed["channel"].isNotNull()
-                | feed["item"].isNotNull()
-                | feed["entry"].isNotNull()
-                | (feed["id"].isNotNull() & feed["updated"].isNotNull())
-            ),
-            F.lit(False),
-        ),
-    )
+    parsed = pinned(payloads, payloads.columns, {"feed": parsed_feed(F.col("body"))}).drop("body")
+    return parsed.withColumn("is_feed", is_feed(F.col("feed")))
 
 
 @lru_cache
@@ -119,10 +119,9 @@ def atom_items(payloads: DataFrame) -> DataFrame:
     return _items(parse_feeds(payloads), F.col("feed")["entry"], _atom_fields)
 
 
-def feed_items(payloads: DataFrame) -> DataFrame:
-    """Items of any feed shape: what the payload is decides, not what the registry says."""
+def feed_items(parsed: DataFrame) -> DataFrame:
+    """Items of parsed feeds of any shape: what the payload is decides, not what the registry says."""
     feed = F.col("feed")
-    parsed = parse_feeds(payloads)
     return _items(
         parsed, F.coalesce(feed["channel"]["item"], feed["item"]), _rss_fields
     ).unionByName(_items(parsed, feed["entry"], _atom_fields))
@@ -133,12 +132,11 @@ def with_url(items: DataFrame) -> DataFrame:
     return items.filter(F.col("url_raw").isNotNull())
 
 
-def feed_errors(payloads: DataFrame) -> DataFrame:
-    """``error_kind`` of feed payloads that parsed badly: ``parse``, or ``no-urls``.
+def feed_error(feed: Column, parsed: Column) -> Column:
+    """What is wrong with a feed payload: ``parse``, ``no-urls`` or null. ``parsed`` tells whether it is a feed.
 
-    Read from the parsed struct of each payload, so nothing is exploded or shuffled.
+    Read from the struct of the payload, so nothing is exploded or shuffled.
     """
-    feed = F.col("feed")
     rss = F.coalesce(feed["channel"]["item"], feed["item"], F.array().cast(f"array<{RSS_ITEM}>"))
     atom = F.coalesce(feed["entry"], F.array().cast(f"array<{ATOM_ENTRY}>"))
     n_items = F.size(rss) + F.size(atom)
@@ -147,9 +145,8 @@ def feed_errors(payloads: DataFrame) -> DataFrame:
         guid = first_text(i["guid"]["_VALUE"])
         return first_text(i["link"]).isNotNull() | F.coalesce(guid.rlike("(?i)^https?://"), F.lit(False))
 
+    links = F.array().cast("array<struct<_href:string,_rel:string>>")
     usable = F.exists(rss, has_rss_url) | F.exists(
-        atom, lambda e: F.exists(F.coalesce(e["link"], F.array().cast("array<struct<_href:string,_rel:string>>")), lambda k: first_text(k["_href"]).isNotNull())
+        atom, lambda e: F.exists(F.coalesce(e["link"], links), lambda k: first_text(k["_href"]).isNotNull())
     )
-    kind = F.when(~F.col("is_feed"), "parse").when((n_items > 0) & ~usable, "no-urls")
-    keys = [c for c in (*PULL_COLUMNS, "http_status") if c in payloads.columns]
-    return parse_feeds(payloads).select(*keys, kind.alias("error_kind")).filter(F.col("error_kind").isNotNull())
+    return F.when(~parsed, "parse").when((n_items > 0) & ~usable, "no-urls")

@@ -105,6 +105,35 @@ def dedup_stream(
     return known.withWatermark(at, lateness).dropDuplicatesWithinWatermark(["url"])
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+def dedup_into_store(
+    stream: DataFrame, url_col: str, store: Store, work: str, *, at: str = "fetched_at", lateness: str = "1 day"
+) -> StreamingQuery:
+    """Append the first row of every canonical URL of a stream to a store, once for all time.
+
+    Repeats within ``lateness`` are dropped by keyed state on the executors' disks (RocksDB), each URL with its own
+    expiry. What the state has let go is in the store by then, and its URL index drops later repeats. So
+    the state holds the URLs of the lateness and no more, however long the stream runs.
+    """
+    spark = stream.sparkSession
+    unique = dedup_stream(stream, url_col, at, lateness)
+    sink = append_new_documents(store, (at, "url"), lambda batch: batch, f"{work}/staging")
+    before = spark.conf.get(STATE_PROVIDER, None)
+    spark.conf.set(STATE_PROVIDER, ROCKSDB)
+    try:
+        return (
+            unique.writeStream.foreachBatch(sink)
+            .option("checkpointLocation", f"{work}/checkpoint")
+            .trigger(availableNow=True)
+            .start()
+        )
+    finally:
+        spark.conf.unset(STATE_PROVIDER) if before is None else spark.conf.set(STATE_PROVIDER, before)
+
+
 def hourly_fetch_health(log: DataFrame, at: str = "attempted_at", lateness: str = "1 hour") -> DataFrame:
     """Attempts, new items and errors per source and hour; works on a stream and on a table."""
     return (

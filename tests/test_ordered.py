@@ -12,6 +12,15 @@ from storyledger.sources import harvest
 START = datetime(2024, 1, 1)
 
 
+@pytest.fixture(scope="module", autouse=True)
+def many_parts(spark):
+    """So few rows would else be put into one part."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.set(name, "true")
+
+
 @pytest.fixture(scope="module")
 def history(spark):
     """One key with two thirds of all rows, all within one hour, with many ties."""

@@ -100,7 +100,21 @@ def test_payload_errors(spark, sources):
 def test_partial_release_failure_is_no_error(spark):
     frame = landed(spark, [("o/a", 0, "github_api", 200, RELEASES), ("o/b", 1, "github_api", 500, "")])
     frame = frame.withColumn("pull_id", F.lit("p")).withColumn("source_id", F.lit("s"))
-    assert apis.release_errors(payloads.classify(frame)).count() == 0
+    ok = F.when(F.col("payload_status") == "ok", F.col("body"))
+    parsed = payloads.classify(frame).withColumn("releases", apis.parsed_releases(ok))
+    assert apis.release_errors(parsed).count() == 0
+    assert apis.release_errors(parsed.filter("part_no = 1")).count() == 1
+
+
+def test_one_parse_feeds_items_and_errors(spark, sources):
+    frame = landed(spark, [(None, 0, "rss", 200, RSS), (None, 0, "hn", 200, "{}"), (None, 0, "scrape", 200, INDEX)])
+    parsed = ingest.parse_payloads(frame, sources)
+    for result in (ingest.items_of(parsed), ingest.errors_of(parsed)):
+        plan = result._jdf.queryExecution().toString()
+        assert "from_xml" not in plan and "xmltostructs" not in plan.lower()
+    assert ingest.items_of(parsed).groupBy("source_id").count().count() == 2
+    assert [r.error_kind for r in ingest.errors_of(parsed).collect()] == ["schema"]
+    assert ingest.items_of(ingest.parse_payloads(frame.limit(0), sources)).count() == 0
 
 
 def test_registry(spark, sources, tmp_path):

@@ -49,6 +49,26 @@ def test_stream_dedup(spark, tmp_path):
     assert out.count() == 30
 
 
+def test_dedup_hands_over_to_the_store(spark, tmp_path):
+    """Batches a day apart; the last brings a URL of the first back, long after its state has expired."""
+    for i in range(6):
+        urls = [f"https://x.example.com/{i}-{j}" for j in range(20)] * 2 + (["https://x.example.com/0-3?utm_source=z"] if i == 5 else [])
+        rows = spark.createDataFrame([(u, i * 86_400 + j) for j, u in enumerate(urls)], "url_raw string, at long")
+        rows.withColumn("fetched_at", F.timestamp_seconds("at")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        for name in os.listdir(tmp_path / "in"):
+            if name.startswith("part-") and os.path.getmtime(tmp_path / "in" / name) > 1e9:
+                os.utime(tmp_path / "in" / name, (1000 + i, 1000 + i))
+    schema = spark.read.parquet(f"{tmp_path}/in").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    store = Store(f"{tmp_path}/store", n=4)
+    query = jobs.dedup_into_store(stream, "url_raw", store, f"{tmp_path}/work", lateness="1 hour")
+    query.awaitTermination()
+    got = [r.url for r in store.read(spark, "raw_documents", None, store.latest(spark)).collect()]
+    assert len(got) == 120 and len(set(got)) == 120
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert len(held) >= 6 and max(held) <= 41
+
+
 def test_fetch_health_has_open_hours_and_late_rows(spark, tmp_path):
     # An hour in each batch; the last batch brings rows that are ten hours late.
     for i, hours in enumerate(([0, 10], [11], [0, 11])):

@@ -147,16 +147,6 @@ def test_independent_sources(spark):
     assert (row.independent_sources, row.documents, row.wire_copies, row.discovery_documents) == (3, 6, 2, 1)
 
 
-def test_slot_size_does_not_matter(spark):
-    rows = [("k", i * 997 % 90_000, i, i % 3 == 0, i % 11 == 0) for i in range(300)]
-    frame = spark.createDataFrame(rows, "k string, s long, i long, hit boolean, reset boolean").withColumn("at", F.timestamp_seconds("s"))
-    runs = [
-        {r.i: r.n for r in ordered.hits_since_reset(frame, "k", "at", "i", F.col("hit") & ~F.col("reset"), F.col("reset"), "n", slot).collect()}
-        for slot in ("hour", "day", "minute")
-    ]
-    assert runs[0] == runs[1] == runs[2]
-
-
 def test_stored_retention_keeps_every_column_and_row(spark, tmp_path):
     from storyledger.operators.merge import retain_stored
 

@@ -26,6 +26,14 @@ def test_published_times(spark):
         ("2026-01-05T09:00:00Z", "2026-01-05 09:00:00", "suspect"),
         ("Mon, 17 Aug 2026 20:30:00 IST", FETCHED, "low"),
         ("2026-13-40", FETCHED, "low"),
+        ("Aug 17, 2026 3:05 PM GMT", "2026-08-17 15:05:00", "high"),
+        ("Mon, Aug 17, 2026 12:05 a.m. EST", "2026-08-17 05:05:00", "high"),
+        ("17 Aug 26 10:00:00 GMT", "2026-08-17 10:00:00", "high"),
+        ("08/17/2026", "2026-08-17 00:00:00", "low"),
+        ("8/17/26 11:30:15 pm +0000", "2026-08-17 23:30:15", "high"),
+        ("17/08/2026", FETCHED, "low"),
+        ("08/17/2026 13:05 PM", FETCHED, "low"),
+        ("30 Jan 99", "1999-01-30 00:00:00", "suspect"),
         ("not a date", FETCHED, "low"),
         ("  ", FETCHED, "low"),
         (None, FETCHED, "low"),
@@ -36,7 +44,7 @@ def test_published_times(spark):
     assert [(c[0], g.at, g.published_at_confidence) for c, g in zip(cases, got)] == cases
     assert got[8].published_at_reason == "published date is 10h ahead, in the future"
     assert "225d old" in got[11].published_at_reason
-    assert got[14].published_at_reason == 'unparseable: "not a date", so the fetch time stands in'
+    assert got[22].published_at_reason == 'unparseable: "not a date", so the fetch time stands in'
 
 
 def test_active_hours(spark):
