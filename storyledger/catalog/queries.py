@@ -19,7 +19,7 @@ from storyledger.functions.html import without_invisible
 from storyledger.functions.urls import with_budget_host, with_canonical_url
 from storyledger.functions.wire import has_verbatim_quote, with_wire
 from storyledger.operators import audit, identity, merge, pages, provenance, schedule, validate
-from storyledger.plans import bookkeeping, ingest, marts
+from storyledger.plans import bookkeeping, ingest, marts, rollups
 from storyledger.limits import POLLER_LIMITS
 from storyledger.schema import TABLES
 from storyledger.session import landed, work_dir
@@ -233,6 +233,37 @@ def totals(spark, sf):
     return marts.totals(B.registry(spark, sf), B.raw_documents(spark, sf), B.source_errors(spark, sf), B.asof())
 
 
+def _rolled(spark, sf):
+    """A store that documents and polls came into in three batches, with their hourly partial aggregates."""
+    store = Store(f"{work_dir(spark, 'rollups')}/store")
+    docs = B.raw_documents(spark, sf).withColumn("fetch_date", F.to_date("fetched_at"))
+    log, none = B.fetch_log(spark, sf), spark.createDataFrame([], "url string")
+    for version in range(3):
+        mine, polls = docs.where(F.col("doc_id") % 3 == version), log.where(F.col("event_id") % 3 == version)
+        added = {"raw_documents": mine, "fetch_log": polls, "document_hours": rollups.document_hours(mine), "log_hours": rollups.log_hours(polls)}
+        store.commit(spark, version, none, added, {})
+    return {name: store.read(spark, name, None, 2) for name in ("raw_documents", "fetch_log", "document_hours", "log_hours")}
+
+
+@query
+def source_health_rolled(spark, sf):
+    """Source health from hourly partial aggregates of several batches."""
+    t = _rolled(spark, sf)
+    found = rollups.source_health(
+        B.registry(spark, sf), t["document_hours"], t["log_hours"], t["raw_documents"], t["fetch_log"], B.source_errors(spark, sf), B.asof()
+    )
+    return found.select(
+        "slug", "name", "vertical", "last_fetched_at", "feed_window_size", "docs_24h", "docs_total",
+        "image_pct_7d", "peak_new", "open_errors", "last_error",
+    )
+
+
+@query
+def totals_rolled(spark, sf):
+    t = _rolled(spark, sf)
+    return rollups.totals(B.registry(spark, sf), t["document_hours"], t["raw_documents"], B.source_errors(spark, sf), B.asof())
+
+
 def _stored(spark, sf):
     return times.with_published(B.raw_documents(spark, sf))
 

@@ -14,6 +14,7 @@ from storyledger.operators.identity import first_per_key
 from storyledger.operators.merge import fetch_log_rows, resolve_open_errors, source_error_rows
 from storyledger.operators.schedule import advance_over_attempts, carried_throttles
 from storyledger.plans.ingest import error_rows, errors_of, fetch_outcomes, ingest, parse_payloads
+from storyledger.plans.rollups import document_hours, log_hours
 from storyledger.session import landed
 from storyledger.sizing import broadcast_if_small
 from storyledger.sources.store import Store
@@ -80,7 +81,10 @@ def settle_into(
     before = version - 1
     tables = [store.read_whole(spark, name, before) for name in ("sources", "open_errors", "throttles")]
     done = settle(payloads, pages, tables[0], lambda urls: store.held(spark, urls, before), *tables[1:], limits)
-    appended = {"raw_documents": done.documents, "fetch_log": done.log, "source_errors": done.closed_errors}
+    appended = {
+        "raw_documents": done.documents, "fetch_log": done.log, "source_errors": done.closed_errors,
+        "document_hours": document_hours(done.documents), "log_hours": log_hours(done.log),
+    }
     replaced = {"sources": done.registry, "open_errors": done.open_errors, "throttles": done.throttles}
     store.commit(spark, version, done.documents.select("url"), appended, replaced)
     return True

@@ -21,7 +21,7 @@ def _within(column: str, asof: Column, period: str) -> Column:
     return F.col(column) > asof - F.expr(f"INTERVAL {period}")
 
 
-def _percent(part: Column, whole: Column) -> Column:
+def percent(part: Column, whole: Column) -> Column:
     """Rounded share in percent, null when there is nothing to share."""
     return F.round(100.0 * part / F.nullif(whole, F.lit(0))).cast("int")
 
@@ -38,13 +38,18 @@ def source_health(
     per_docs = docs.groupBy("source_id").agg(
         F.count_if(_within("fetched_at", asof, DAY)).alias("docs_24h"),
         F.count("*").alias("docs_total"),
-        _percent(F.count_if(week & F.col("image_url").isNotNull()), F.count_if(week)).alias("image_pct_7d"),
+        percent(F.count_if(week & F.col("image_url").isNotNull()), F.count_if(week)).alias("image_pct_7d"),
     )
     failed = F.col("error").isNotNull()
     per_log = log.groupBy("source_id").agg(
         F.max(F.when(_within("attempted_at", asof, WEEK), F.col("items_new"))).alias("peak_new"),
         F.max_by("error", F.when(failed, F.col("attempted_at"))).alias("last_error"),
     )
+    return health_rows(registry, per_docs, per_log, errors)
+
+
+def health_rows(registry: DataFrame, per_docs: DataFrame, per_log: DataFrame, errors: DataFrame) -> DataFrame:
+    """News sources with what documents, log and open errors say about each."""
     per_errors = (
         errors.filter(F.col("resolved_at").isNull()).groupBy("source_id").agg(F.count("*").alias("open_errors"))
     )
@@ -106,21 +111,27 @@ def health_status(health: DataFrame, asof: Column, *, use_calendar: bool = False
 
 
 def totals(registry: DataFrame, docs: DataFrame, errors: DataFrame, asof: Column) -> DataFrame:
-    """Global counters. Three one-row aggregates are stacked and folded, so there is no join."""
-    news = F.col("source_kind") == "news"
+    """Global counters."""
     day = _within("fetched_at", asof, DAY)
+    counts = docs.agg(
+        F.count("*").alias("docs_total"),
+        F.count_if(day).alias("docs_24h"),
+        F.count_if(day & F.col("origin_wire_byline").isNotNull()).alias("wire_flagged_24h"),
+        F.count_if(day & F.col("image_url").isNotNull()).alias("with_image_24h"),
+    )
+    return totals_of(registry, counts, errors)
+
+
+def totals_of(registry: DataFrame, counts: DataFrame, errors: DataFrame) -> DataFrame:
+    """Counters of registry, documents (one row) and errors, stacked and folded, so there is no join."""
+    news = F.col("source_kind") == "news"
     parts = [
         registry.agg(
             F.count_if(news).alias("sources_news"),
             F.count_if(F.col("source_kind") == "data").alias("sources_data"),
             F.count_if(news & F.col("is_active")).alias("sources_active"),
         ),
-        docs.agg(
-            F.count("*").alias("docs_total"),
-            F.count_if(day).alias("docs_24h"),
-            F.count_if(day & F.col("origin_wire_byline").isNotNull()).alias("wire_flagged_24h"),
-            F.count_if(day & F.col("image_url").isNotNull()).alias("with_image_24h"),
-        ),
+        counts,
         errors.agg(F.count_if(F.col("resolved_at").isNull()).alias("open_errors")),
     ]
     names = [c for part in parts for c in part.columns]

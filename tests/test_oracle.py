@@ -18,7 +18,8 @@ SOME = (
     "claim_types", "independent_sources", "published_confidence", "primary_links", "throttle_history",
     "advance_schedule", "upsert_registry", "clean_streak", "resolve_errors", "audit_proxy_sample", "harvest_links",
     "atom_items", "payload_errors", "lead_image", "page_signals", "article_text", "unique_violations",
-    "stream_fetch_health",
+    "stream_fetch_health", "stream_ingest", "stream_dedup", "ingest_bookkeeping", "scan_tables", "source_health_rolled",
+    "feed_quality", "fetch_outcome", "calendar_overdue", "audit_run", "totals_rolled",
 )
 NAMES = sorted(ORACLE) if os.environ.get("STORYLEDGER_ALL_QUERIES") else SOME
 

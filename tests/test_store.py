@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from storyledger.catalog import bindings as B
 from storyledger.limits import POLLER_LIMITS
-from storyledger.plans import bookkeeping
+from storyledger.plans import bookkeeping, marts, rollups
 from storyledger.session import landed
 from storyledger.sources.store import Store
 
@@ -54,6 +54,22 @@ def test_a_version_without_its_manifest_does_not_count(spark, tmp_path):
     assert store.read_whole(spark, "sources", 0).count() == 2 and store.read_whole(spark, "sources", 1).count() == 1
 
 
+@pytest.mark.parametrize("asof", ["2024-01-31 00:00:00", "2024-01-30 10:20:30"])
+def test_health_from_partial_aggregates(spark, asof):
+    if not os.path.isdir(SF_DIR):
+        pytest.skip("benchmark tables are not here")
+    at = F.lit(asof).cast("timestamp")
+    spread = F.timestamp_micros(F.unix_micros("fetched_at") - F.col("doc_id") * 61_000_000)
+    docs = landed(B.raw_documents(spark, SF_DIR).withColumn("fetched_at", spread).withColumn("fetch_date", F.to_date("fetched_at")), "docs")
+    log, errors, registry = B.fetch_log(spark, SF_DIR), B.source_errors(spark, SF_DIR), B.registry(spark, SF_DIR)
+    hours = [rollups.document_hours(docs.where(F.col("doc_id") % 2 == i)) for i in (0, 1)]
+    polls = [rollups.log_hours(log.where(F.col("event_id") % 2 == i)) for i in (0, 1)]
+    whole = marts.source_health(registry, docs, log, errors, at)
+    rolled = rollups.source_health(registry, hours[0].union(hours[1]), polls[0].union(polls[1]), docs, log, errors, at)
+    assert sorted(map(str, rolled.collect())) == sorted(map(str, whole.collect()))
+    assert rollups.totals(registry, hours[0].union(hours[1]), docs, errors, at).collect() == marts.totals(registry, docs, errors, at).collect()
+
+
 @pytest.fixture(scope="module")
 def inputs(spark):
     if not os.path.isdir(SF_DIR):
