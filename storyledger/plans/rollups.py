@@ -84,7 +84,7 @@ def source_health(
     )
     first = log_hours(_first_hour(log, "attempted_at", asof, marts.WEEK)).withColumn("hour", F.lit(None).cast("timestamp"))
     peak = F.when(F.coalesce(_within(asof, marts.WEEK), F.lit(True)), F.col("peak_new"))
-    per_log = polls.unionByName(first).groupBy("source_id").agg(
+    per_log = polls.select(*first.columns).unionByName(first).groupBy("source_id").agg(
         F.max(peak).alias("peak_new"), F.max("failure")["error"].alias("last_error")
     )
     return marts.health_rows(registry, per_docs, per_log, errors)
