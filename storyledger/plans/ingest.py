@@ -15,6 +15,7 @@ from storyledger.functions.wire import has_verbatim_quote, with_wire
 from storyledger.limits import NO_LIMITS, Limits, left_chars
 from storyledger.operators.identity import (
     dedup_within_pull,
+    first_per_key,
     identify,
     mark_pages_to_fetch,
     not_held,
@@ -149,20 +150,33 @@ def fresh_items(
     return mark_pages_to_fetch(fresh, F.col("source_role"), limits.pages_per_pull)
 
 
+def latest_captures(pages: DataFrame, asked: DataFrame) -> DataFrame:
+    """``url``, ``page_status`` and ``page_body`` of the pages that ``asked`` (``url``) names.
+
+    Page bodies are the bulk of the archive, so only those asked for are looked at further. Where ``pages`` has
+    ``captured_at``, a URL may be in it any number of times and the latest capture counts; else it is in it once.
+    """
+    narrow = ["url", "page_status", "page_body"]
+    if "captured_at" not in pages.columns:
+        return pages.select(*narrow).join(asked, "url", "left_semi")
+    found = pages.select(*narrow, "captured_at").join(asked, "url", "left_semi")
+    return first_per_key(found, ["url"], -F.unix_micros("captured_at")).select(*narrow)
+
+
 def build_documents(
     fresh: DataFrame, pages: DataFrame, registry: DataFrame, limits: Limits = NO_LIMITS
 ) -> DataFrame:
     """One document per fresh item, with its article page where one was landed.
 
-    ``pages`` has ``url`` (canonical), ``page_status`` and ``page_body``. The item's own title
+    ``pages`` has ``url`` (canonical), ``page_status`` and ``page_body``, and ``captured_at`` if a URL can be in it more than
+    once. The item's own title
     wins over the page's, the page's text over the item's summary, and feed images come before
     page images. A page that failed leaves a row with status ``failed``: that the article exists
     is the record. Items without a page to fetch are ``skipped``.
     """
     wanted = F.col("fetch_page")
     asked = fresh.filter(wanted).select("url").distinct()
-    # Page bodies are the bulk of the archive: only those that an item asks for reach the join.
-    found = pages.select("url", "page_status", "page_body").join(asked, "url", "left_semi")
+    found = latest_captures(pages, asked)
     # Short rules first: every later step analyses the plan so far again.
     items = with_published(fresh)
     items = with_canonical_url(items, "discovery_target_url", out="origin_discovery_target_url")

@@ -106,6 +106,14 @@ def test_partial_release_failure_is_no_error(spark):
     assert apis.release_errors(parsed.filter("part_no = 1")).count() == 1
 
 
+def test_latest_capture_of_a_page(spark):
+    rows = [("u", 200, "old", 1), ("u", 404, "", 3), ("u", 200, "new", 2), ("v", 200, "only", 1), ("w", 200, "not asked", 1)]
+    pages = spark.createDataFrame(rows, "url string, page_status int, page_body string, at int").withColumn("captured_at", F.timestamp_seconds("at"))
+    asked = spark.createDataFrame([("u",), ("v",), ("x",)], "url string")
+    got = sorted(tuple(r) for r in ingest.latest_captures(pages, asked).collect())
+    assert got == [("u", 404, ""), ("v", 200, "only")]
+
+
 def test_one_parse_feeds_items_and_errors(spark, sources):
     frame = landed(spark, [(None, 0, "rss", 200, RSS), (None, 0, "hn", 200, "{}"), (None, 0, "scrape", 200, INDEX)])
     parsed = ingest.parse_payloads(frame, sources)
