@@ -63,6 +63,13 @@ def test_next_event(spark, history, strict):
         assert r.then == (min(after) if after else None)
 
 
+def test_next_event_folds_each_row_once(spark, history, capsys):
+    """A frame that ends where its window ends is folded anew for every row, which is quadratic in the rows of a key."""
+    ordered.next_event(history[1], "key", "at", F.col("reset"), "then").explain()
+    plan = capsys.readouterr().out.lower()
+    assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan
+
+
 def test_a_hot_key_within_an_hour_fills_many_parts(spark, history):
     _, frame = history
     parts = ordered.ranged_parts(frame.where("key = 'hot'"), "key", "at", "id")
