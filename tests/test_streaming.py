@@ -1,7 +1,9 @@
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
+from storyledger.catalog.queries import QUERIES
 from storyledger.functions.urls import with_canonical_url
 from storyledger.operators.identity import first_per_key
 from storyledger.sources.store import Store
@@ -84,3 +86,14 @@ def test_fetch_health_has_open_hours_and_late_rows(spark, tmp_path):
     assert {(r.hour.hour, r.attempts, r.items_new, r.errors) for r in got} == {(0, 2, 4, 2), (10, 1, 2, 0), (11, 2, 4, 0)}
     again = jobs.fetch_health_table(stream, f"{tmp_path}/out", f"{tmp_path}/work").collect()
     assert sorted(got) == sorted(again)
+
+
+@pytest.mark.parametrize("name", ["stream_ingest", "stream_dedup", "stream_fetch_health"])
+def test_tables_of_many_files_stream(spark, tmp_path, name):
+    """A table may be one file or a folder of files; a stream must find the rows of both."""
+    events = spark.createDataFrame([(i, 1, "click", 1.0) for i in range(8)], "event_id long, user_id long, event_type string, value double")
+    events.withColumn("ts", F.timestamp_seconds("event_id")).repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    pages = spark.createDataFrame([(i, f"https://x.example.com/{i % 5}") for i in range(8)], "page_id long, url string")
+    pages.repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
+    got = QUERIES[name](spark, str(tmp_path))
+    assert got.agg(F.sum("attempts")).first()[0] == 8 if name == "stream_fetch_health" else got.count() == 5
