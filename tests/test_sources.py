@@ -1,8 +1,10 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
+from storyledger.catalog import bindings, queries
 from storyledger.plans import ingest
 from storyledger.sources import apis, feeds, harvest, payloads, registry
 
@@ -131,3 +133,32 @@ def test_registry(spark, sources, tmp_path):
     assert (row.source_kind, row.active_hours_tz, row.off_interval_min, row.topics, row.is_active) == ("news", "Asia/Kolkata", 120, [], True)
     with pytest.raises(ValueError, match='duplicate slug "s0"'):
         registry.assert_unique_slugs(sources.unionByName(sources.filter("slug = 's0'")))
+
+
+def test_payloads_of_one_source_fill_many_tasks(spark, tmp_path, monkeypatch):
+    rows = [(i, f"text {i}", "en", "src1") for i in range(4000)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    seen = []
+
+    class Batch:
+        """Stands for a run of the stream, and counts the files that it finds."""
+
+        def __init__(self, stream, store, *_):
+            folder = f"{os.path.dirname(store.root)}/in"
+            seen.append(len([f for f in os.listdir(folder) if f.endswith(".parquet")]))
+
+        def awaitTermination(self):  # noqa: N802
+            pass
+
+    monkeypatch.setattr(queries.jobs, "stream_bookkeeping", Batch)
+    names = ["spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.autoBroadcastJoinThreshold"]
+    for name, value in zip(names, ("false", "-1"), strict=True):
+        spark.conf.set(name, value)
+    try:
+        parts = bindings.payloads(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+        queries._settled(spark, str(tmp_path))
+    finally:
+        for name in names:
+            spark.conf.unset(name)
+    assert sum(r["count"] for r in parts) == 40 and len(parts) > 1
+    assert len(seen) == queries.BATCHES and seen[-1] > queries.BATCHES
