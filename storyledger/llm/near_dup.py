@@ -36,6 +36,7 @@ from storyledger.llm.shingles import (
     grams,
     idf_table,
     least_hashes,
+    set_digest,
     shingles,
     sketch_slots,
     sketch_width,
@@ -65,62 +66,93 @@ def words_key(text: Column) -> Column:
     return F.md5(F.trim(F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), GAP, " ")))
 
 
-def folded_grams(docs: DataFrame, text: str) -> DataFrame:
-    """``grams`` of one text for each group of texts that are mostly alike.
+def set_keys(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``id``, ``whole`` (digest of the set of shingles), its ``size`` and four ``leasts`` of each row with a word."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wholes, sizes, leasts = [], [], []
+            for value in batch.column(1):
+                found = shingles(value.as_py() or "")[0]
+                wholes.append(set_digest(found))
+                sizes.append(len(found))
+                leasts.append(least_hashes(found))
+            columns = [pa.array(wholes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(leasts, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "whole", "size", "leasts"])
+
+    rows = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
+    return rows.mapInArrow(read, "id bigint, whole bigint, size bigint, leasts array<bigint>").where("size > 0")
+
+
+def group_texts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """One text for each group of texts that are mostly alike: ``whole``, ``id``, its ``size`` and ``times``, its rows.
 
     A text has four least hashes; its group is the one of them that most texts share. An edit seldom changes all four,
-    so the copies of a text are a few groups, however many they are.
+    so the copies of a text are a few groups, however many they are. Only digests move.
     """
+    rows = landed(set_keys(docs, key, text), "leasts")
+    copies = rows.groupBy("whole", "id").agg(F.count(F.lit(1)).alias("times"), F.first("size").alias("size"), F.first("leasts").alias("leasts"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "times", "size"))
+    wholes = landed(copies.groupBy("whole").agg(F.sum("times").alias("n"), first.alias("copy"), F.first("leasts").alias("leasts")), "wholes")
+    each = wholes.select("whole", "copy", "n", F.posexplode("leasts").alias("place", "least"))
+    shared = landed(each.groupBy("place", "least").agg(F.sum("n").alias("shared")), "shared")
+    best = F.max(F.struct("shared", "place", "least"))
+    choice = each.join(shared, ["place", "least"]).groupBy("whole").agg(best.alias("best"), F.first("copy").alias("copy"))
+    reps = choice.groupBy("best.place", "best.least").agg(F.min(F.struct("whole", "copy")).alias("rep"))
+    return landed(reps.select("rep.whole", "rep.copy.id", "rep.copy.size", "rep.copy.times"), "reps")
+
+
+def folded_grams(docs: DataFrame, key: str, text: str, reps: DataFrame) -> DataFrame:
+    """``grams`` of the texts in ``reps`` and their ``times``. Grams are made again, since all of them are as long as the texts."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, leasts, held, size = 0, [], [], 0
+            at, wholes, held, size = 0, [], [], 0
 
-            def packed(at: int, leasts: list, held: list, batch: pa.RecordBatch = batch) -> pa.RecordBatch:
-                columns = [pa.array(leasts, pa.list_(pa.int64())), pa.array(held, pa.list_(pa.int32()))]
-                return pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(held)), *columns], names=["row", "leasts", "grams"])
+            def packed(at: int, wholes: list, held: list, batch: pa.RecordBatch = batch) -> pa.RecordBatch:
+                columns = [pa.array(wholes, pa.int64()), pa.array(held, pa.list_(pa.int32()))]
+                return pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(held)), *columns], names=["id", "whole", "grams"])
 
             for value in batch.column(1):
                 found = shingles(value.as_py() or "")[0]
-                leasts.append(least_hashes(found))
+                wholes.append(set_digest(found))
                 held.append(grams(found).view(np.int32))
                 size += len(found)
                 if size > 1 << 20:
-                    yield packed(at, leasts, held)
-                    at, leasts, held, size = at + len(held), [], [], 0
+                    yield packed(at, wholes, held)
+                    at, wholes, held, size = at + len(held), [], [], 0
             if held:
-                yield packed(at, leasts, held)
+                yield packed(at, wholes, held)
 
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
-    rows = landed(numbered.mapInArrow(read, "row bigint, leasts array<bigint>, grams array<int>"), "grams")
-    each = rows.select("row", F.posexplode("leasts").alias("place", "least"))
-    shared = landed(each.groupBy("place", "least").agg(F.count(F.lit(1)).alias("n")), "leasts")
-    best = F.max(F.struct("n", "place", "least"))
-    choice = each.join(shared, ["place", "least"]).groupBy("row").agg(best.alias("best"))
-    reps = landed(choice.groupBy("best.place", "best.least").agg(F.min("row").alias("row")).select("row"), "reps")
-    return landed(rows.select("row", "grams").join(reps, "row", "left_semi"), "groups")
+    rows = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
+    made = rows.mapInArrow(read, "id bigint, whole bigint, grams array<int>")
+    wanted = reps.select(F.col("id").alias("__id"), F.col("whole").alias("__whole"), "times")
+    return made.join(wanted, (F.col("whole") == F.col("__whole")) & F.col("id").eqNullSafe(F.col("__id"))).select("grams", "times")
 
 
-def document_frequencies(docs: DataFrame, text: str) -> np.ndarray:
+def document_frequencies(docs: DataFrame, text: str, key: str = "doc_id") -> np.ndarray:
     """Inverse document frequency of each slot of the sketch, from all rows of ``docs``."""
-    groups = folded_grams(docs, text)
-    facts = groups.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("grams")), F.lit(0)).alias("total")).first()
+    reps = group_texts(docs, key, text)
+    facts = reps.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("total")).first()
     n_groups, width = facts["n"], sketch_width(facts["total"] / max(facts["n"], 1))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(width * SKETCH_DEPTH, np.int64)
+        sketch = np.zeros(width * SKETCH_DEPTH)
         for batch in batches:
             own = batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint32)
+            times = batch.column(1).to_numpy()
+            # A row that is there several times counts as one.
+            part = None if (times == 1).all() else np.repeat(1 / times, np.diff(batch.column(0).offsets.to_numpy()))
             for slots in sketch_slots(own, width):
-                sketch += np.bincount(slots, minlength=len(sketch))
+                sketch += np.bincount(slots, part, minlength=len(sketch))
         used = np.flatnonzero(sketch)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(sketch[used])], names=["slot", "n"])
 
-    totals = groups.select("grams").mapInArrow(counted, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n"))
-    counts = np.zeros(width * SKETCH_DEPTH, np.int64)
+    totals = folded_grams(docs, key, text, reps).mapInArrow(counted, "slot bigint, n double").groupBy("slot").agg(F.sum("n"))
+    counts = np.zeros(width * SKETCH_DEPTH)
     for slot, n in totals.collect():  # the size of the sketch, whatever the number of documents
         counts[slot] = n
-    return idf_table(counts, n_groups)
+    return idf_table(np.rint(counts), n_groups)
 
 
 def features(docs: DataFrame, key: str, text: str, idf: np.ndarray) -> DataFrame:
@@ -299,7 +331,7 @@ def near_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", si
     """
     spark = docs.sparkSession
     ship(spark)
-    idf = document_frequencies(docs, text)
+    idf = document_frequencies(docs, text, key)
     rows = landed(features(docs, key, text, idf), "features")
     nodes = landed(
         rows.groupBy("node").agg(

@@ -100,6 +100,11 @@ def least_hashes(hashes: np.ndarray) -> list[int]:
     return [int(mix(hashes * U(2 * k + 3)).min().view(np.int64)) for k in range(FOLDS)]
 
 
+def set_digest(hashes: np.ndarray) -> int:
+    """64 bits that tell sets of hashes apart."""
+    return int(mix(hashes ^ U(0xD1B54A32D192ED03)).sum(dtype=np.uint64).view(np.int64))
+
+
 def grams(hashes: np.ndarray) -> np.ndarray:
     """32 bits of each hash, for the sketch."""
     return (hashes >> U(32)).astype(np.uint32)

@@ -324,6 +324,19 @@ def test_weights_fall_with_the_groups_that_share_a_passage(spark):
     assert all(classes[i] == i for i in range(120)) and {classes[i] for i in range(120, 180)} == {120}
 
 
+def test_frequencies_leave_no_grams_behind(spark, monkeypatch):
+    """Repeated rows count as one; what lands is digests, far less than the texts."""
+    texts = [prose(800 + i, 400) for i in range(40)]
+    docs = spark.createDataFrame([(None if i == 3 else i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    kept = []
+    monkeypatch.setattr(near_dup, "landed", lambda df, purpose: kept.append(landed(df, purpose)) or kept[-1])
+    once = near_dup.document_frequencies(docs, "text")
+    for frame in kept:
+        assert not any("array<int>" in kind for _, kind in frame.dtypes)
+        assert len(str(frame.toPandas().values.tolist())) < sum(map(len, texts)) / 4
+    assert (near_dup.document_frequencies(docs.union(docs).union(docs), "text") == once).all()
+
+
 def test_near_duplicates_of_a_group_that_is_a_third_of_all_rows(spark):
     base = prose(25, 200).split()
 
