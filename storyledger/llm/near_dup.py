@@ -10,7 +10,8 @@ band become candidate pairs, a constant number for each node of a bucket; pairs
 verified on whole texts by weighted Jaccard similarity. Where the nodes of a bucket are then in several components,
 they take 96 further samples in 16 finer bands, in which a pair at 0.8 meets with probability 0.99 and a
 pair at 0.6 seldom. Inside the finer buckets nodes are paired the same way, then representatives of the components
-that are left meet in other orders, in a fixed number of turns. Every step makes pairs in proportion to nodes.
+that are left meet in other orders, in a fixed number of turns. These steps make pairs in proportion to nodes.
+Last, an exact pass compares what they left: all pairs that share a bucket and are in different components, block by block.
 """
 
 from __future__ import annotations
@@ -26,9 +27,11 @@ from pyspark.sql.window import Window
 from storyledger.functions.steps import pinned
 from storyledger.llm.components import components, joined_components
 from storyledger.llm.shingles import (
+    BANDS,
     FINE_BANDS,
     FINE_ROWS,
     FINE_SAMPLES,
+    ROWS,
     SAMPLES,
     SKETCH_DEPTH,
     band_keys,
@@ -54,6 +57,7 @@ LEAST_AGREE = 20
 FINE_AGREE = 88
 TURNS = 3  # in the finer buckets: all nodes first, then representatives of components
 FACES = 3  # representatives of a component in a bucket
+BLOCK = 1_000  # nodes on either side of a task of the exact pass
 CHAIN = 2_000  # nodes of a bucket that are chained together; larger buckets have several chains
 SLACK = 1e-6  # for rounding of total weights
 # 250 000 identifiers with their digests stay under 25 MB.
@@ -275,6 +279,94 @@ def fine_pairs(members: DataFrame, turn: int, least: int, similarity: float) ->
     return likely.select(pairs_of(F.col("__me"), F.col("__other")).alias("p")).select("p.*").distinct()
 
 
+def blocks(members: DataFrame) -> DataFrame:
+    """Rows of mixed buckets (``band``, ``value``, ``node``, ``root``) dealt to tasks ``low``, ``high``, with their ``part``.
+
+    Nodes of the largest component of a bucket need no meeting among themselves: the others are the first parts, and
+    meet all parts. A task has two parts, or one with itself, so each pair of different components is in one task.
+    """
+    by_root = members.groupBy("band", "value", "root").agg(F.count(F.lit(1)).alias("n"))
+    sizes = by_root.groupBy("band", "value").agg(F.sum("n").alias("all"), F.max(F.struct("n", "root")).alias("core"))
+    parts_of = lambda n: F.ceil(n / BLOCK).cast("int")
+    small = F.col("all") <= BLOCK  # one task with itself
+    first = F.when(small, 1).otherwise(parts_of(F.col("all") - F.col("core.n")))
+    dealt = members.join(sizes, ["band", "value"]).withColumns({"__first": first, "__core": F.when(small, 0).otherwise(parts_of(F.col("core.n")))})
+    inside = (F.col("root") == F.col("core.root")) & ~small
+    spread = F.xxhash64("node", F.lit("block"))
+    part = F.when(inside, F.col("__first") + F.pmod(spread, "__core")).otherwise(F.pmod(spread, "__first")).cast("int")
+    last = F.when(inside, F.col("__first")).otherwise(F.col("__first") + F.col("__core")) - 1
+    tasks = F.transform(F.sequence(F.lit(0), last), lambda q: F.struct(F.least(q, "part").alias("low"), F.greatest(q, "part").alias("high")))
+    named = dealt.withColumn("part", part)
+    return named.select("band", "value", "node", "root", "part", F.explode(tasks).alias("t")).select("band", "value", "t.low", "t.high", "part", "node", "root")
+
+
+def links_left(members: DataFrame, nodes: DataFrame, idf: np.ndarray, similarity: float, least: int) -> DataFrame:
+    """Links ``a`` < ``b`` between different components: every pair of ``members`` that shares a bucket is compared.
+
+    ``members`` has ``band`` (the finer ones after the others), ``value``, ``node``, ``root``; ``nodes`` has ``node``,
+    ``total``, all ``samples`` and ``text``. A pair is compared in the first band that it shares, and passed over where
+    links of its task have joined both already. Work is quadratic in the buckets that stay mixed, memory is not.
+    """
+    shared = members.sparkSession.sparkContext.broadcast(idf)  # bounded size
+
+    def compared(rows: list, samples: np.ndarray) -> list[tuple[str, str]]:
+        names, parts = [r["node"] for r in rows], np.array([r["part"] for r in rows])
+        totals, band = np.array([r["total"] for r in rows]), rows[0]["band"]
+        codes = np.unique([r["root"] for r in rows], return_inverse=True)[1]
+        parent, known, links = list(range(len(rows))), {}, []
+
+        def top(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        def profile(i: int) -> tuple[np.ndarray, np.ndarray]:
+            if i not in known:
+                found, times = shingles(rows[i]["text"] or "")
+                known[i] = found, weights(found, times, shared.value)
+            return known[i]
+
+        low, high = parts.min(), parts.max()
+        right = np.flatnonzero(parts == high)
+        for i in np.flatnonzero(parts == low):
+            js = right[right > i] if low == high else right
+            js = js[codes[js] != codes[i]]
+            js = js[np.minimum(totals[js], totals[i]) >= np.maximum(totals[js], totals[i]) * (similarity - SLACK)]
+            same = samples[js] == samples[i]
+            enough = same.sum(1) >= least
+            js, same = js[enough], same[enough]
+            coarse = same[:, :SAMPLES].reshape(len(js), BANDS, ROWS).all(2)
+            fine = same[:, SAMPLES:].reshape(len(js), FINE_BANDS, FINE_ROWS).all(2)
+            met = np.concatenate((coarse, fine), axis=1)
+            for j in js[~met[:, :band].any(1)].tolist():
+                a, b = top(codes[i]), top(codes[j])
+                if a != b and weighted_jaccard(profile(i), profile(j)) >= similarity:
+                    parent[a] = b
+                    links.append((min(names[i], names[j]), max(names[i], names[j])))
+        return links
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, samples, now = [], [], None
+        for batch in batches:
+            links = []
+            own = batch.column(batch.schema.get_field_index("samples")).flatten().to_numpy().reshape(len(batch), -1)
+            for row, sample in zip(batch.drop_columns("samples").to_pylist(), own, strict=True):
+                task = (row["band"], row["value"], row["low"], row["high"])
+                if task != now and rows:
+                    links += compared(rows, np.stack(samples))
+                    rows, samples = [], []
+                now = task
+                rows.append(row)
+                samples.append(sample)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.string()) for k in (0, 1)], names=["a", "b"])
+        links = compared(rows, np.stack(samples)) if rows else []
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.string()) for k in (0, 1)], names=["a", "b"])
+
+    task = ["band", "value", "low", "high"]
+    dealt = blocks(members).join(nodes, "node").repartition(*task).sortWithinPartitions(*task)
+    return dealt.mapInArrow(read, "a string, b string")
+
+
 def texts_of(docs: DataFrame, key: str, text: str, nodes: DataFrame) -> DataFrame:
     """``node`` and the whole text of one of its documents, for ``nodes`` (``node``, ``first_id``)."""
     wanted = landed(nodes.select("node", "first_id").distinct(), "wanted")
@@ -360,6 +452,13 @@ def near_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", si
                 if not found.isEmpty():
                     roots = landed(joined_components(roots, found), "roots")
                 tried = landed(tried.select("a", "b").union(fresh.select("a", "b")), "tried")
+        # What leaders, chains and turns left: every pair of a bucket that is still in different components.
+        held = members.where("n > 2").select("band", "value", "node").union(finer.select(F.col("band") + BANDS, "value", "node"))
+        whole = both.join(texts, "node").select("node", "total", F.concat("__first", "__more").alias("samples"), "text")
+        left = landed(several_components(held, roots).select("band", "value", "node", "root"), "left")
+        found = landed(links_left(left, whole, idf, similarity, FINE_AGREE), "verified")
+        if not found.isEmpty():
+            roots = landed(joined_components(roots, found), "roots")
     classed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = F.struct(F.col("first_id").isNull().alias("none"), "first_id", "node")
     sizes = classed.groupBy("root").agg(F.sum("n").alias("class_size"), F.min(best).alias("best"))

@@ -324,6 +324,28 @@ def test_weights_fall_with_the_groups_that_share_a_passage(spark):
     assert all(classes[i] == i for i in range(120)) and {classes[i] for i in range(120, 180)} == {120}
 
 
+@pytest.mark.parametrize("block", [4, 1000])
+def test_pairs_that_leaders_chains_and_turns_leave(spark, monkeypatch, block):
+    """Without any turn, every pair of one bucket is still compared, in blocks or in one task."""
+    monkeypatch.setattr(near_dup, "TURNS", 0)
+    monkeypatch.setattr(near_dup, "CHAIN", 1)
+    monkeypatch.setattr(near_dup, "BLOCK", block)
+    rng = random.Random(5)
+    base = [prose(51 + i, 200).split() for i in range(2)]
+    texts = [edited(rng, base[i % 2], 1 + i % 3 // 2) for i in range(24)] + [prose(900 + i, 150) for i in range(10)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    idf = near_dup.document_frequencies(docs, "text")
+    sets = [(h, shingles.weights(h, n, idf)) for h, n in map(shingles.shingles, texts)]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if shingles.weighted_jaccard(sets[a], sets[b]) >= 0.8:
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = [new if r == old else r for r in root]
+    assert len(set(root)) < len(texts) - 10
+    assert {r.id: r.class_id for r in near_dup.near_classes(docs).collect()} == dict(enumerate(root))
+
+
 def test_frequencies_leave_no_grams_behind(spark, monkeypatch):
     """Repeated rows count as one; what lands is digests, far less than the texts."""
     texts = [prose(800 + i, 400) for i in range(40)]
