@@ -58,6 +58,7 @@ FINE_AGREE = 88
 TURNS = 3  # in the finer buckets: all nodes first, then representatives of components
 FACES = 3  # representatives of a component in a bucket
 BLOCK = 1_000  # nodes on either side of a task of the exact pass
+NODE_BYTES = 16_384  # a longer text takes the place of several nodes there
 CHAIN = 2_000  # nodes of a bucket that are chained together; larger buckets have several chains
 SLACK = 1e-6  # for rounding of total weights
 # 250 000 identifiers with their digests stay under 25 MB.
@@ -280,12 +281,13 @@ def fine_pairs(members: DataFrame, turn: int, least: int, similarity: float) ->
 
 
 def blocks(members: DataFrame) -> DataFrame:
-    """Rows of mixed buckets (``band``, ``value``, ``node``, ``root``) dealt to tasks ``low``, ``high``, with their ``part``.
+    """Rows of mixed buckets (``band``, ``value``, ``node``, ``root``, ``size``) with their ``part`` and ``tasks`` (``low``, ``high``).
 
     Nodes of the largest component of a bucket need no meeting among themselves: the others are the first parts, and
-    meet all parts. A task has two parts, or one with itself, so each pair of different components is in one task.
+    meet all parts. A part is of about ``BLOCK`` in size, a task has two parts, or one with itself, so each pair of
+    different components is in one task.
     """
-    by_root = members.groupBy("band", "value", "root").agg(F.count(F.lit(1)).alias("n"))
+    by_root = members.groupBy("band", "value", "root").agg(F.sum("size").alias("n"))
     sizes = by_root.groupBy("band", "value").agg(F.sum("n").alias("all"), F.max(F.struct("n", "root")).alias("core"))
     parts_of = lambda n: F.ceil(n / BLOCK).cast("int")
     small = F.col("all") <= BLOCK  # one task with itself
@@ -296,14 +298,13 @@ def blocks(members: DataFrame) -> DataFrame:
     part = F.when(inside, F.col("__first") + F.pmod(spread, "__core")).otherwise(F.pmod(spread, "__first")).cast("int")
     last = F.when(inside, F.col("__first")).otherwise(F.col("__first") + F.col("__core")) - 1
     tasks = F.transform(F.sequence(F.lit(0), last), lambda q: F.struct(F.least(q, "part").alias("low"), F.greatest(q, "part").alias("high")))
-    named = dealt.withColumn("part", part)
-    return named.select("band", "value", "node", "root", "part", F.explode(tasks).alias("t")).select("band", "value", "t.low", "t.high", "part", "node", "root")
+    return dealt.withColumn("part", part).select("band", "value", "node", "root", "part", tasks.alias("tasks"))
 
 
 def links_left(members: DataFrame, nodes: DataFrame, idf: np.ndarray, similarity: float, least: int) -> DataFrame:
     """Links ``a`` < ``b`` between different components: every pair of ``members`` that shares a bucket is compared.
 
-    ``members`` has ``band`` (the finer ones after the others), ``value``, ``node``, ``root``; ``nodes`` has ``node``,
+    ``members`` has ``band`` (the finer ones after the others), ``value``, ``node``, ``root``, ``size``; ``nodes`` has ``node``,
     ``total``, all ``samples`` and ``text``. A pair is compared in the first band that it shares, and passed over where
     links of its task have joined both already. Work is quadratic in the buckets that stay mixed, memory is not.
     """
@@ -363,8 +364,10 @@ def links_left(members: DataFrame, nodes: DataFrame, idf: np.ndarray, similarity
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.string()) for k in (0, 1)], names=["a", "b"])
 
     task = ["band", "value", "low", "high"]
-    dealt = blocks(members).join(nodes, "node").repartition(*task).sortWithinPartitions(*task)
-    return dealt.mapInArrow(read, "a string, b string")
+    # Rows are repeated for their tasks once they are dealt by node: a large bucket is in many partitions there.
+    met = blocks(members).join(nodes, "node").withColumn("t", F.explode("tasks"))
+    dealt = met.select("band", "value", "t.low", "t.high", "part", "node", "root", "total", "samples", "text")
+    return dealt.repartition(*task).sortWithinPartitions(*task).mapInArrow(read, "a string, b string")
 
 
 def texts_of(docs: DataFrame, key: str, text: str, nodes: DataFrame) -> DataFrame:
@@ -455,7 +458,8 @@ def near_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", si
         # What leaders, chains and turns left: every pair of a bucket that is still in different components.
         held = members.where("n > 2").select("band", "value", "node").union(finer.select(F.col("band") + BANDS, "value", "node"))
         whole = both.join(texts, "node").select("node", "total", F.concat("__first", "__more").alias("samples"), "text")
-        left = landed(several_components(held, roots).select("band", "value", "node", "root"), "left")
+        lengths = texts.select("node", F.greatest(F.octet_length("text") / NODE_BYTES, F.lit(1.0)).alias("size"))
+        left = landed(several_components(held, roots).join(lengths, "node").select("band", "value", "node", "root", "size"), "left")
         found = landed(links_left(left, whole, idf, similarity, FINE_AGREE), "verified")
         if not found.isEmpty():
             roots = landed(joined_components(roots, found), "roots")

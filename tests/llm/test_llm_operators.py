@@ -2,6 +2,8 @@
 
 import random
 import re
+from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -346,6 +348,27 @@ def test_pairs_that_leaders_chains_and_turns_leave(spark, monkeypatch, block):
     assert {r.id: r.class_id for r in near_dup.near_classes(docs).collect()} == dict(enumerate(root))
 
 
+def test_long_texts_fill_a_task_of_the_exact_pass(spark, monkeypatch):
+    """Parts are bounded by the size of their texts; each pair of different components still meets once."""
+    monkeypatch.setattr(near_dup, "BLOCK", 20)
+    rows = [(1, 7, f"n{i:03d}", "n000" if i < 40 else f"n{i:03d}", 4.0 if i % 2 else 1.0) for i in range(80)]
+    members = spark.createDataFrame(rows, "band int, value bigint, node string, root string, size double")
+    tasks = {}
+    for r in near_dup.blocks(members).collect():
+        for t in r.tasks:
+            tasks.setdefault((t.low, t.high), []).append((r.node, r.part))
+    size, root = {n: s for _, _, n, _, s in rows}, {n: r for _, _, n, r, _ in rows}
+    assert len(tasks) > 20 and max(sum(size[n] for n, _ in held) for held in tasks.values()) <= 80
+    met = Counter(
+        (min(a, b), max(a, b))
+        for (low, high), held in tasks.items()
+        for a, pa in held
+        for b, pb in held
+        if pa == low and pb == high and (low < high or a < b) and root[a] != root[b]
+    )
+    assert met == Counter((a, b) for a, b in combinations(sorted(root), 2) if root[a] != root[b])
+
+
 def test_frequencies_leave_no_grams_behind(spark, monkeypatch):
     """Repeated rows count as one; what lands is digests, far less than the texts."""
     texts = [prose(800 + i, 400) for i in range(40)]
