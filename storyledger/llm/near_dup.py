@@ -6,12 +6,13 @@ text do not make its own words common, while passages that many unlike texts sha
 count-min sketch holds the counts, sized by the mean text and of bounded size.
 
 Each text has 36 consistent samples in 12 bands. Texts with the same words fold to one node first. Nodes that share a
-band become candidate pairs, a constant number for each node of a bucket; pairs whose samples agree enough are
-verified on whole texts by weighted Jaccard similarity. Where the nodes of a bucket are then in several components,
+band become candidate pairs, a constant number for each node of a bucket; pairs whose samples agree enough, and those of
+buckets of two, are verified on whole texts by weighted Jaccard similarity. Where the nodes of a bucket are then in several components,
 they take 96 further samples in 16 finer bands, in which a pair at 0.8 meets with probability 0.99 and a
 pair at 0.6 seldom. Inside the finer buckets nodes are paired the same way, then representatives of the components
 that are left meet in other orders, in a fixed number of turns. These steps make pairs in proportion to nodes.
-Last, an exact pass compares what they left: all pairs that share a bucket and are in different components, block by block.
+Last, an exact pass compares what they left, block by block: all pairs that share a bucket and are in different
+components, whatever their samples; only bounds on what two texts can share spare it whole texts.
 """
 
 from __future__ import annotations
@@ -43,6 +44,7 @@ from storyledger.llm.shingles import (
     shingles,
     sketch_slots,
     sketch_width,
+    weight_bins,
     weighted_jaccard,
     weights,
 )
@@ -51,6 +53,7 @@ from storyledger.llm.text import ascii_lower, hidden
 from storyledger.session import landed
 
 SIMILARITY = 0.8
+# Which pairs of larger buckets are tried before the exact pass, which uses neither number.
 # Of 36 samples a pair at 0.8 agrees in 29 on average; fewer than 20 is 3.7 standard deviations below.
 LEAST_AGREE = 20
 # Of all 132 samples a pair at 0.8 agrees in 106 on average; fewer than 88 is 3.8 standard deviations below.
@@ -207,39 +210,44 @@ def candidate_pairs(members: DataFrame, similarity: float, least: int = LEAST_AG
 
     Large buckets are cut into parts of about ``CHAIN`` nodes, in each band another way. The leader is the same node in all
     bands that hold it, and chains follow the total weight, so the bands of a pair mostly give it once. Pairs go whose
-    samples agree in fewer than ``least`` places, or whose total weights alone keep them below ``similarity``.
+    total weights alone keep them below ``similarity``. A bucket of two gives its pair in any other case. In larger ones
+    pairs wait whose samples agree in fewer than ``least`` places: ``links_left`` compares all pairs of these buckets.
     """
     part = F.pmod(F.xxhash64("node", "band"), F.ceil(F.col("n") / CHAIN))
     keys = ["band", "value", "__part"]
     me = F.struct("node", "first_id", "total", "samples")
     group, line = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("total", "node")
     seen = members.withColumn("__part", part).withColumn("__me", me).select(
-        "__me", F.lag("__me").over(line).alias("__near"), F.min_by("__me", F.xxhash64("node")).over(group).alias("__lead"),
+        "__me", "n", F.lag("__me").over(line).alias("__near"), F.min_by("__me", F.xxhash64("node")).over(group).alias("__lead"),
     )
-    both = seen.select("__me", F.explode(F.array("__near", "__lead")).alias("__other"))
+    both = seen.select("__me", "n", F.explode(F.array("__near", "__lead")).alias("__other"))
     same = F.size(F.filter(F.zip_with("__me.samples", "__other.samples", lambda x, y: x == y), lambda x: x))
     mine, other = F.col("__me.total"), F.col("__other.total")
     alike = F.least(mine, other) >= F.greatest(mine, other) * (similarity - SLACK)
-    likely = both.where(F.col("__other").isNotNull() & (F.col("__me.node") != F.col("__other.node")) & alike).where(same >= least)
+    apart = F.col("__other").isNotNull() & (F.col("__me.node") != F.col("__other.node"))
+    likely = both.where(apart & alike).where((F.col("n") == 2) | (same >= least))
     return likely.select(pairs_of(F.col("__me"), F.col("__other")).alias("p")).select("p.*").distinct()
 
 
 def fine_features(texts: DataFrame, idf: np.ndarray) -> DataFrame:
-    """``node``, keys of the finer ``bands`` and further ``samples`` of ``texts`` (``node``, ``text``)."""
+    """``node``, keys of the finer ``bands``, further ``samples`` and weights by bin (``sums``) of ``texts`` (``node``, ``text``)."""
     shared = texts.sparkSession.sparkContext.broadcast(idf)  # bounded size
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bands, samples = [], []
+            bands, samples, sums = [], [], []
             for value in batch.column(1):
                 found, times = shingles(value.as_py() or "")
-                own = consistent_samples(found, weights(found, times, shared.value), SAMPLES, FINE_SAMPLES)
+                weight = weights(found, times, shared.value)
+                sums.append(weight_bins(found, weight))
+                own = consistent_samples(found, weight, SAMPLES, FINE_SAMPLES)
                 bands.append(band_keys(own, FINE_BANDS, FINE_ROWS))
                 samples.append(own.astype(np.uint32).view(np.int32))
-            columns = [batch.column(0), pa.array(bands, pa.list_(pa.int64())), pa.array(samples, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["node", "bands", "samples"])
+            lists = [(bands, pa.int64()), (samples, pa.int32()), (sums, pa.float32())]
+            columns = [batch.column(0), *(pa.array(held, pa.list_(kind)) for held, kind in lists)]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "bands", "samples", "sums"])
 
-    return texts.select("node", "text").mapInArrow(sampled, "node string, bands array<bigint>, samples array<int>")
+    return texts.select("node", "text").mapInArrow(sampled, "node string, bands array<bigint>, samples array<int>, sums array<float>")
 
 
 def several_components(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -301,16 +309,18 @@ def blocks(members: DataFrame) -> DataFrame:
     return dealt.withColumn("part", part).select("band", "value", "node", "root", "part", tasks.alias("tasks"))
 
 
-def links_left(members: DataFrame, nodes: DataFrame, idf: np.ndarray, similarity: float, least: int) -> DataFrame:
+def links_left(members: DataFrame, nodes: DataFrame, idf: np.ndarray, similarity: float) -> DataFrame:
     """Links ``a`` < ``b`` between different components: every pair of ``members`` that shares a bucket is compared.
 
     ``members`` has ``band`` (the finer ones after the others), ``value``, ``node``, ``root``, ``size``; ``nodes`` has ``node``,
-    ``total``, all ``samples`` and ``text``. A pair is compared in the first band that it shares, and passed over where
-    links of its task have joined both already. Work is quadratic in the buckets that stay mixed, memory is not.
+    ``total``, all ``samples``, ``sums`` and ``text``. A pair is compared in the first band that it shares, and passed over
+    where links of its task have joined both already. Whole texts decide, unless total weights or the smaller sums of
+    all bins already keep a pair below ``similarity``: both are bounds, so no link is lost to them. Work is quadratic in
+    the buckets that stay mixed, memory is not.
     """
     shared = members.sparkSession.sparkContext.broadcast(idf)  # bounded size
 
-    def compared(rows: list, samples: np.ndarray) -> list[tuple[str, str]]:
+    def compared(rows: list, samples: np.ndarray, sums: np.ndarray) -> list[tuple[str, str]]:
         names, parts = [r["node"] for r in rows], np.array([r["part"] for r in rows])
         totals, band = np.array([r["total"] for r in rows]), rows[0]["band"]
         codes = np.unique([r["root"] for r in rows], return_inverse=True)[1]
@@ -333,9 +343,9 @@ def links_left(members: DataFrame, nodes: DataFrame, idf: np.ndarray, similarity
             js = right[right > i] if low == high else right
             js = js[codes[js] != codes[i]]
             js = js[np.minimum(totals[js], totals[i]) >= np.maximum(totals[js], totals[i]) * (similarity - SLACK)]
+            most = np.minimum(sums[js], sums[i]).sum(1, dtype=np.float64)  # what a pair can share
+            js = js[most * (1 + similarity) >= (totals[js] + totals[i]) * (similarity - SLACK)]
             same = samples[js] == samples[i]
-            enough = same.sum(1) >= least
-            js, same = js[enough], same[enough]
             coarse = same[:, :SAMPLES].reshape(len(js), BANDS, ROWS).all(2)
             fine = same[:, SAMPLES:].reshape(len(js), FINE_BANDS, FINE_ROWS).all(2)
             met = np.concatenate((coarse, fine), axis=1)
@@ -347,26 +357,26 @@ def links_left(members: DataFrame, nodes: DataFrame, idf: np.ndarray, similarity
         return links
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, samples, now = [], [], None
+        rows, arrays, now = [], [], None
         for batch in batches:
             links = []
-            own = batch.column(batch.schema.get_field_index("samples")).flatten().to_numpy().reshape(len(batch), -1)
-            for row, sample in zip(batch.drop_columns("samples").to_pylist(), own, strict=True):
+            own = [batch.column(batch.schema.get_field_index(x)).flatten().to_numpy().reshape(len(batch), -1) for x in ("samples", "sums")]
+            for row, *held in zip(batch.drop_columns(["samples", "sums"]).to_pylist(), *own, strict=True):
                 task = (row["band"], row["value"], row["low"], row["high"])
                 if task != now and rows:
-                    links += compared(rows, np.stack(samples))
-                    rows, samples = [], []
+                    links += compared(rows, *map(np.stack, zip(*arrays, strict=True)))
+                    rows, arrays = [], []
                 now = task
                 rows.append(row)
-                samples.append(sample)
+                arrays.append(held)
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.string()) for k in (0, 1)], names=["a", "b"])
-        links = compared(rows, np.stack(samples)) if rows else []
+        links = compared(rows, *map(np.stack, zip(*arrays, strict=True))) if rows else []
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.string()) for k in (0, 1)], names=["a", "b"])
 
     task = ["band", "value", "low", "high"]
     # Rows are repeated for their tasks once they are dealt by node: a large bucket is in many partitions there.
     met = blocks(members).join(nodes, "node").withColumn("t", F.explode("tasks"))
-    dealt = met.select("band", "value", "t.low", "t.high", "part", "node", "root", "total", "samples", "text")
+    dealt = met.select("band", "value", "t.low", "t.high", "part", "node", "root", "total", "samples", "sums", "text")
     return dealt.repartition(*task).sortWithinPartitions(*task).mapInArrow(read, "a string, b string")
 
 
@@ -439,13 +449,13 @@ def near_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", si
     tried = landed(candidate_pairs(members, similarity), "likely")
     texts = landed(texts_of(docs, key, text, ends_of(tried)), "texts")
     roots = landed(components(landed(verified(tried, texts, idf, similarity), "verified")), "roots")
-    # Buckets of two have been paired in full.
+    # Buckets of two have been decided on whole texts.
     wide = landed(several_components(members.where("n > 2").select("band", "value", "node", "first_id"), roots).select("node", "first_id").distinct(), "wide")
     if not wide.isEmpty():
         texts = landed(texts_of(docs, key, text, wide), "texts")
         fine = landed(fine_features(texts, idf), "fine")
         own = nodes.select("node", "first_id", "total", F.col("samples").alias("__first"))
-        both = fine.select("node", "bands", F.col("samples").alias("__more")).join(own, "node")
+        both = fine.select("node", "bands", F.col("samples").alias("__more"), "sums").join(own, "node")
         finer = landed(buckets(both.withColumn("samples", F.concat("__first", "__more"))), "fine-buckets")
         for turn in range(TURNS):
             mixed = landed(several_components(finer, roots), "mixed")
@@ -457,10 +467,10 @@ def near_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", si
                 tried = landed(tried.select("a", "b").union(fresh.select("a", "b")), "tried")
         # What leaders, chains and turns left: every pair of a bucket that is still in different components.
         held = members.where("n > 2").select("band", "value", "node").union(finer.select(F.col("band") + BANDS, "value", "node"))
-        whole = both.join(texts, "node").select("node", "total", F.concat("__first", "__more").alias("samples"), "text")
+        whole = both.join(texts, "node").select("node", "total", F.concat("__first", "__more").alias("samples"), "sums", "text")
         lengths = texts.select("node", F.greatest(F.octet_length("text") / NODE_BYTES, F.lit(1.0)).alias("size"))
         left = landed(several_components(held, roots).join(lengths, "node").select("band", "value", "node", "root", "size"), "left")
-        found = landed(links_left(left, whole, idf, similarity, FINE_AGREE), "verified")
+        found = landed(links_left(left, whole, idf, similarity), "verified")
         if not found.isEmpty():
             roots = landed(joined_components(roots, found), "roots")
     classed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

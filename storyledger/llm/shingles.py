@@ -14,6 +14,7 @@ SMOOTH = 16.0  # a shingle of one group weighs as one of so many, so small count
 FOLDS = 4  # plain least hashes by which texts are folded to groups
 FINE_BANDS, FINE_ROWS = 16, 6
 FINE_SAMPLES = FINE_BANDS * FINE_ROWS
+BINS = 128  # a power of two: sums of the weights of a text, by the first bits of their hashes
 SKETCH_DEPTH = 2
 LEAST_WIDTH, MOST_WIDTH, WIDTH_PER_SHINGLE = 1 << 16, 1 << 20, 64
 SLICE = 1 << 19  # bytes handled at once
@@ -134,6 +135,12 @@ def weights(hashes: np.ndarray, times: np.ndarray, idf: np.ndarray) -> np.ndarra
     return times * np.maximum.reduce([idf[s] for s in slots])
 
 
+def weight_bins(hashes: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Sum of the weights in each of ``BINS`` bins. Two texts share no more than the sum of the smaller sums."""
+    places = (hashes >> U(64 - BINS.bit_length() + 1)).astype(np.intp)
+    return np.bincount(places, weight, minlength=BINS).astype(np.float32)
+
+
 @lru_cache(maxsize=2)
 def _gamma(first: int, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Quantiles of Gamma(2, 1), their logarithms, and multipliers of the samples from ``first`` on."""

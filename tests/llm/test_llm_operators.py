@@ -348,6 +348,35 @@ def test_pairs_that_leaders_chains_and_turns_leave(spark, monkeypatch, block):
     assert {r.id: r.class_id for r in near_dup.near_classes(docs).collect()} == dict(enumerate(root))
 
 
+def test_pairs_whose_samples_hardly_agree(spark, monkeypatch):
+    """Samples only choose what is tried first: a pair that shares a bucket is decided on whole texts."""
+    own = [[1] * 36, [1] * 3 + [2] * 33, [3] * 36]
+    rows = [(0, 5, 2, f"n{i}", i, 10.0, own[i]) for i in (0, 1)] + [(1, 6, 3, f"m{i}", i, 10.0, own[i]) for i in range(3)]
+    members = spark.createDataFrame(rows, "band int, value bigint, n bigint, node string, first_id bigint, total double, samples array<int>")
+    assert [(r.a, r.b) for r in near_dup.candidate_pairs(members, 0.8).collect()] == [("n0", "n1")]
+
+    monkeypatch.setattr(near_dup, "CHAIN", 1)
+    monkeypatch.setattr(near_dup, "FINE_AGREE", shingles.SAMPLES + shingles.FINE_SAMPLES + 1)
+    rng = random.Random(6)
+    base = prose(61, 200).split()
+    texts = [edited(rng, base, 1) for _ in range(8)] + [prose(950 + i, 150) for i in range(5)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    monkeypatch.setattr(near_dup.candidate_pairs, "__defaults__", (shingles.SAMPLES + 1,))
+    assert [r.class_id for r in near_dup.near_classes(docs).orderBy("id").collect()] == [0] * 8 + list(range(8, 13))
+
+
+def test_bins_bound_what_two_texts_share():
+    rng = random.Random(9)
+    base = prose(71, 300).split()
+    texts = [edited(rng, base, n) for n in (0, 1, 5, 20, 60, 150)] + ["one", "one two", prose(72, 3000)]
+    sets = [(h, n * (1.0 + h % np.uint64(5))) for h, n in map(shingles.shingles, texts)]
+    for a, b in combinations(sets, 2):
+        most = float(np.minimum(shingles.weight_bins(*a), shingles.weight_bins(*b)).sum(dtype=np.float64))
+        _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+        assert most >= np.minimum(a[1][i], b[1][j]).sum() * (1 - near_dup.SLACK)
+    assert shingles.weight_bins(*sets[0]).shape == (shingles.BINS,)
+
+
 def test_long_texts_fill_a_task_of_the_exact_pass(spark, monkeypatch):
     """Parts are bounded by the size of their texts; each pair of different components still meets once."""
     monkeypatch.setattr(near_dup, "BLOCK", 20)
