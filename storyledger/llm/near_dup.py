@@ -47,6 +47,7 @@ from storyledger.llm.shingles import (
     weight_bins,
     weighted_jaccard,
     weights,
+    words_digest,
 )
 from storyledger.llm.shipping import ship
 from storyledger.llm.text import ascii_lower, hidden
@@ -170,9 +171,11 @@ def features(docs: DataFrame, key: str, text: str, idf: np.ndarray) -> DataFrame
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for batch in batches:
-            bands, samples, totals = [], [], []
-            for value in batch.column(2):
-                found, times = shingles(value.as_py() or "")
+            named, bands, samples, totals = [], [], [], []
+            for value in batch.column(1):
+                read = value.as_py() or ""
+                named.append(words_digest(read))
+                found, times = shingles(read)
                 if not len(found):
                     bands.append([]), samples.append([]), totals.append(0.0)
                     continue
@@ -181,10 +184,10 @@ def features(docs: DataFrame, key: str, text: str, idf: np.ndarray) -> DataFrame
                 bands.append(band_keys(own))
                 samples.append(own.astype(np.uint32).view(np.int32))
                 totals.append(float(weight.sum()))
-            columns = [pa.array(bands, pa.list_(pa.int64())), pa.array(samples, pa.list_(pa.int32())), pa.array(totals)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["id", "node", "bands", "samples", "total"])
+            columns = [pa.array(named), pa.array(bands, pa.list_(pa.int64())), pa.array(samples, pa.list_(pa.int32())), pa.array(totals)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "node", "bands", "samples", "total"])
 
-    rows = docs.select(F.col(key).cast("bigint").alias("id"), words_key(F.col(text)).alias("node"), F.col(text).alias("text"))
+    rows = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
     return rows.mapInArrow(sampled, "id bigint, node string, bands array<bigint>, samples array<int>, total double")
 
 

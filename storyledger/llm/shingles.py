@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import md5
 
 import numpy as np
 
@@ -28,45 +29,57 @@ def mix(z: np.ndarray) -> np.ndarray:
     return z ^ (z >> U(31))
 
 
+def _byte_table(word_byte: int, other: int) -> bytes:
+    """Translation of bytes of words to themselves, lower-cased, plus ``word_byte``; of all others to ``other``."""
+    lowered = [b + 32 if 65 <= b <= 90 else b for b in range(256)]
+    inside = [128 <= b < 255 or 48 <= b <= 57 or 97 <= b <= 122 for b in lowered]
+    return bytes(b + word_byte if held else other for b, held in zip(lowered, inside, strict=True))
+
+
+CODES = _byte_table(1, 0)  # 255 is in no UTF-8
+SPACED = _byte_table(0, 32)
+
+
 @lru_cache(maxsize=1)
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-cased byte plus 1 or 0 for what is in no word; powers of an odd number and of its inverse."""
-    codes = np.zeros(256, np.uint64)
-    for b in range(256):
-        low = b + 32 if 65 <= b <= 90 else b
-        if low >= 128 or 48 <= low <= 57 or 97 <= low <= 122:
-            codes[b] = low + 1
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse."""
     base = 0x9E3779B97F4A7C15
     powers = np.cumprod(np.full(SLICE * 2, base, np.uint64), dtype=np.uint64)
     inverse = np.cumprod(np.full(SLICE * 2, pow(base, -1, 1 << 64), np.uint64), dtype=np.uint64)
-    return codes, powers, inverse
+    return powers, inverse
+
+
+def _hash_slice(codes: np.ndarray) -> np.ndarray:
+    powers, inverse = _powers()
+    n = len(codes)
+    inside = np.zeros(n + 2, np.bool_)
+    np.not_equal(codes, 0, out=inside[1:-1])
+    starts = np.flatnonzero(inside[1:] != inside[:-1])[::2]
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    # Bytes between words add nothing, so a word's sum may reach to the next one.
+    return mix(np.add.reduceat(codes * powers[:n], starts) * inverse[starts])
 
 
-def _hash_slice(data: np.ndarray) -> np.ndarray:
-    codes, powers, inverse = _tables()
-    values = codes[data]
-    inside = values != 0
-    edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
-    starts, stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * powers[: len(values)], dtype=np.uint64)))
-    return mix((sums[stops] - sums[starts]) * inverse[starts])
+def words_digest(text: str) -> str:
+    """Digest of the words of a text, the same as ``words_key`` of near_dup."""
+    return md5(b" ".join(text.encode("utf-8").translate(SPACED).split()), usedforsecurity=False).hexdigest()
 
 
 def word_hashes(text: str) -> np.ndarray:
     """Hash of every word of ``text``, in order; long texts are cut between words."""
-    data = np.frombuffer(text.encode("utf-8"), np.uint8)
+    data = np.frombuffer(text.encode("utf-8").translate(CODES), np.uint8)
     if len(data) <= SLICE:
         return _hash_slice(data)
     parts, at = [], 0
-    codes = _tables()[0]
     while at < len(data):
         stop = min(at + SLICE, len(data))
         if stop < len(data):
-            gaps = np.flatnonzero(codes[data[at:stop]] == 0)
+            gaps = np.flatnonzero(data[at:stop] == 0)
             if len(gaps):
                 stop = at + int(gaps[-1]) + 1
             else:  # one word longer than a slice: hashed in full on its own
-                rest = np.flatnonzero(codes[data[stop:]] == 0)
+                rest = np.flatnonzero(data[stop:] == 0)
                 stop = stop + int(rest[0]) if len(rest) else len(data)
                 folded = np.zeros(1, np.uint64)
                 for i in range(at, stop, SLICE):
@@ -154,6 +167,19 @@ def _gamma(first: int, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return low.astype(np.float32), np.log(low).astype(np.float32), seeds, mix(seeds)
 
 
+@lru_cache(maxsize=2)
+def _space(count: int) -> tuple[np.ndarray, ...]:
+    size = count * TILE
+    return np.empty((2, size), np.uint64), np.empty(size, np.intp), np.empty((4, size), np.float32)
+
+
+def _scratch(count: int, n: int) -> tuple[list[np.ndarray], np.ndarray, list[np.ndarray]]:
+    """Arrays of ``count`` by ``n`` that every call uses again: two of 64 bits, one of indices, four of floats."""
+    wide, places, floats = _space(count)
+    size = count * n
+    return [x[:size].reshape(count, n) for x in wide], places[:size].reshape(count, n), [x[:size].reshape(count, n) for x in floats]
+
+
 def consistent_samples(hashes: np.ndarray, weight: np.ndarray, first: int = 0, count: int = SAMPLES) -> np.ndarray:
     """``count`` consistent weighted samples: equal in two sets with probability their weighted Jaccard.
 
@@ -166,15 +192,28 @@ def consistent_samples(hashes: np.ndarray, weight: np.ndarray, first: int = 0, c
     out, steps = np.zeros(count, np.uint64), np.zeros(count, np.uint64)
     for at in range(0, len(hashes), TILE):
         own, log_own = hashes[at : at + TILE], log_weight[at : at + TILE]
-        z = own[None, :] * times[:, None] + plus[:, None]
-        z ^= z >> U(32)
+        wide, places, floats = _scratch(count, len(own))
+        z, shifted = wide
+        np.multiply(own[None, :], times[:, None], out=z)
+        z += plus[:, None]
+        z ^= np.right_shift(z, U(32), out=shifted)
         z *= U(0xD6E8FEB86659FD93)
-        z ^= z >> U(29)
-        low = z.astype(np.uint32)
-        r = gamma[low & np.uint32(0xFFFF)]
-        beta = (z >> U(40)).astype(np.float32) * np.float32(2.0**-24)
-        t = np.floor(log_own[None, :] / r + beta)
-        log_a = log_gamma[low >> np.uint32(16)] - r * (t - beta) - r
+        z ^= np.right_shift(z, U(29), out=shifted)
+        # Bits 0-15 choose r, bits 16-31 log c, bits 40-63 beta; indices always fit their tables.
+        short, (r, log_a, beta, t) = z.view("<u2").reshape(count, -1, 4), floats
+        np.copyto(places, short[:, :, 0])
+        np.take(gamma, places, mode="clip", out=r)
+        np.copyto(places, short[:, :, 1])
+        np.take(log_gamma, places, mode="clip", out=log_a)
+        np.copyto(beta, np.right_shift(z, U(40), out=shifted).view(np.int64), casting="unsafe")
+        beta *= np.float32(2.0**-24)
+        np.divide(log_own[None, :], r, out=t)
+        t += beta
+        np.floor(t, out=t)
+        np.subtract(t, beta, out=beta)
+        beta *= r
+        log_a -= beta
+        log_a -= r
         best = log_a.argmin(1)
         value = log_a[rows, best]
         better = value < least

@@ -377,6 +377,33 @@ def test_bins_bound_what_two_texts_share():
     assert shingles.weight_bins(*sets[0]).shape == (shingles.BINS,)
 
 
+def test_digest_of_words_in_tasks_and_in_expressions(spark):
+    texts = [*TEXTS, "A\x00b\tC", " lead  and trail ", "ÄÖ ß İ 🎉x y", "a-b_c`d{e~f\x7fg", "0 9 Z z @ [", "\u00a0 \u2028 x"]
+    docs = docs_of(spark, texts).select("doc_id", near_dup.words_key(F.col("text")).alias("key"))
+    assert {r.doc_id: r.key for r in docs.collect()} == {i: shingles.words_digest(t or "") for i, t in enumerate(texts)}
+
+
+def test_word_hashes_byte_by_byte():
+    base, mask = 0x9E3779B97F4A7C15, (1 << 64) - 1
+
+    def slow(text):
+        words = re.findall(rb"[0-9a-z\x80-\xff]+", text.encode().lower())
+        sums = [sum((b + 1) * pow(base, i, 1 << 64) for i, b in enumerate(w)) & mask for w in words]
+        return shingles.mix(np.array(sums, np.uint64)).tolist()
+
+    for text in [t or "" for t in TEXTS] + [" x", "A\x00b", "...", "Ä🎉 b" * 50]:
+        assert shingles.word_hashes(text).tolist() == slow(text)
+    long = prose(73, 100_000)
+    assert len(long) > shingles.SLICE / 2 and shingles.word_hashes(f"{long} {long}").tolist() == slow(long) * 2
+
+
+def test_samples_reuse_their_arrays_without_mixing_texts():
+    sets = [(h, n * (1.0 + h % np.uint64(3))) for h, n in (shingles.shingles(prose(80 + i, n)) for i, n in enumerate((3, 1500, 40)))]
+    once = [shingles.consistent_samples(*s) for s in sets]
+    shingles.consistent_samples(*sets[1], shingles.SAMPLES, shingles.FINE_SAMPLES)
+    assert all((a == shingles.consistent_samples(*s)).all() for a, s in zip(once[::-1], sets[::-1], strict=True))
+
+
 def test_long_texts_fill_a_task_of_the_exact_pass(spark, monkeypatch):
     """Parts are bounded by the size of their texts; each pair of different components still meets once."""
     monkeypatch.setattr(near_dup, "BLOCK", 20)
